@@ -15,6 +15,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillgraph.llm import forms
 from rillgraph.llm.keys import LONG_ENOUGH, look_keys
@@ -22,12 +23,12 @@ from rillgraph.llm.keys import LONG_ENOUGH, look_keys
 SALTS = 8
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _form(texts: pd.Series) -> pd.Series:
     return pd.Series([forms.consistent(t) if isinstance(t, str) else None for t in texts], dtype=object)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _looks_same(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([forms.consistent(x) == forms.consistent(y) for x, y in zip(a, b)])
 
