@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillgraph.llm import format_dups, quality, same_look, terms
+from rillgraph.llm import format_dups, leaks, mixture, pieces, quality, same_look, terms
 from rillgraph.sources.scratch import table
 
 
@@ -30,6 +30,31 @@ def p4_frequencies(spark: SparkSession, folder: str) -> DataFrame:
     return terms.all_frequencies(table(spark, folder, "review_example"), table(spark, folder, "corpus_graph"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.found(table(spark, folder, "review_example"))
+
+
+def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.split(table(spark, folder, "review_example"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.found(table(spark, folder, "documents"), table(spark, folder, "eval_item"))
+
+
+def p6_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_item"))
+
+
+def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture.mixture(table(spark, folder, "documents"), table(spark, folder, "mix_target"))
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    targets = table(spark, folder, "mix_target")
+    return mixture.reached(mixture.mixture(table(spark, folder, "documents"), targets), targets)
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return quality.found(table(spark, folder, "documents"))
 
@@ -39,6 +64,6 @@ def p8_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p3_found, p3_records, p4_found, p4_frequencies, p8_found, p8_quality)
+    f.__name__: f for f in (p1_found, p3_found, p3_records, p4_found, p4_frequencies, p5_found, p5_pieces, p6_found, p6_leaks, p7_mixture, p7_shares, p8_found, p8_quality)
 }
 SQL: dict[str, str] = {}
