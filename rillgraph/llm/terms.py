@@ -127,7 +127,7 @@ def _build(terms: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 def _union_size(bitmaps):  # noqa: ANN001, ANN202
     import pandas as pd
 
-    return pd.Series([len(np.unique(np.concatenate([unpack(b) for b in bs]))) for bs in bitmaps], dtype="int32")
+    return pd.Series([0 if bs is None else len(np.unique(np.concatenate([unpack(b) for b in bs]))) for bs in bitmaps], dtype="int32")
 
 
 def bitmaps(df: DataFrame, terms: Callable) -> DataFrame:
@@ -147,9 +147,8 @@ def frequencies(parts: DataFrame) -> DataFrame:
         F.when(lone, F.sum("records")).alias("records"),
         F.when(~lone, F.collect_list("bitmap")).alias("bitmaps"),
     )
-    single = merged.where("records is not null").select("term", "occurrences", "records")
-    several = merged.where("records is null").select("term", "occurrences", _union_size("bitmaps").alias("records"))
-    return single.unionByName(several).groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    sizes = merged.select("term", "occurrences", F.coalesce("records", _union_size("bitmaps")).alias("records"))
+    return sizes.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
 def marked(counts: DataFrame, total: int) -> DataFrame:
