@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillgraph.llm import format_dups, leaks, mixture, pieces, quality, same_look, terms
+from rillgraph.llm import format_dups, leaks, mixture, near_dups, pieces, quality, same_look, terms
 from rillgraph.sources.scratch import table
 
 
@@ -14,6 +14,10 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return same_look.found(table(spark, folder, "review_example"), table(spark, folder, "review_case"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dups.found(table(spark, folder, "review_example"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return format_dups.found(table(spark, folder, "review_example"))
 
@@ -64,6 +68,6 @@ def p8_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p3_found, p3_records, p4_found, p4_frequencies, p5_found, p5_pieces, p6_found, p6_leaks, p7_mixture, p7_shares, p8_found, p8_quality)
+    f.__name__: f for f in (p1_found, p2_found, p3_found, p3_records, p4_found, p4_frequencies, p5_found, p5_pieces, p6_found, p6_leaks, p7_mixture, p7_shares, p8_found, p8_quality)
 }
 SQL: dict[str, str] = {}
