@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from rillgraph.llm import forms
 from rillgraph.llm.keys import LONG_ENOUGH, look_keys
+from rillgraph.sources.scratch import written
 
 SALTS = 8
 
@@ -40,7 +41,7 @@ def consistent_form(text: Column | str) -> Column:
 
 def lookalike_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LONG_ENOUGH) -> DataFrame:
     """(doc_id_a, doc_id_b), a < b: long-enough texts that look the same but aren't stored identically."""
-    keys = look_keys(docs, id_col, text_col, least)
+    keys = written(look_keys(docs, id_col, text_col, least), "look-keys")
     mixed = keys.groupBy("f1", "f2").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo <> hi").select("f1", "f2")
     rows = keys.join(mixed, ["f1", "f2"])
     a = rows.select("f1", "f2", F.col("r").alias("ra"), F.col("doc_id").alias("doc_id_a"), F.pmod("doc_id", F.lit(SALTS)).alias("salt"))
