@@ -61,7 +61,8 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = owner[:-2] == owner[2:]
     value, owner = mixed(code[inside]), owner[:-2][inside]
     # 48 bits of the hash below the text's number, which is less than 65,536: one sort finds what is distinct
-    key = np.unique((owner.astype(np.uint64) << np.uint64(48)) | (value >> np.uint64(16)))
+    key = np.sort((owner.astype(np.uint64) << np.uint64(48)) | (value >> np.uint64(16)))
+    key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
     owner = (key >> np.uint64(48)).astype(np.int64)
     return owner, key << np.uint64(16), np.bincount(owner, minlength=len(texts))
 
@@ -192,8 +193,9 @@ def _blocks(texts: DataFrame, bands: Bands, buckets: int, level: int) -> DataFra
         base = int(rids.min())
         offset = (rids - base).astype(np.uint16)
         rest = (signature & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order], offset[number[order]]
-        names, starts = np.unique(bucket[order], return_index=True)
-        ends = np.r_[starts[1:], len(order)]
+        bucket = bucket[order]
+        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, np.int64)
+        names, ends = bucket[starts], np.r_[starts[1:], len(order)]
         packed = [rest[0][i:j].tobytes() + rest[1][i:j].tobytes() for i, j in zip(starts, ends)]
         return pa.RecordBatch.from_pydict({"bucket": pa.array(names.astype(np.int32)), "base": pa.array([base] * len(names), pa.int64()), "rows": pa.array(packed, pa.binary())})
 
@@ -202,8 +204,11 @@ def _blocks(texts: DataFrame, bands: Bands, buckets: int, level: int) -> DataFra
 
 def _pairs_of(signature: np.ndarray, rid: np.ndarray, hot: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(kind, a, b): pairs of texts with equal signatures (0), or a text and its signature where too many share it (1)."""
-    order = np.lexsort((rid, signature))
-    signature, rid = signature[order], rid[order]
+    # signatures first, then texts by their place among the sorted rids: one sort of 64-bit keys
+    names = np.sort(rid)
+    names = names[np.r_[True, names[1:] != names[:-1]]] if len(names) else names
+    key = np.sort((signature.astype(np.uint64) << np.uint64(32)) | np.searchsorted(names, rid).astype(np.uint64))
+    signature, rid = (key >> np.uint64(32)).astype(np.uint32), names[(key & np.uint64(0xFFFFFFFF)).astype(np.int64)]
     start = np.r_[True, signature[1:] != signature[:-1]]
     again = np.r_[False, (signature[1:] == signature[:-1]) & (rid[1:] == rid[:-1])]
     signature, rid, group = signature[~again], rid[~again], np.cumsum(start)[~again]
@@ -224,8 +229,8 @@ def _pairs_of(signature: np.ndarray, rid: np.ndarray, hot: int | None) -> Iterat
         b.append(rid[live + step])
         held += len(live)
         if held > 1_000_000 or not len(live):
-            pair = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-            yield np.zeros(len(pair), np.int8), pair[:, 0], pair[:, 1]
+            left, right = np.concatenate(a), np.concatenate(b)
+            yield np.zeros(len(left), np.int8), left, right
             a, b, held = [], [], 0
 
 
@@ -265,19 +270,43 @@ def candidates(texts: DataFrame, rows: int, threshold: float = THRESHOLD, hot: i
     return out
 
 
+def shared_features(pairs: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features that the texts of each pair share, and features of either text; each text is taken apart once."""
+    place: dict[str, int] = {}
+    left = np.array([place.setdefault(a, len(place)) for a, _ in pairs], np.int64)
+    right = np.array([place.setdefault(b, len(place)) for _, b in pairs], np.int64)
+    _, value, sizes = features(list(place))
+    starts = np.r_[0, np.cumsum(sizes)[:-1]]
+    keys = []
+    for side in (left, right):
+        n = sizes[side]
+        at = np.repeat(starts[side] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        keys.append((np.repeat(np.arange(len(pairs)), n).astype(np.uint64) << np.uint64(48)) | (value[at] >> np.uint64(16)))
+    key = np.sort(np.concatenate(keys))
+    twice = key[1:][key[1:] == key[:-1]] >> np.uint64(48)
+    return np.bincount(twice.astype(np.int64), minlength=len(pairs)), sizes[left], sizes[right]
+
+
 @F.pandas_udf(T.BooleanType())
 def _similar(a, b, threshold):  # noqa: ANN001, ANN202
     import pandas as pd
 
-    def grams(t: str) -> set[str]:
-        return {t[i : i + SHINGLE] for i in range(len(t) - SHINGLE + 1)}
-
-    out = []
-    for x, y, least in zip(a, b, threshold):
-        g, h = grams(x), grams(y)
-        both = len(g & h)
-        out.append(both > 0 and both >= least * (len(g) + len(h) - both) - 1e-9)
-    return pd.Series(out, dtype=bool)
+    out, held, size = [], [], 0
+    least = threshold.iloc[0] if len(threshold) else 0
+
+    def flush() -> None:
+        both, x, y = shared_features(held)
+        out.append((both > 0) & (both >= least * (x + y - both) - 1e-9))
+
+    for pair in zip(a, b):
+        held.append(pair)
+        size += len(pair[0]) + len(pair[1])
+        if size > BATCH_CHARS or len(held) > 30_000:
+            flush()
+            held, size = [], 0
+    if held:
+        flush()
+    return pd.Series(np.concatenate(out) if out else [], dtype=bool)
 
 
 def class_pairs(texts: DataFrame, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
