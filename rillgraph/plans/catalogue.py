@@ -1,10 +1,500 @@
-"""The queries of the engine's own operators, with equivalent SQL where SQL can express them."""
+"""The queries of the engine's own operators over whole tables, with equivalent SQL where SQL can express them.
+
+Scores are rounded in both, so that a difference in the last bit of a sum doesn't
+count.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rillgraph.functions import json_repair
+from rillgraph.functions import text as X
+from rillgraph.operators import bm25, dense, evidence, graph, metrics, models, ranking, revision, subgraph
+from rillgraph.plans import pipeline
+from rillgraph.sources import readers
+from rillgraph.sources.scratch import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a query under its function's name, with its SQL if it has one."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def q(text: str) -> str:
+    """A pattern or text as an SQL literal."""
+    return "'" + text.replace("'", "''") + "'"
+
+
+def listed(words: tuple[str, ...]) -> str:
+    return "[" + ", ".join(map(q, words)) + "]"
+
+
+# --- SQL building blocks -------------------------------------------------------------------------------------------
+SPACE = "trim(regexp_replace(coalesce({0}, ''), " + q(X.WS + "+") + ", ' ', 'g'))"
+STRIP = "regexp_replace({0}, " + q(f"^{X.WS}+|{X.WS}+$") + ", '', 'g')"
+KEY = "sha1(" + SPACE + ")"
+TOKENS = (
+    "list_transform(list_filter(regexp_extract_all(coalesce({0}, ''), " + q(X.BM25_TOKEN) + "), lambda t: not list_contains(" + listed(X.STOP_EN)
+    + ", lower(t)) and not list_contains(" + listed(X.STOP_ZH) + ", t)), lambda t: lower(t))"
+)
+GRAPH_TOKENS = "list_transform(regexp_extract_all(coalesce({0}, ''), " + q(X.GRAPH_TOKEN) + "), lambda t: trim(lower(t), " + q(X.EDGE_SIGNS) + "))"
+NORMAL_CHARS = "lower(regexp_replace(coalesce({0}, ''), " + q(f"[^0-9A-Za-z{X.HAN}]") + ", '', 'g'))"
+SPAN = "regexp_replace(replace(replace(coalesce({0}, ''), " + q(X.COMMENTARY_LABEL) + ", ''), " + q(X.COMMENTARY) + ", ''), " + q(X.WS + "+") + ", '', 'g')"
+OFFICIAL = "trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce({0}, '')), " + q(r"[!-/:-@\[-`{-~]").replace("{", "{{").replace("}", "}}") + ", '', 'g'), " + q(r"\b(?:a|an|the)\b") + ", ' ', 'g'), " + q(X.WS + "+").replace("{", "{{").replace("}", "}}") + ", ' ', 'g'))"
+
+
+def sql(template: str, *args: str) -> str:
+    """A building block around columns; braces of patterns stay as they are."""
+    for i, a in enumerate(args):
+        template = template.replace("{" + str(i) + "}", a)
+    return template.replace("{{", "{").replace("}}", "}")
+
+
+ASKED = "asked as (select qid, max_by({{question: question, answer: answer, gold: gold, hop_group: hop_group}}, question) as q from benchmark_query where length(question) > 0 group by qid), questions as (select qid, q.question as question, q.answer as answer, q.gold as gold, lower(q.hop_group) as hop_group from asked)".replace("{{", "{").replace("}}", "}")
+
+
+def bm25_ctes(k: int) -> str:
+    return f"""{ASKED},
+  tok as (select doc_id, unnest({sql(TOKENS, 'text')}) as token from review_example),
+  tf as (select doc_id, token, count(*) as tf from tok group by all),
+  dl as (select doc_id, len({sql(TOKENS, 'text')}) as dl from review_example),
+  st as (select count(*) as n, avg(dl) as avgdl from dl),
+  df as (select token, count(*) as df from tf group by token),
+  qt as (select qid, token, count(*) as qtf from (select qid, unnest({sql(TOKENS, 'question')}) as token from questions) group by all),
+  sc as (select qid, tf.doc_id, sum(qtf * ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * dl / avgdl))) as score
+         from qt join tf using (token) join df using (token) join dl on dl.doc_id = tf.doc_id cross join st group by all),
+  al as (select qid, doc_id, max(score) as score from (select * from sc union all select qid, doc_id, 0.0::double from questions, (select doc_id from review_example order by doc_id desc limit {k})) group by all),
+  ranked as (select qid, doc_id, score, row_number() over (partition by qid order by round(score, 9) desc, doc_id desc) as rank from al qualify rank <= {k})"""
+
+
+def corpus(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "review_example")
+
+
+def asked(spark: SparkSession, folder: str) -> DataFrame:
+    return pipeline.questions(table(spark, folder, "benchmark_query"))
+
+
+# --- text ----------------------------------------------------------------------------------------------------------
+@query(f"select doc_id, {sql(KEY, 'text')} as doc_key from review_example")
+def doc_cache_keys(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus(spark, folder).select("doc_id", X.cache_key("text").alias("doc_key"))
+
+
+@query(f"select {sql(KEY, 'text')} as doc_key, count(*) as copies, min(doc_id) as first_doc_id from review_example where text is not null group by 1 having count(*) > 1")
+def dup_groups(spark: SparkSession, folder: str) -> DataFrame:
+    keyed = corpus(spark, folder).where("text is not null").groupBy(X.cache_key("text").alias("doc_key"))
+    return keyed.agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc_id")).where("copies > 1")
+
+
+@query(f"select doc_id, {sql(NORMAL_CHARS, 'text')} as chars, {sql(SPAN, 'text')} as span, left({sql(SPACE, 'split_part(text, ' + q(X.COMMENTARY) + ', 1)')}, {X.CLAUSE_CHARS}) as direct from review_example")
+def normalized_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus(spark, folder).select("doc_id", X.normalized_chars("text").alias("chars"), X.normalized_span("text").alias("span"), X.direct_clause_text("text").alias("direct"))
+
+
+@query(
+    "select doc_id, case when len(n) >= 2 then spec_id || ':' || n[1] || '.' || n[2] when len(n) = 1 then spec_id || ':' || n[1] else spec_id end as clause_group "
+    "from (select doc_id, spec_id, regexp_extract_all(coalesce(clause, ''), '[0-9]+') as n from review_example)"
+)
+def clause_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus(spark, folder).select("doc_id", X.clause_group("spec_id", "clause").alias("clause_group"))
+
+
+@query(f"select distinct qid, list_aggregate(regexp_extract_all(coalesce(gold_answer, ''), {q(X.QUOTED)}, 1), 'string_agg', '|') as quotes from review_case")
+def quoted_spans(spark: SparkSession, folder: str) -> DataFrame:
+    spans = X.quoted_spans("gold_answer")
+    return table(spark, folder, "review_case").select("qid", F.when(F.size(spans) > 0, F.array_join(spans, "|")).alias("quotes")).distinct()
+
+
+@query(
+    "select distinct qid, case when regexp_matches(t, '修改建议[：:]" + X.WS + "*(?:无错误|无误|符合|无需修改)') then false "
+    "when regexp_matches(t, '修改建议[：:].*(?:有错误|有误|不符合|应改为|建议改为)') then true when contains(t, '无错误，无需修改') then false "
+    "when regexp_matches(t, '有错误|建议改为|应改为|不符合') then true end as has_error from (select qid, " + sql(SPACE, "gold_answer") + " as t from review_case)"
+)
+def verdict_parse(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "review_case").select("qid", X.has_error("gold_answer").alias("has_error")).distinct()
+
+
+@query(
+    "with a as (select distinct qid, review_sentence, " + sql(STRIP, "coalesce(gold_answer, '')") + " as t from review_case), "
+    "s as (select *, " + sql(STRIP, "regexp_extract(t, '(?s)^.*修改建议[：:](.*)$', 1)") + " as section from a), "
+    "p as (select *, regexp_extract(section, '(?s)(?:建议|应)?改为[：:]" + X.WS + "*[“\"''‘](.*?)[”\"''’]" + X.WS + "*[。.]?" + X.WS + "*$', 1) as quoted, "
+    "regexp_extract(section, '(?s)(?:建议|应)?改为[：:]" + X.WS + "*(.+?)" + X.WS + "*$', 1) as plain from s) "
+    "select distinct qid, case when not regexp_matches(t, '修改建议[：:]') then '' when regexp_matches(section, '无错误|无误|无需修改') then " + sql(SPACE, "review_sentence")
+    + " when quoted <> '' then trim(" + sql(SPACE, "quoted") + ", '。.') else trim(" + sql(SPACE, "plain") + ", '“”\"''‘’。.') end as replacement from p"
+)
+def replacement_parse(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "review_case").select("qid", X.replacement_sentence("gold_answer", "review_sentence").alias("replacement")).distinct()
+
+
+@query("with " + ASKED + ", n as (select qid, " + sql(STRIP, "replace(question, chr(13) || chr(10), chr(10))") + " as t from questions), c as (select *, strpos(t, chr(10) || chr(10)) as cut from n) "
+       "select qid, case when cut > 0 then " + sql(STRIP, "left(t, cut - 1)") + " else '' end as context, case when cut > 0 then " + sql(STRIP, "substr(t, cut + 2)") + " else t end as query from c")
+def question_split(spark: SparkSession, folder: str) -> DataFrame:
+    return asked(spark, folder).select("qid", X.split_question("question").alias("s")).select("qid", "s.context", "s.query")
+
+
+TERMS = f"""t as (select {{key}}, {sql(SPACE, '{text}')} as text from {{source}}),
+  w as (select *, list_filter(list_transform(regexp_extract_all(text, {q(X.TERM_WORD)}), lambda x: lower(x)), lambda x: not list_contains({listed(X.STOP_EN)}, x)) as words from t),
+  e as (select {{key}}, list_filter(list_concat(list_concat(regexp_extract_all(text, {q(X.TERM_HAN)}), regexp_extract_all(text, {q(X.TERM_PHRASE)})),
+        list_concat(words, list_transform(range(1, greatest(len(words), 1)), lambda i: words[i] || ' ' || words[i + 1]))), lambda x: not list_contains({listed(X.STOP_ZH)}, x)) as every from w),
+  l as (select *, list_transform(every, lambda x: lower(x)) as low from e),
+  terms as (select {{key}}, list_filter(every, lambda x, i: list_position(low, lower(x)) = i)[1:{{most}}] as terms from l)"""
+
+
+def terms_sql(key: str, text: str, source: str, most: int) -> str:
+    return TERMS.replace("{key}", key).replace("{text}", text).replace("{source}", source).replace("{most}", str(most))
+
+
+@query(f"with {terms_sql('doc_id', 'text', 'review_example', 48)} select doc_id, list_aggregate(terms, 'string_agg', '|') as terms from terms")
+def extract_terms(spark: SparkSession, folder: str) -> DataFrame:
+    terms = X.extract_terms("text")
+    return corpus(spark, folder).select("doc_id", F.when(F.size(terms) > 0, F.array_join(terms, "|")).alias("terms"))
+
+
+@query(f"select doc_id, '[DOCID:' || doc_id || ']' || chr(10) || coalesce(text, '') as tagged, list_aggregate(list_distinct([doc_id, doc_id]), 'string_agg', '|') as parsed from review_example")
+def docid_tag_parse(spark: SparkSession, folder: str) -> DataFrame:
+    tagged = X.tag_document("doc_id", "text")
+    return corpus(spark, folder).select("doc_id", tagged.alias("tagged"), F.array_join(X.parse_document_ids(F.concat(tagged, tagged), 1 << 40), "|").alias("parsed"))
+
+
+# --- BM25 ----------------------------------------------------------------------------------------------------------
+@query(f"select doc_id, len({sql(TOKENS, 'text')}) as dl from review_example")
+def bm25_tokens_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return bm25.lengths(corpus(spark, folder))
+
+
+@query(f"select token, count(*) as df from (select distinct doc_id, unnest({sql(TOKENS, 'text')}) as token from review_example) group by token")
+def bm25_df(spark: SparkSession, folder: str) -> DataFrame:
+    return bm25.document_frequency(bm25.token_counts(corpus(spark, folder)))
+
+
+@query(f"with {bm25_ctes(10)} select qid, doc_id, round(score, 6) as score, rank from ranked")
+def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return bm25.rank(corpus(spark, folder), asked(spark, folder), 10).withColumn("score", F.round("score", 6))
+
+
+# --- vectors: queries are every row whose id is divisible by 50 ------------------------------------------------------
+UNIT = "v as (select vec_id as doc_id, label, list_transform(embedding, lambda x: x::double / case when sqrt(list_inner_product(embedding::double[], embedding::double[])) < 1e-8 then 1 else sqrt(list_inner_product(embedding::double[], embedding::double[])) end) as e from embeddings)"
+DENSE = "with " + UNIT + ", r as (select a.doc_id as qid, b.doc_id, b.label, a.label as want, round(list_inner_product(a.e, b.e), 9) as score, row_number() over (partition by a.doc_id order by round(list_inner_product(a.e, b.e), 9) desc, b.doc_id desc) as rank from v a, v b where a.doc_id % 50 = 0 qualify rank <= 10)"
+
+
+def _dense(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
+    return vectors, dense.rank(vectors, vectors.where("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), "embedding"), 10)
+
+
+@query(DENSE + " select qid, doc_id, round(score, 6) as score, rank from r")
+def dense_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return _dense(spark, folder)[1].withColumn("score", F.round("score", 6))
+
+
+@query(DENSE + " select qid, count(*) filter (label = want) / 10.0::double as precision_10 from r group by qid")
+def dense_label_precision(spark: SparkSession, folder: str) -> DataFrame:
+    vectors, ranked = _dense(spark, folder)
+    labels = vectors.select("doc_id", "label")
+    both = ranked.join(labels, "doc_id").join(labels.select(F.col("doc_id").alias("qid"), F.col("label").alias("want")), "qid")
+    return both.groupBy("qid").agg((F.sum((F.col("label") == F.col("want")).cast("double")) / 10).alias("precision_10"))
+
+
+# --- graph ---------------------------------------------------------------------------------------------------------
+@query(f"select token, count(*) as df from (select distinct doc_id, unnest({sql(GRAPH_TOKENS, 'text')}) as token from review_example) where not list_contains({listed(X.STOP_EN)}, token) group by token")
+def graph_token_df(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.token_frequency(corpus(spark, folder))
+
+
+SENTENCES = "list_filter(list_transform(string_split(regexp_replace(coalesce({0}, ''), " + q(rf"([.!?]){X.WS}+") + ", '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(" + STRIP.replace("{0}", "s") + ")), lambda s: s <> '')"
+
+
+@query(f"select doc_id, len(s) as sentences, coalesce(list_sum(list_transform(s, lambda x: length(x))), 0)::bigint as chars from (select doc_id, {sql(SENTENCES, 'text')} as s from review_example)")
+def sentence_counts(spark: SparkSession, folder: str) -> DataFrame:
+    s = X.sentences("text")
+    return corpus(spark, folder).select("doc_id", F.size(s).cast("bigint").alias("sentences"), F.aggregate(s, F.lit(0).cast("bigint"), lambda n, x: n + F.length(x)).alias("chars"))
+
+
+@query()
+def proper_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus(spark, folder).select("doc_id", F.posexplode(X.proper_phrases("text")).alias("pos", "phrase"))
+
+
+@query()
+def graph_entities(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.entities(corpus(spark, folder)).select("doc_key", "rank", "key", "surface", F.round("score", 6).alias("score"))
+
+
+@query()
+def graph_relations(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.relations(graph.entities(corpus(spark, folder)))
+
+
+DOC_GRAPH = f"""g as (select doc_key, max_by({{entities: entities, relations: relations}}, loaded_at) as g from corpus_graph group by doc_key),
+  {terms_sql('doc_id', 'text', 'review_example', graph.FALLBACK_TERMS)},
+  dg as (select doc_id, coalesce(nullif(list_filter(list_transform(coalesce(g.entities, []), lambda x: lower(x)), lambda x, i: x is not null and trim(x) <> '' and list_position(list_transform(g.entities, lambda y: lower(y)), x) = i), []),
+         list_filter(list_transform(terms, lambda x: lower(x)), lambda x, i: list_position(list_transform(terms, lambda y: lower(y)), x) = i)) as entities,
+         nullif(g.relations, []) as relations
+         from (select doc_id, {sql(KEY, 'text')} as doc_key from review_example) left join g using (doc_key) join terms using (doc_id)),
+  own as (select doc_id, unnest(entities) as entity from dg),
+  idf as (select entity, count(*) as df, pow(greatest(ln(1 + (select count(*) from dg) / greatest(count(*), 0.5)::double), 1e-6), 0.25) as idf from own group by entity)"""
+
+
+@query(f"with {DOC_GRAPH} select entity, df, round(idf, 6) as idf from idf")
+def entity_idf(spark: SparkSession, folder: str) -> DataFrame:
+    docs = graph.document_graph(corpus(spark, folder), table(spark, folder, "corpus_graph"))
+    return graph.entity_idf(docs).withColumn("idf", F.round("idf", 6))
+
+
+EDGES = f"""one as (select lower(r.src) as u, lower(r.dst) as v from (select unnest(relations) as r from dg) where lower(r.src) in (select entity from idf) and lower(r.dst) in (select entity from idf)
+    union all select a.e as u, b.e as v from (select doc_id, unnest(entities) as e, generate_subscripts(entities, 1) as i from dg where relations is null) a
+      join (select doc_id, unnest(entities) as e, generate_subscripts(entities, 1) as i from dg where relations is null) b on a.doc_id = b.doc_id and b.i between a.i + 1 and a.i + {graph.WINDOW}),
+  edge as (select u, v from one union select v, u from one)"""
+
+
+def _graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs = graph.document_graph(corpus(spark, folder), table(spark, folder, "corpus_graph"))
+    idf = graph.entity_idf(docs)
+    return docs, idf, graph.edges(docs, idf)
+
+
+@query(f"with {DOC_GRAPH}, {EDGES} select u as entity, count(*) as neighbours from edge group by u")
+def graph_edges(spark: SparkSession, folder: str) -> DataFrame:
+    return _graph(spark, folder)[2].groupBy(F.col("u").alias("entity")).agg(F.count("*").alias("neighbours"))
+
+
+REACH = f"""h1 as (select o.doc_id, e.v as entity, 1 as hop from own o join edge e on e.u = o.entity group by all),
+  h2 as (select h.doc_id, e.v as entity, 2 as hop from h1 h join edge e on e.u = h.entity group by all),
+  hops as (select doc_id, entity, min(hop) as hop from (select doc_id, entity, 0 as hop from own union all select * from h1 union all select * from h2) group by all),
+  reach as (select doc_id, entity, hop, pow({graph.GAMMA}, hop) * idf as weight from hops join idf using (entity) qualify row_number() over (partition by doc_id order by round(pow({graph.GAMMA}, hop) * idf, 9) desc, entity) <= {graph.EXPANSION_CAP})"""
+
+
+@query(f"with {DOC_GRAPH}, {EDGES}, {REACH} select doc_id, hop, count(*) as entities, round(sum(weight), 5) as weight from reach group by all")
+def expansion_hops(spark: SparkSession, folder: str) -> DataFrame:
+    docs, idf, links = _graph(spark, folder)
+    return graph.expansion(docs, idf, links).groupBy("doc_id", "hop").agg(F.count("*").alias("entities"), F.round(F.sum("weight"), 5).alias("weight"))
+
+
+SUBGRAPH = f"""qd as (select qid, question from questions),
+  qterms as (select qid, terms as own_terms from ({{terms}})),
+  qe as (select qd.qid, coalesce(nullif(list_filter(coalesce(c.entities, []), lambda e: e is not null and trim(e) <> ''), []), own_terms)[1:{subgraph.MOST_TERMS}] as terms from qd left join query_cache c using (question) join qterms using (qid)),
+  qx as (select qid, lower(unnest(terms)) as term, generate_subscripts(terms, 1) as pos from qe),
+  qk as (select * from qx qualify row_number() over (partition by qid order by length(term) desc, pos) <= {subgraph.MAX_TERMS}),
+  known as (select qid, pos, term, idf from qk join idf on idf.entity = term),
+  offered as (select qid, sum(idf / least({subgraph.TOP_N}, greatest((select count(*) from idf), 1))) as offered from known group by qid),
+  hit as (select qid, doc_id, sum(weight) as weight from known join reach on reach.entity = known.term group by all),
+  sizes as (select doc_id, len(entities) as own from dg), lens as (select doc_id, count(*) as len from reach group by doc_id),
+  sc as (select qid, hit.doc_id, greatest(weight / least(greatest(len, 1), {subgraph.TOP_N}) - {subgraph.ALPHA}::double * own, 0.0) / greatest(offered, 1e-9) as score from hit join lens using (doc_id) join sizes using (doc_id) join offered using (qid)),
+  al as (select qid, doc_id, max(score) as score from (select * from sc union all select qid, doc_id, 0.0::double from questions, (select doc_id from review_example order by doc_id desc limit 5)) group by all),
+  ranked as (select qid, doc_id, score, row_number() over (partition by qid order by round(score, 9) desc, doc_id desc) as rank from al qualify rank <= 5)"""
+
+
+def _subgraph_sql(final: str) -> str:
+    inner_terms = "with " + terms_sql("qid", "question", "questions", subgraph.MOST_TERMS) + " select * from terms"
+    return f"with {ASKED}, {DOC_GRAPH}, {EDGES}, {REACH}, {SUBGRAPH.replace('{terms}', inner_terms)} {final}"
+
+
+@query(_subgraph_sql("select qid, doc_id, round(score, 6) as score, rank from ranked"))
+def subgraph_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    docs, idf, links = _graph(spark, folder)
+    ranked = subgraph.rank(docs, idf, graph.expansion(docs, idf, links), asked(spark, folder), table(spark, folder, "query_cache"), 5)
+    return ranked.withColumn("score", F.round("score", 6))
+
+
+@query("with " + ASKED + f", {terms_sql('qid', 'question', 'questions', subgraph.MOST_TERMS)}, qe as (select questions.qid, coalesce(nullif(list_filter(coalesce(c.entities, []), lambda e: e is not null and trim(e) <> ''), []), terms)[1:{subgraph.MOST_TERMS}] as terms "
+       f"from questions left join query_cache c using (question) join terms using (qid)), qx as (select qid, lower(unnest(terms)) as term, generate_subscripts(terms, 1) - 1 as pos from qe) "
+       f"select qid, pos, term from qx qualify row_number() over (partition by qid order by length(term) desc, pos) <= {subgraph.MAX_TERMS}")
+def query_graph_resolve(spark: SparkSession, folder: str) -> DataFrame:
+    return subgraph.query_terms(asked(spark, folder), table(spark, folder, "query_cache")).withColumn("pos", F.col("pos").cast("bigint"))
+
+
+@query(f"select count(distinct k) as todo, count(distinct k) filter (cached) as done from (select {sql(KEY, 'text')} as k, {sql(KEY, 'text')} in (select doc_key from corpus_graph) as cached from review_example where text is not null)".replace("count(distinct k) as todo", "count(distinct k) filter (not cached) as todo"))
+def cache_todo(spark: SparkSession, folder: str) -> DataFrame:
+    rows = corpus(spark, folder).where("text is not null").select(X.cache_key("text").alias("doc_key"))
+    cache = table(spark, folder, "corpus_graph").select("doc_key")
+    todo = readers.not_cached(rows, cache, "doc_key").agg(F.count("*").alias("todo"))
+    return todo.join(rows.join(cache, "doc_key", "left_semi").agg(F.count_distinct("doc_key").alias("done")))
+
+
+# --- gold, samples, fingerprints --------------------------------------------------------------------------------------
+@query("with " + ASKED + ", g as (select qid, unnest(gold) as d, generate_subscripts(gold, 1) as pos from questions), f as (select qid, d, min(pos) as pos from g where d in (select doc_id from review_example) group by all), "
+       "l as (select qid, string_agg(d::varchar, '|' order by pos) as gold from f group by qid) select qid, gold from questions left join l using (qid)".replace("select qid, gold from questions", "select questions.qid, l.gold from questions"))
+def gold_resolution(spark: SparkSession, folder: str) -> DataFrame:
+    found = readers.valid_gold(asked(spark, folder), corpus(spark, folder))
+    return found.select("qid", F.when(F.size("gold") > 0, F.array_join("gold", "|")).alias("gold"))
+
+
+@query("with " + ASKED + ", n as (select count(*) // 4 as n from questions) select qid from questions order by md5('7:' || qid), qid limit (select n from n)")
+def sample_queries(spark: SparkSession, folder: str) -> DataFrame:
+    rows = asked(spark, folder)
+    return readers.sample(rows, rows.count() // 4, 7).select("qid")
+
+
+@query("with h as (select sha1(doc_id::varchar || ':' || sha1(coalesce(text, ''))) as h from review_example), b as (select left(h, 3) as block, sha1(string_agg(h, '' order by h)) as h from h group by 1) select sha1(string_agg(h, '' order by h)) as version from b")
+def data_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    return readers.fingerprint(corpus(spark, folder), "doc_id", "text")
+
+
+# --- metrics -----------------------------------------------------------------------------------------------------------
+def _metric_sql(k: int) -> str:
+    return f"""case when f{k} > 0 then 1.0::double / f{k} else 0 end as mrr_{k}, coalesce((f{k} > 0)::double, 0) as hit_{k}, coalesce(n{k}, 0)::double / greatest(len(gold), 1) as recall_{k}, coalesce(n{k}, 0)::double / {k} as precision_{k},
+      case when len(gold) > 0 then coalesce(d{k}, 0) / list_sum(list_transform(range(0, least(len(gold), {k})), lambda i: 1.0::double / log2(i + 2))) else 0.0 end as ndcg_{k}, case when len(gold) > 0 then coalesce(m{k}, 0) / least(len(gold), {k}) else 0.0 end as map_{k}"""
+
+
+EVAL = f"""with {bm25_ctes(10)}, gx as (select qid, unnest(gold) as d, generate_subscripts(gold, 1) as pos from questions), gu as (select distinct qid, d from gx where d in (select doc_id from review_example)),
+  gl as (select questions.qid, hop_group, coalesce(list(d) filter (d is not null), []) as gold from questions left join gu using (qid) group by all),
+  hit as (select ranked.qid, rank, (gu.d is not null)::int as h from ranked left join gu on gu.qid = ranked.qid and gu.d = ranked.doc_id), run as (select *, sum(h) over (partition by qid order by rank) as c from hit),
+  per as (select qid, """ + ", ".join(f"min(rank) filter (h = 1 and rank <= {k}) as f{k}, sum(h) filter (rank <= {k}) as n{k}, sum(h / log2(rank + 1)) filter (rank <= {k}) as d{k}, sum(h * c::double / rank) filter (rank <= {k}) as m{k}" for k in (5, 10)) + f""" from run group by qid),
+  met as (select gl.qid, hop_group, {_metric_sql(5)}, {_metric_sql(10)} from gl left join per using (qid))"""
+NAMES = [f"{m}_{k}" for k in (5, 10) for m in ("mrr", "hit", "recall", "precision", "ndcg", "map")]
+
+
+def _judged(spark: SparkSession, folder: str) -> DataFrame:
+    clauses = corpus(spark, folder)
+    queries = asked(spark, folder)
+    gold = readers.valid_gold(queries, clauses)
+    ranked = ranking.as_lists(bm25.rank(clauses, queries, 10))
+    rows = queries.select("qid", "hop_group").join(gold, "qid").join(ranked, "qid", "left")
+    return rows.select("qid", "hop_group", *(c.alias(n) for k in (5, 10) for n, c in metrics.retrieval_metrics("topk", "gold", k).items()))
+
+
+@query(EVAL + " select qid, " + ", ".join(f"round({m}, 6) as {m}" for m in NAMES) + " from met")
+def retrieval_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    return _judged(spark, folder).select("qid", *(F.round(m, 6).alias(m) for m in NAMES))
+
+
+@query(EVAL + " select hop_group, count(*) as num_queries, " + ", ".join(f"round(avg({m}) * 100, 6) as {m}" for m in NAMES) + " from met group by hop_group")
+def metrics_by_group(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.averages(_judged(spark, folder), NAMES, ["hop_group"]).select("hop_group", "num_queries", *(F.round(m, 6).alias(m) for m in NAMES))
+
+
+@query()
+def metrics_by_method(spark: SparkSession, folder: str) -> DataFrame:
+    clauses, queries = pipeline.prepare(corpus(spark, folder), table(spark, folder, "benchmark_query"))
+    found = pipeline.infer(clauses, queries, table(spark, folder, "corpus_graph"), table(spark, folder, "query_cache"))
+    return pipeline.evaluate(found)
+
+
+CASES = "cases as (select distinct qid, review_sentence, correct_sentence from review_case)"
+
+
+def _cases(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "review_case").select("qid", "review_sentence", "correct_sentence").distinct()
+
+
+def _prf_sql(a: str, b: str) -> str:
+    both = f"list_sum(list_transform(list_distinct({a}), lambda x: least(len(list_filter({a}, lambda y: y = x)), len(list_filter({b}, lambda y: y = x)))))"
+    return f"select qid, case when len({a}) > 0 and len({b}) > 0 then coalesce({both}, 0)::double / len({a}) else 0 end as p, case when len({a}) > 0 and len({b}) > 0 then coalesce({both}, 0)::double / len({b}) else 0 end as r"
+
+
+F1 = "select qid, round(p, 6) as p, round(r, 6) as r, round(case when p + r > 0 then 2 * p * r / (p + r) else 0 end, 6) as f1 from m"
+
+
+@query("with " + CASES + f", c as (select qid, regexp_extract_all({sql(NORMAL_CHARS, 'review_sentence')}, '.') as a, regexp_extract_all({sql(NORMAL_CHARS, 'correct_sentence')}, '.') as b from cases), m as (" + _prf_sql("a", "b") + " from c) " + F1)
+def char_prf(spark: SparkSession, folder: str) -> DataFrame:
+    return _cases(spark, folder).select("qid", *(F.round(c, 6).alias(n) for n, c in metrics.char_prf("review_sentence", "correct_sentence").items()))
+
+
+WORDS = "c as (select qid, list_filter(string_split(" + OFFICIAL.replace("{0}", "review_sentence").replace("{{", "{").replace("}}", "}") + ", ' '), lambda w: w <> '') as a, list_filter(string_split(" + OFFICIAL.replace("{0}", "correct_sentence").replace("{{", "{").replace("}}", "}") + ", ' '), lambda w: w <> '') as b from cases)"
+
+
+@query("with " + CASES + ", " + WORDS + ", m as (" + _prf_sql("a", "b") + " from c) " + F1)
+def token_prf(spark: SparkSession, folder: str) -> DataFrame:
+    return _cases(spark, folder).select("qid", *(F.round(c, 6).alias(n) for n, c in metrics.token_prf("review_sentence", "correct_sentence").items()))
+
+
+@query("with " + CASES + ", " + WORDS + ", m as (" + _prf_sql("a", "b") + ", a, b from c) select qid, round(case when len(a) > len(b) then p else p * exp(1 - len(b)::double / greatest(len(a), 1)) end, 6) as bleu1 from m")
+def bleu1(spark: SparkSession, folder: str) -> DataFrame:
+    return _cases(spark, folder).select("qid", F.round(metrics.bleu1("review_sentence", "correct_sentence"), 6).alias("bleu1"))
+
+
+ANSWER = "trim(regexp_replace(lower(coalesce({0}, '')), " + q(f"[^0-9a-z{X.HAN}]+") + ", ' ', 'g'))"
+
+
+@query("with " + CASES + f" select qid, ({ANSWER.replace('{0}', 'review_sentence')} = {ANSWER.replace('{0}', 'correct_sentence')})::double as exact_match from cases")
+def exact_match(spark: SparkSession, folder: str) -> DataFrame:
+    return _cases(spark, folder).select("qid", metrics.exact_match("review_sentence", "correct_sentence").alias("exact_match"))
+
+
+@query()
+def rouge_l(spark: SparkSession, folder: str) -> DataFrame:
+    return _cases(spark, folder).select("qid", F.round(metrics.rouge_l("review_sentence", "correct_sentence"), 6).alias("rouge_l"))
+
+
+@query()
+def edit_fragments(spark: SparkSession, folder: str) -> DataFrame:
+    return _cases(spark, folder).select("qid", revision.edit_fragments("review_sentence", "correct_sentence").alias("fragments"))
+
+
+@query()
+def edit_payload_f1(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "review_case").select("qid", "review_sentence", "correct_sentence", X.replacement_sentence("gold_answer", "review_sentence").alias("predicted")).distinct()
+    return rows.select("qid", F.round(revision.edit_payload_f1("review_sentence", "predicted", "correct_sentence"), 6).alias("f1"))
+
+
+@query()
+def embedding_prf(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _cases(spark, folder)
+    sides = rows.select("qid", F.lit("p").alias("side"), F.explode(X.revision_chunks("review_sentence")).alias("text")).unionByName(rows.select("qid", F.lit("r").alias("side"), F.explode(X.revision_chunks("correct_sentence")).alias("text")))
+    vectors = sides.join(models.encoded(sides, "text"), "text").groupBy("qid").agg(*(F.collect_list(F.when(F.col("side") == s, F.col("embedding"))).alias(f"side_{s}") for s in ("p", "r")))
+    return vectors.select("qid", *(F.round(c, 5).alias(n) for n, c in revision.embedding_prf(F.col("side_p"), F.col("side_r")).items()))
+
+
+# --- evidence ------------------------------------------------------------------------------------------------------------
+def _evidence(spark: SparkSession, folder: str, k: int = 5) -> DataFrame:
+    clauses, queries = corpus(spark, folder), asked(spark, folder)
+    return queries.join(evidence.gathered(bm25.rank(clauses, queries, k), clauses, k), "qid", "left")
+
+
+HIT = "'[' || rank || '] ' || coalesce(spec_name, spec_id, '') || ' 第' || coalesce(clause, '') || '条' || chr(10) || left(" + sql(SPACE, "split_part(text, " + q(X.COMMENTARY) + ", 1)") + f", {X.CLAUSE_CHARS})"
+
+
+@query(f"with {bm25_ctes(5)} select qid, string_agg({HIT}, chr(10) || chr(10) order by rank) as block from ranked join review_example using (doc_id) group by qid")
+def evidence_block(spark: SparkSession, folder: str) -> DataFrame:
+    return _evidence(spark, folder).select("qid", evidence.block(F.col("hits")).alias("block"))
+
+
+@query()
+def answer_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    return _evidence(spark, folder).select("qid", evidence.answer_prompt(F.col("question"), F.col("hits")).alias("prompt"))
+
+
+@query(f"""with {bm25_ctes(5)}, ev as (select qid, list({sql(SPAN, 'text')}) as spans from ranked join review_example using (doc_id) group by qid),
+  a as (select questions.qid, coalesce(answer, '') as answer, list_transform(regexp_extract_all(coalesce(answer, ''), {q(X.QUOTED)}, 1), lambda x: {sql(SPAN, 'x')}) as quotes, spans from questions left join ev using (qid))
+  select qid, case when length(answer) < {evidence.SHORTEST} then 'short' when length(answer) > {evidence.LONGEST} then 'long' when {' or '.join(f"contains(answer, {q(r)})" for r in evidence.REFUSALS)} then 'refusal'
+  when len(spans) > 0 and len(quotes) = 0 then 'no quote' when len(spans) > 0 and len(list_filter(quotes, lambda x: len(list_filter(spans, lambda s: contains(s, x))) = 0)) > 0 then 'not verbatim' else 'ok' end as validity from a""")
+def answer_validity(spark: SparkSession, folder: str) -> DataFrame:
+    texts = F.transform(F.coalesce("hits", F.expr("array()")), lambda h: h["text"])
+    return _evidence(spark, folder).select("qid", evidence.validity(F.coalesce("answer", F.lit("")), texts).alias("validity"))
+
+
+@query()
+def repaired_answers(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _evidence(spark, folder).select("qid", F.coalesce("question", F.lit("")).alias("question"), F.coalesce("answer", F.lit("")).alias("answer"), F.transform("hits", lambda h: h["text"]).alias("texts"))
+    return rows.select("qid", evidence.best_quote(F.concat("question", "answer"), F.col("texts")).alias("quote"), evidence.repaired(F.col("answer"), F.col("question"), F.col("texts")).alias("repaired"))
+
+
+# --- replies as JSON: made from the extraction table ---------------------------------------------------------------------
+@query()
+def graph_json_parse(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "corpus_graph").select("doc_key", "loaded_at", F.to_json(F.struct(F.col("entities"), F.transform("relations", lambda r: F.array(r["src"], r["dst"])).alias("relations"))).alias("reply"))
+    return rows.select("doc_key", "loaded_at", json_repair.reply_graph(F.concat(F.lit("```json\n"), "reply", F.lit("\n```"))).alias("g")).select("doc_key", "loaded_at", F.size("g.entities").alias("entities"), F.size("g.relations").alias("relations"))
+
+
+
+
+@query()
+def json_repair_replies(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "corpus_graph").select("doc_key", "loaded_at", F.to_json(F.struct("entities", "relations")).alias("reply"))
+    broken = F.regexp_replace("reply", '","', '" "')  # as if the model had left out commas
+    return rows.select("doc_key", "loaded_at", json_repair.reply_object(broken).alias("object"))
