@@ -54,7 +54,8 @@ TOKENS = (
 GRAPH_TOKENS = "list_transform(regexp_extract_all(coalesce({0}, ''), " + q(X.GRAPH_TOKEN) + "), lambda t: trim(lower(t), " + q(X.EDGE_SIGNS) + "))"
 NORMAL_CHARS = "lower(regexp_replace(coalesce({0}, ''), " + q(f"[^0-9A-Za-z{X.HAN}]") + ", '', 'g'))"
 SPAN = "regexp_replace(replace(replace(coalesce({0}, ''), " + q(X.COMMENTARY_LABEL) + ", ''), " + q(X.COMMENTARY) + ", ''), " + q(X.WS + "+") + ", '', 'g')"
-OFFICIAL = "trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce({0}, '')), " + q(r"[!-/:-@\[-`{-~]").replace("{", "{{").replace("}", "}}") + ", '', 'g'), " + q(r"\b(?:a|an|the)\b") + ", ' ', 'g'), " + q(X.WS + "+").replace("{", "{{").replace("}", "}}") + ", ' ', 'g'))"
+ARTICLE = q(X.ARTICLE)
+OFFICIAL = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce({0}, '')), " + q(r"[!-/:-@\[-`{-~]") + ", '', 'g'), " + ARTICLE + ", '\\1 \\2', 'g'), " + ARTICLE + ", '\\1 \\2', 'g'), " + q(X.WS + "+") + ", ' ', 'g'))"
 
 
 def sql(template: str, *args: str) -> str:
@@ -405,7 +406,7 @@ def char_prf(spark: SparkSession, folder: str) -> DataFrame:
     return _cases(spark, folder).select("qid", *(F.round(c, 6).alias(n) for n, c in metrics.char_prf("review_sentence", "correct_sentence").items()))
 
 
-WORDS = "c as (select qid, list_filter(string_split(" + OFFICIAL.replace("{0}", "review_sentence").replace("{{", "{").replace("}}", "}") + ", ' '), lambda w: w <> '') as a, list_filter(string_split(" + OFFICIAL.replace("{0}", "correct_sentence").replace("{{", "{").replace("}}", "}") + ", ' '), lambda w: w <> '') as b from cases)"
+WORDS = "c as (select qid, list_filter(string_split(" + OFFICIAL.replace("{0}", "review_sentence") + ", ' '), lambda w: w <> '') as a, list_filter(string_split(" + OFFICIAL.replace("{0}", "correct_sentence") + ", ' '), lambda w: w <> '') as b from cases)"
 
 
 @query("with " + CASES + ", " + WORDS + ", m as (" + _prf_sql("a", "b") + " from c) " + F1)

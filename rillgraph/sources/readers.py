@@ -4,21 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rillgraph.functions.text import normalize_space
 
-CORPUS = T.StructType.fromDDL("doc_id bigint, text string, source string, title string")
-QUERIES = T.StructType.fromDDL("qid string, question string, answer string, gold array<bigint>, `group` string")
+CORPUS = "doc_id bigint, text string, source string, title string"
+QUERIES = "qid string, question string, answer string, gold array<bigint>, `group` string"
 PASSAGE_FIELDS = ("context", "text", "passage", "content", "paragraph")
 
 
-def read_json_document(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A whole JSON document, or an array of rows."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One JSON row per line; blank lines are skipped, a malformed line is an error."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
@@ -26,7 +25,7 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> Dat
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Lines that are plain text, JSON strings or objects with ``text``; ids follow the files' order where they're missing."""
     lines = spark.read.text(path).where(F.trim("value") != "").withColumn("at", F.monotonically_increasing_id())
-    as_object = F.from_json("value", T.StructType.fromDDL("doc_id bigint, text string"))
+    as_object = F.from_json("value", "doc_id bigint, text string")
     as_string = F.when(F.col("value").startswith('"'), F.get_json_object(F.concat(F.lit('{"t":'), "value", F.lit("}")), "$.t"))
     rows = lines.select("at", as_object["doc_id"].alias("given"), F.coalesce(as_object["text"], as_string, "value").alias("text"))
     return numbered(rows, "at").select(F.coalesce("given", "doc_id").alias("doc_id"), "text")
