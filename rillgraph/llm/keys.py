@@ -1,4 +1,7 @@
-"""Hash keys of texts, made in Arrow batches by the consistent form and the content string."""
+"""Hash keys of texts, made in Arrow batches by the consistent form and the content string.
+
+Rows without an id or a text are left out: there is nothing to report them by.
+"""
 
 from __future__ import annotations
 
@@ -44,7 +47,7 @@ def look_keys(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
             return None
         return i, *hash128(lines.replace("\n", " ")), hash128(text)[0]
 
-    return _mapped(df.where(F.col(text_col).isNotNull()).select(id_col, text_col), "doc_id bigint, f1 bigint, f2 bigint, r bigint", row)
+    return _mapped(df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col), "doc_id bigint, f1 bigint, f2 bigint, r bigint", row)
 
 
 def content_keys(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LONG_ENOUGH) -> DataFrame:
@@ -54,7 +57,7 @@ def content_keys(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found = forms.content(text) if len(text) >= least else ""
         return (i, *hash128(found)) if len(found) >= least else None
 
-    return _mapped(df.where(F.col(text_col).isNotNull()).select(id_col, text_col), "doc_id bigint, k1 bigint, k2 bigint", row)
+    return _mapped(df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col), "doc_id bigint, k1 bigint, k2 bigint", row)
 
 
 def contents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LONG_ENOUGH) -> DataFrame:
@@ -64,4 +67,4 @@ def contents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
         found = forms.content(text) if len(text) >= least else ""
         return (i, *hash128(found), found) if len(found) >= least else None
 
-    return _mapped(df.where(F.col(text_col).isNotNull()).select(id_col, text_col), "doc_id bigint, k1 bigint, k2 bigint, content string", row)
+    return _mapped(df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col), "doc_id bigint, k1 bigint, k2 bigint, content string", row)

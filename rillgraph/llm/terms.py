@@ -158,7 +158,8 @@ def marked(counts: DataFrame, total: int) -> DataFrame:
 
 def text_frequencies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(field, term, occurrences, records, mark) of a text column."""
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint"), text_col)
+    identity = F.coalesce(F.col(id_col).cast("bigint"), -1 - F.monotonically_increasing_id())
+    rows = docs.where(F.col(text_col).isNotNull()).select(identity.alias("id"), text_col)
     return marked(frequencies(bitmaps(rows, text_terms)), rows.count()).select(F.lit("text").alias("field"), "*")
 
 
