@@ -18,6 +18,10 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return near_dups.found(table(spark, folder, "review_example"))
 
 
+def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dups.groups(table(spark, folder, "review_example"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return format_dups.found(table(spark, folder, "review_example"))
 
@@ -68,6 +72,6 @@ def p8_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p3_found, p3_records, p4_found, p4_frequencies, p5_found, p5_pieces, p6_found, p6_leaks, p7_mixture, p7_shares, p8_found, p8_quality)
+    f.__name__: f for f in (p1_found, p2_found, p2_groups, p3_found, p3_records, p4_found, p4_frequencies, p5_found, p5_pieces, p6_found, p6_leaks, p7_mixture, p7_shares, p8_found, p8_quality)
 }
 SQL: dict[str, str] = {}

@@ -40,6 +40,7 @@ from rillgraph.sources.scratch import written
 SHINGLE, THRESHOLD = 3, 0.7
 EXPECTED = 7.5
 HOT, SECOND, LEVELS = 1000, 4, 4
+SLOT_BITS, EXTRA_BITS, MOST = 20, 3, 12
 BUCKET_BYTES, BATCH_CHARS, SALTS = 8_000_000, 2_000_000, 8
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -72,63 +73,127 @@ def _is_prime(n: int) -> bool:
 
 
 class Bands:
-    """The grid of each band of sizes: lines a direction, directions used, least features on a line."""
+    """The grid of each band of sizes: lines a direction, and directions to start with.
 
-    def __init__(self, threshold: float, texts: int) -> None:
+    ``rarity`` has the information of each slot of hashed features, in eighths of a
+    bit.  A line is used if its features have ``needed`` bits together, which a
+    collection of this size must ask for, lest unrelated texts share it; two texts
+    with the same features on a line decide alike.  Texts of common features leave out
+    more lines and go through more directions.
+    """
+
+    def __init__(self, threshold: float, texts: int, rarity: np.ndarray) -> None:
         self.threshold = threshold
+        self.rarity = rarity
+        self.needed = 8 * (math.log2(max(2, texts)) + EXTRA_BITS)
         self.differ = 2 * (1 - threshold) / (1 + threshold)  # differing features per feature at the threshold
-        self.more = 0.45 * max(0.0, math.log2(max(1, texts) / 250_000))  # longer lines for larger collections
-        self.known: dict[int, tuple[int, int, int]] = {}
+        self.more = 0.12 * max(0.0, math.log2(max(1, texts) / 250_000))  # longer lines for larger collections
+        self.known: dict[int, tuple[int, int]] = {}
 
     @staticmethod
     def of(sizes: np.ndarray | float) -> np.ndarray:
         return np.floor(2 * np.log2(np.maximum(sizes, 1))).astype(np.int64)
 
-    def grid(self, band: int) -> tuple[int, int, int]:
+    def grid(self, band: int) -> tuple[int, int]:
         if band not in self.known:
             size = 2 ** ((band + 0.5) / 2)
-            line = min(9.0, max(3.0, 5.2 + 2.3 * math.log2(size / 116))) + self.more
-            line = min(line, max(1.5, size / 3))
-            q = max(2, round(size / line))
+            line = min(9.0, max(3.0, 4.9 + 1.6 * math.log2(size / 116))) + self.more
+            q = max(2, round(size / min(line, max(1.5, size / 3))))
             while not _is_prime(q):
                 q += 1
-            chance = math.exp(-self.differ * size / q)
-            self.known[band] = q, max(2, math.ceil(EXPECTED / (0.9 * q * chance))), 1 if size / q < 2.5 else 2 if size / q < 6 else 3
+            self.known[band] = q, max(1, math.floor(EXPECTED / (q * math.exp(-self.differ * size / q))))
         return self.known[band]
 
 
+def rarity(texts: DataFrame, rows: int) -> np.ndarray:
+    """Information of each of 2**SLOT_BITS slots of hashed features, in eighths of a bit, counted over all texts.
+
+    Partitions count in arrays of fixed size, whose segments are added up in reducers
+    that stream over them; 4 MiB come to the driver whatever the size of the table.
+    """
+    slots, segment = 1 << SLOT_BITS, 1 << 16
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(slots, np.int64)
+        for batch in _chunks(batches, "content"):
+            _, value, _ = features(batch.column("content").to_pylist())
+            total += np.bincount((value >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=slots)
+        for k in range(slots // segment):
+            part = total[k * segment : (k + 1) * segment]
+            if part.any():
+                yield pa.RecordBatch.from_pydict({"segment": pa.array([k], pa.int32()), "counts": [_planes(part.astype("<u8"))]})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, counts in zip(batch.column("segment").to_pylist(), batch.column("counts").to_pylist()):
+                totals[k] = totals.get(k, 0) + _unplanes(counts, 8).view("<u8")
+        for k, total in totals.items():
+            bits = np.clip(np.floor(8 * np.log2(np.maximum(rows, 1) / np.maximum(total, 1))), 0, 255).astype(np.uint8)
+            yield pa.RecordBatch.from_pydict({"segment": pa.array([k], pa.int32()), "bits": [bits.tobytes()]})
+
+    out = np.full(slots, min(255, int(8 * math.log2(max(2, rows)))), np.uint8)
+    parts = texts.select("content").mapInArrow(count, "segment int, counts binary")
+    for r in parts.repartition(slots // segment, "segment").mapInArrow(add, "segment int, bits binary").collect():
+        out[r.segment * segment : (r.segment + 1) * segment] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Integers byte plane by byte plane, so that planes of zeros compress away."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _unplanes(planes: bytes, size: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T)
+
+
 def signatures(texts: list[str], bands: Bands, above: np.ndarray | None = None, level: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and 64-bit hash of each signature; ``above`` are the signatures that they refine."""
+    """Text number and 64-bit hash of each signature; ``above`` are the signatures that they refine.
+
+    A text goes through directions until the lines that it used let it expect
+    ``EXPECTED`` common signatures with a text at the threshold.
+    """
     owner, value, sizes = features(texts)
     first = Bands.of(sizes)
     last = Bands.of(np.floor(sizes / bands.threshold + 1e-9))
     starts = np.r_[0, np.cumsum(sizes)]
     numbers, found = [], []
     for band in range(int(first.min(initial=0)), int(last.max(initial=0)) + 1):
-        texts_in = np.flatnonzero((first <= band) & (band <= last) & (sizes > 0))
-        if not len(texts_in):
-            continue
-        q, directions, least = bands.grid(band)
-        n = sizes[texts_in]
-        at = np.repeat(starts[texts_in] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        v = value[at]
-        cell = np.repeat(np.arange(len(texts_in)) * q, n)
-        row, column = ((v >> np.uint64(40)) % np.uint64(q)).astype(np.int64), ((v >> np.uint64(16)) % np.uint64(q)).astype(np.int64)
-        mix = mixed(v ^ np.uint64(0x9E3779B97F4A7C15))
-        low, high = (mix & np.uint64(0xFFFFFFFF)).astype(np.float64), (mix >> np.uint64(32)).astype(np.float64)
-        cells = len(texts_in) * q
-        use = range(directions) if above is None else range(directions + level * SECOND, directions + (level + 1) * SECOND)
-        for r in use:
-            slot = cell + (row + r * column) % q
+        live = np.flatnonzero((first <= band) & (band <= last) & (sizes > 0))
+        q, directions = bands.grid(band)
+        reached = np.zeros(len(texts))
+        start = 0 if above is None else (MOST + SECOND * (level - 1)) % q
+        for r in range(MOST if above is None else SECOND):
+            if not len(live):
+                break
+            if r == 0 or len(live) < len(kept):
+                kept = live
+                n = sizes[live]
+                at = np.repeat(starts[live] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                v = value[at]
+                cell = np.repeat(np.arange(len(live)) * q, n)
+                row, column = ((v >> np.uint64(40)) % np.uint64(q)).astype(np.int64), ((v >> np.uint64(16)) % np.uint64(q)).astype(np.int64)
+                mix = mixed(v ^ np.uint64(0x9E3779B97F4A7C15))
+                low, high = (mix & np.uint64(0xFFFFFFFF)).astype(np.float64), (mix >> np.uint64(32)).astype(np.float64)
+                bits = bands.rarity[(v >> np.uint64(64 - SLOT_BITS)).astype(np.int64)].astype(np.float64)
+                cells = len(live) * q
+            direction = start + r
+            slot = cell + (row + direction % q * column) % q
             count = np.bincount(slot, minlength=cells)
-            keep = np.flatnonzero(count >= (least if above is None else 1))
+            keep = np.flatnonzero((np.bincount(slot, bits, cells) >= bands.needed) if above is None else count > 0)
             # sums of halves are exact in doubles
             total = np.bincount(slot, low, cells)[keep].astype(np.uint64) + (np.bincount(slot, high, cells)[keep].astype(np.uint64) << np.uint64(24))
-            name = np.uint64((band << 40) + (r << 24)) + (keep % q).astype(np.uint64)
-            number = texts_in[keep // q]
+            name = np.uint64((band << 40) + (direction << 24)) + (keep % q).astype(np.uint64)
+            number = live[keep // q]
             signature = mixed(total + mixed(name))
             found.append(signature if above is None else mixed(signature + above[number]))
             numbers.append(number)
+            # both texts have a line's features and the other text adds none
+            same = (1 - bands.differ / 2) ** count[keep] * np.exp(-bands.differ / 2 * sizes[number] / q)
+            reached += np.bincount(number, same, len(texts))
+            if above is None and direction + 1 >= directions:
+                live = live[reached[live] < EXPECTED]
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     return np.concatenate(numbers), np.concatenate(found)
@@ -189,14 +254,16 @@ def _blocks(texts: DataFrame, bands: Bands, buckets: int, level: int) -> DataFra
     def block(contents_: list[str], rids: np.ndarray, above: np.ndarray | None) -> pa.RecordBatch:
         number, signature = signatures(contents_, bands, above, level)
         bucket = ((signature >> np.uint64(40)) % np.uint64(buckets)).astype(np.uint16 if buckets < 65_536 else np.int64)
-        order = np.argsort(bucket, kind="stable")
         base = int(rids.min())
         offset = (rids - base).astype(np.uint16)
-        rest = (signature & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order], offset[number[order]]
+        rest = signature & np.uint64(0xFFFFFFFF)
+        order = np.argsort((bucket.astype(np.uint64) << np.uint64(32)) | rest)
+        rest, near = rest.astype(np.uint32)[order], offset[number[order]]
         bucket = bucket[order]
         starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, np.int64)
         names, ends = bucket[starts], np.r_[starts[1:], len(order)]
-        packed = [rest[0][i:j].tobytes() + rest[1][i:j].tobytes() for i, j in zip(starts, ends)]
+        # neighbouring signatures differ little: their high bytes compress away
+        packed = [_planes(np.diff(rest[i:j], prepend=np.uint32(0)).astype("<u4")) + near[i:j].tobytes() for i, j in zip(starts, ends)]
         return pa.RecordBatch.from_pydict({"bucket": pa.array(names.astype(np.int32)), "base": pa.array([base] * len(names), pa.int64()), "rows": pa.array(packed, pa.binary())})
 
     return texts.mapInArrow(run, "bucket int, base bigint, rows binary")
@@ -208,14 +275,14 @@ def _pairs_of(signature: np.ndarray, rid: np.ndarray, hot: int | None) -> Iterat
     names = np.sort(rid)
     names = names[np.r_[True, names[1:] != names[:-1]]] if len(names) else names
     key = np.sort((signature.astype(np.uint64) << np.uint64(32)) | np.searchsorted(names, rid).astype(np.uint64))
-    signature, rid = (key >> np.uint64(32)).astype(np.uint32), names[(key & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+    signature, rid = (key >> np.uint64(32)).astype(np.uint32), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
     start = np.r_[True, signature[1:] != signature[:-1]]
     again = np.r_[False, (signature[1:] == signature[:-1]) & (rid[1:] == rid[:-1])]
     signature, rid, group = signature[~again], rid[~again], np.cumsum(start)[~again]
     size = np.bincount(group)
     if hot:
         over = np.flatnonzero(size[group] > hot)
-        yield np.ones(len(over), np.int8), rid[over], signature[over].astype(np.int64)
+        yield np.ones(len(over), np.int8), names[rid[over]], signature[over].astype(np.int64)
     at = np.flatnonzero((size[group] > 1) & ((size[group] <= hot) if hot else True))
     rid, group = rid[at], group[at]
     live = np.arange(len(rid))
@@ -229,8 +296,9 @@ def _pairs_of(signature: np.ndarray, rid: np.ndarray, hot: int | None) -> Iterat
         b.append(rid[live + step])
         held += len(live)
         if held > 1_000_000 or not len(live):
-            left, right = np.concatenate(a), np.concatenate(b)
-            yield np.zeros(len(left), np.int8), left, right
+            pair = np.sort((np.concatenate(a).astype(np.uint64) << np.uint64(32)) | np.concatenate(b).astype(np.uint64))
+            pair = pair[np.r_[True, pair[1:] != pair[:-1]]] if len(pair) else pair
+            yield np.zeros(len(pair), np.int8), names[(pair >> np.uint64(32)).astype(np.int64)], names[(pair & np.uint64(0xFFFFFFFF)).astype(np.int64)]
             a, b, held = [], [], 0
 
 
@@ -241,7 +309,7 @@ def _matched(blocks: DataFrame, hot: int | None) -> DataFrame:
         signature, rid = [], []
         for base, rows in zip(table.column("base").to_pylist(), table.column("rows").to_pylist()):
             n = len(rows) // 6
-            signature.append(np.frombuffer(rows, np.uint32, n))
+            signature.append(np.cumsum(_unplanes(rows[: 4 * n], 4).view("<u4").ravel(), dtype=np.uint32))
             rid.append(np.frombuffer(rows, np.uint16, n, 4 * n).astype(np.int64) + base)
         bucket = table.column("bucket")[0].as_py()
         found = list(_pairs_of(np.concatenate(signature), np.concatenate(rid), hot))
@@ -254,7 +322,7 @@ def _matched(blocks: DataFrame, hot: int | None) -> DataFrame:
 
 def candidates(texts: DataFrame, rows: int, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
     """(a, b), a < b: rids of classes that share a signature; a pair comes once for each bucket in which it does."""
-    bands = Bands(threshold, rows)
+    bands = Bands(threshold, rows, rarity(texts, rows))
     buckets = min(60_000, max(24, rows * 700 // BUCKET_BYTES))
     now = texts.select("rid", "content")
     out = None
@@ -337,3 +405,42 @@ def found(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     left = pairs.join(members.select(F.col("rid").alias("a"), F.col("doc_id").alias("x")), "a").withColumn("salt", F.pmod("x", F.lit(SALTS)))
     right = members.select(F.col("rid").alias("b"), F.col("doc_id").alias("y"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
     return left.join(right, ["b", "salt"]).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """(rid, label): the smallest rid that each class is linked to, over any number of steps.
+
+    Every round takes the smallest label among a class and its neighbours and then
+    that label's own label, so that rounds grow as the logarithm of the longest chain;
+    labels are written between rounds and only a count of changes comes to the driver.
+    """
+    both = written(pairs.union(pairs.select("b", "a")).toDF("rid", "next"), "links")
+    labels = written(both.groupBy("rid").agg(F.least("rid", F.min("next")).alias("label")), "labels")
+    while True:
+        near = both.join(labels.select(F.col("rid").alias("next"), F.col("label").alias("theirs")), "next").groupBy("rid").agg(F.min("theirs").alias("theirs"))
+        closer = labels.join(near, "rid").select("rid", F.col("label").alias("before"), F.least("label", "theirs").alias("label"))
+        jumped = labels.select(F.col("rid").alias("label"), F.col("label").alias("further"))
+        now = written(closer.join(jumped, "label", "left").select("rid", "before", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
+        labels = now.select("rid", "label")
+        if now.where("label <> before").isEmpty():
+            return labels
+
+
+def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, group_id, links) of every long-enough row.
+
+    ``class_id`` is the smallest doc_id with the same content, ``links`` the number of
+    other contents similar to it, ``group_id`` the smallest class_id that chains of
+    links lead to.
+    """
+    texts = classes(docs)
+    pairs = written(class_pairs(texts, threshold), "class-pairs")
+    links = pairs.select(F.explode(F.array("a", "b")).alias("rid")).groupBy("rid").agg(F.count("*").alias("links"))
+    narrow = texts.select("rid", "k1", "k2", "first_doc_id")
+    labelled = components(pairs).join(narrow.select("rid", "first_doc_id"), "rid")
+    leads = labelled.groupBy("label").agg(F.min("first_doc_id").alias("group_id"))
+    of = narrow.join(labelled.join(leads, "label").select("rid", "group_id"), "rid", "left").join(links, "rid", "left")
+    rows = of.select("k1", "k2", F.col("first_doc_id").alias("class_id"), F.coalesce("group_id", "first_doc_id").alias("group_id"), F.coalesce("links", F.lit(0).cast("bigint")).alias("links"))
+    salted = rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    keys = content_keys(docs).withColumn("salt", F.pmod("doc_id", F.lit(SALTS)))
+    return keys.join(salted, ["k1", "k2", "salt"]).select("doc_id", "class_id", "group_id", "links")

@@ -65,6 +65,34 @@ def test_near_dups_against_all_pairs(spark, tables, hot, monkeypatch):
         assert len(found) == len(set(found)) and set(found) == want
 
 
+def test_groups(spark, tables):
+    df = review(spark, tables)
+    contents = {i: c for i, _, c in texts_of(df)}
+    parent = {i: i for i in contents}
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    first = {}
+    for i, c in sorted(contents.items()):
+        parent[i] = first.setdefault(c, i)
+    links = collections.Counter()
+    pairs = {frozenset((first[contents[r.doc_id_a]], first[contents[r.doc_id_b]])) for r in near_dups.found(df).collect()}
+    for a, b in map(sorted, pairs):
+        links.update((a, b))
+        parent[max(top(a), top(b))] = min(top(a), top(b))
+    got = {r.doc_id: (r.class_id, r.group_id, r.links) for r in near_dups.groups(df).collect()}
+    assert got == {i: (first[c], top(i), links[first[c]]) for i, c in contents.items()}
+
+
+def test_components_of_a_chain(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a bigint, b bigint")
+    assert {r.rid: r.label for r in near_dups.components(chain).collect()} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+    assert near_dups.components(chain.limit(0)).count() == 0
+
+
 def test_near_dups_edges(spark):
     other = "".join(chr(0x4E00 + 7 * i) for i in range(60))
     df = frame(spark, [(0, BASE), (1, BASE), (2, BASE.replace("五组", "六组")), (3, None), (4, ""), (None, BASE), (5, other), (6, BASE.replace("，", " , "))])
