@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillgraph.llm.keys import LONG_ENOUGH, content_keys, contents
+from rillgraph.llm.keys import LONG_ENOUGH, contents
 from rillgraph.sources.scratch import written
 
 SHINGLE, THRESHOLD = 3, 0.7
@@ -219,9 +219,14 @@ def _chunks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordB
             at = end
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LONG_ENOUGH) -> DataFrame:
-    """One row per content: rid, k1, k2, first_doc_id, copies, n, s0..s3, content; written once."""
-    rows = contents(docs, id_col, text_col, least).groupBy("k1", "k2").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("copies"), F.first("content").alias("content"))
+def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LONG_ENOUGH) -> DataFrame:
+    """doc_id, k1, k2, content of the long-enough rows; written once."""
+    return written(contents(docs, id_col, text_col, least), "contents")
+
+
+def classes(rows: DataFrame) -> DataFrame:
+    """One row per content of stored rows: rid, k1, k2, first_doc_id, copies, n, s0..s3, content; written once."""
+    rows = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("copies"), F.first("content").alias("content"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _chunks(batches, "content"):
@@ -395,12 +400,13 @@ def class_pairs(texts: DataFrame, threshold: float = THRESHOLD, hot: int = HOT)
 
 def found(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """p2_found: doc_id_a, doc_id_b of all rows of matching classes; large classes are salted."""
-    texts = classes(docs)
+    rows = stored(docs)
+    texts = classes(rows)
     pairs = written(class_pairs(texts, threshold), "class-pairs")
     touched = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
     of = texts.join(touched, "rid").select("rid", "k1", "k2", "first_doc_id", "copies")
     alone = of.where("copies = 1").select("rid", F.col("first_doc_id").alias("doc_id"))
-    several = content_keys(docs).join(of.where("copies > 1").select("rid", "k1", "k2"), ["k1", "k2"]).select("rid", "doc_id")
+    several = rows.select("doc_id", "k1", "k2").join(of.where("copies > 1").select("rid", "k1", "k2"), ["k1", "k2"]).select("rid", "doc_id")
     members = written(alone.unionByName(several), "members")
     left = pairs.join(members.select(F.col("rid").alias("a"), F.col("doc_id").alias("x")), "a").withColumn("salt", F.pmod("x", F.lit(SALTS)))
     right = members.select(F.col("rid").alias("b"), F.col("doc_id").alias("y"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
@@ -433,7 +439,8 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     other contents similar to it, ``group_id`` the smallest class_id that chains of
     links lead to.
     """
-    texts = classes(docs)
+    stored_rows = stored(docs)
+    texts = classes(stored_rows)
     pairs = written(class_pairs(texts, threshold), "class-pairs")
     links = pairs.select(F.explode(F.array("a", "b")).alias("rid")).groupBy("rid").agg(F.count("*").alias("links"))
     narrow = texts.select("rid", "k1", "k2", "first_doc_id")
@@ -442,5 +449,5 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     of = narrow.join(labelled.join(leads, "label").select("rid", "group_id"), "rid", "left").join(links, "rid", "left")
     rows = of.select("k1", "k2", F.col("first_doc_id").alias("class_id"), F.coalesce("group_id", "first_doc_id").alias("group_id"), F.coalesce("links", F.lit(0).cast("bigint")).alias("links"))
     salted = rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    keys = content_keys(docs).withColumn("salt", F.pmod("doc_id", F.lit(SALTS)))
+    keys = stored_rows.select("doc_id", "k1", "k2").withColumn("salt", F.pmod("doc_id", F.lit(SALTS)))
     return keys.join(salted, ["k1", "k2", "salt"]).select("doc_id", "class_id", "group_id", "links")

@@ -54,7 +54,7 @@ def test_near_dups_against_all_pairs(spark, tables, hot, monkeypatch):
     df = review(spark, tables)
     rows = texts_of(df)
     want = {(min(a, b), max(a, b)) for k, (a, _, x) in enumerate(rows) for b, _, y in rows[k + 1 :] if x != y and 0.7 <= len(x) / len(y) * 2 and jaccard(x, y) >= 0.7}
-    texts = near_dups.classes(df)
+    texts = near_dups.classes(near_dups.stored(df))
     pairs = near_dups.class_pairs(texts, hot=hot or near_dups.HOT)
     first = {r.rid: r.content for r in texts.collect()}
     got = {frozenset((first[r.a], first[r.b])) for r in pairs.collect()}
@@ -107,7 +107,7 @@ def test_near_dups_shared_paragraph(spark):
     shared = word(60)
     rows = [(i, shared + word(60)) for i in range(300)]
     rows.append((300, rows[7][1].replace(rows[7][1][70:72], "甲乙")))
-    texts = near_dups.classes(frame(spark, rows))
+    texts = near_dups.classes(near_dups.stored(frame(spark, rows)))
     first = {r.rid: r.first_doc_id for r in texts.collect()}
     assert [{first[r.a], first[r.b]} for r in near_dups.class_pairs(texts, hot=20).collect()] == [{7, 300}]
 
