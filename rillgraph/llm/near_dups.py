@@ -15,7 +15,7 @@ Copies (equal content strings) are collapsed first.  Signatures travel packed, a
 block per bucket and batch, and are matched in buckets that Spark sorts together.
 A signature shared by more than ``HOT`` texts isn't paired: its texts are given
 second signatures, in directions of the grid not used before, under the first one,
-as often as needed.  Candidates are filtered by a parity sketch (its Hamming
+twice at most.  Candidates are filtered by a parity sketch (its Hamming
 distance never exceeds that of the sets, so nothing is lost) and then verified
 exactly.  Sizes, sketches and the hash seeds don't depend on the data.
 
@@ -39,7 +39,7 @@ from rillgraph.sources.scratch import written
 
 SHINGLE, THRESHOLD = 3, 0.7
 EXPECTED = 7.5
-HOT, SECOND, LEVELS = 1000, 4, 4
+HOT, SECOND, LEVELS = 2000, 2, 3
 SLOT_BITS, EXTRA_BITS, MOST = 20, 3, 12
 BUCKET_BYTES, BATCH_CHARS, SALTS = 8_000_000, 2_000_000, 8
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -79,7 +79,8 @@ class Bands:
     bit.  A line is used if its features have ``needed`` bits together, which a
     collection of this size must ask for, lest unrelated texts share it; two texts
     with the same features on a line decide alike.  Texts of common features leave out
-    more lines and go through more directions.
+    more lines and go through more directions, and through the lines left out if these
+    aren't enough.
     """
 
     def __init__(self, threshold: float, texts: int, rarity: np.ndarray) -> None:
@@ -164,11 +165,14 @@ def signatures(texts: list[str], bands: Bands, above: np.ndarray | None = None,
         q, directions = bands.grid(band)
         reached = np.zeros(len(texts))
         start = 0 if above is None else (MOST + SECOND * (level - 1)) % q
-        for r in range(MOST if above is None else SECOND):
+        # telling lines first; texts that haven't enough of them go on with the others
+        rounds = [(r, True) for r in range(MOST)] + [(r, False) for r in range(MOST)] if above is None else [(r, None) for r in range(SECOND)]
+        held = None
+        for r, telling in rounds:
             if not len(live):
                 break
-            if r == 0 or len(live) < len(kept):
-                kept = live
+            if held is None or len(live) < len(held):
+                held = live
                 n = sizes[live]
                 at = np.repeat(starts[live] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
                 v = value[at]
@@ -181,7 +185,10 @@ def signatures(texts: list[str], bands: Bands, above: np.ndarray | None = None,
             direction = start + r
             slot = cell + (row + direction % q * column) % q
             count = np.bincount(slot, minlength=cells)
-            keep = np.flatnonzero((np.bincount(slot, bits, cells) >= bands.needed) if above is None else count > 0)
+            use = count > 0
+            if telling is not None:
+                use &= (np.bincount(slot, bits, cells) >= bands.needed) == telling
+            keep = np.flatnonzero(use)
             # sums of halves are exact in doubles
             total = np.bincount(slot, low, cells)[keep].astype(np.uint64) + (np.bincount(slot, high, cells)[keep].astype(np.uint64) << np.uint64(24))
             name = np.uint64((band << 40) + (direction << 24)) + (keep % q).astype(np.uint64)
@@ -192,7 +199,7 @@ def signatures(texts: list[str], bands: Bands, above: np.ndarray | None = None,
             # both texts have a line's features and the other text adds none
             same = (1 - bands.differ / 2) ** count[keep] * np.exp(-bands.differ / 2 * sizes[number] / q)
             reached += np.bincount(number, same, len(texts))
-            if above is None and direction + 1 >= directions:
+            if above is None and (r + 1 >= directions or not telling):
                 live = live[reached[live] < EXPECTED]
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.uint64)

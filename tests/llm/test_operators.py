@@ -112,6 +112,19 @@ def test_near_dups_shared_paragraph(spark):
     assert [{first[r.a], first[r.b]} for r in near_dups.class_pairs(texts, hot=20).collect()] == [{7, 300}]
 
 
+def test_near_dups_where_all_texts_are_alike(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        cut = rng.randrange(10, 70)
+        rows.append((i, BASE[:cut] + chr(0x5000 + i) + BASE[cut:]))
+    rows += [(60 + i, "".join(chr(0x6000 + rng.randrange(4000)) for _ in range(60))) for i in range(40)]
+    contents = {i: forms.content(t) for i, t in rows}
+    want = {(a, b) for a in contents for b in contents if a < b and jaccard(contents[a], contents[b]) >= 0.7}
+    got = [(r.doc_id_a, r.doc_id_b) for r in near_dups.found(frame(spark, rows)).collect()]
+    assert set(got) == want and len(got) == len(want) and len(want) > 1000
+
+
 def test_verification_and_sketch():
     rng = random.Random(0)
     texts = ["".join(rng.choice("abcd") for _ in range(rng.randrange(3, 60))) for _ in range(200)]
