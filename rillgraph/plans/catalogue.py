@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rillgraph.functions import json_repair
 from rillgraph.functions import text as X
 from rillgraph.operators import bm25, dense, evidence, graph, metrics, models, ranking, revision, subgraph
-from rillgraph.plans import pipeline
+from rillgraph.plans import pipeline, review
 from rillgraph.sources import readers
 from rillgraph.sources.scratch import table
 
@@ -443,6 +443,13 @@ def edit_payload_f1(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("qid", F.round(revision.edit_payload_f1("review_sentence", "predicted", "correct_sentence"), 6).alias("f1"))
 
 
+@query()
+def review_scores(spark: SparkSession, folder: str) -> DataFrame:
+    cases = table(spark, folder, "review_case").select("qid", "review_sentence", "is_error", "correct_sentence", "gold_answer").distinct()
+    rows = review.score_rows(cases.withColumn("prediction", F.col("gold_answer")))
+    return rows.select("qid", "parsed", "kept_as_it_is", *(F.round(c, 6).alias(c) for c in ("edit_f1", "revision_char_f1", "answer_char_f1")))
+
+
 @query()
 def embedding_prf(spark: SparkSession, folder: str) -> DataFrame:
     rows = _cases(spark, folder)

@@ -91,3 +91,13 @@ def test_answers(spark):
     fixed = df.select(evidence.repaired(F.col("a"), F.lit("螺栓温度"), F.col("t")).alias("r"), "t")
     assert all(r[0] == "ok" for r in fixed.select(evidence.validity(F.col("r"), F.col("t"))).collect())
     assert df.select(evidence.best_quote(F.lit("螺栓储存温度"), F.col("t"))).first()[0] == "高强螺栓储存温度不应少于五度。"
+
+
+def test_review_rows(spark):
+    from rillgraph.plans.review import score_rows
+
+    fixed, fine = "修改建议：建议改为：“甲乙丁。”", "修改建议：无错误。"
+    rows = [("a", "甲乙丙", True, "甲乙丁", fixed, fixed), ("b", "甲", False, "甲", fine, fine), ("c", "甲", False, "甲", fine, fixed), ("d", None, None, None, None, None)]
+    got = {r.qid: r for r in score_rows(spark.createDataFrame(rows, "qid string, review_sentence string, is_error boolean, correct_sentence string, gold_answer string, prediction string")).collect()}
+    assert got["a"].edit_f1 == 1 and got["a"].reference_fragments == ["丁"] and got["a"].revision_char_f1 == 1 and got["a"].answer_char_f1 == 1
+    assert got["b"].edit_f1 == 1 and got["b"].kept_as_it_is and got["c"].edit_f1 == 0 and not got["d"].parsed

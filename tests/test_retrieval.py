@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from rillgraph.operators import bm25, dense, graph, models, subgraph
+from rillgraph.operators import bm25, dense, graph, models, semantic, subgraph
 from rillgraph.plans import pipeline
 
 DOCS = [(0, "Concrete must be cured for fourteen days."), (1, "Rebar spacing follows drawings."), (2, "Formwork stays until strength is reached."), (3, None)]
@@ -63,6 +63,37 @@ def test_expansion_and_exact_scores(spark):
     assert got[0] == pytest.approx((w / 3 - 0.03) / offered) and got[2] == pytest.approx(max(0.7 * w / 3 - 0.06, 0) / offered)
 
 
+def test_semantic_scores(spark):
+    docs = spark.createDataFrame([(0, ["aaa"], None), (1, ["bbb"], None)], "doc_id bigint, entities array<string>, relations array<struct<src:string,dst:string>>")
+    idf = graph.entity_idf(docs)
+    reach = graph.expansion(docs, idf, graph.edges(docs, idf))
+    entities = models.encoded(idf, "entity").withColumnRenamed("text", "entity")
+    asked = entities.where("entity = 'aaa'").select(F.lit(1).alias("term_id"), "embedding")
+    terms = spark.createDataFrame([("q", 1)], "qid string, term_id int")
+    sims = semantic.similarities(asked, entities)
+    got = {r.doc_id: r.score for r in semantic.scores(docs, semantic.coverage(sims, terms, reach, 3), semantic.offered(sims, terms, idf, 3)).collect()}
+    a, b = models.HashEncoder().encode_batch(["aaa", "bbb"])
+    c, w = float(a @ b), math.log1p(2) ** 0.25
+    whole = max(w * (1 + c) / 2, 1e-9)
+    assert got[0] == pytest.approx(max(w - 0.03, 0) / whole, rel=1e-5) and got[1] == pytest.approx(max(c * w - 0.03, 0) / whole, rel=1e-5)
+
+
+def test_relation_terms(spark):
+    docs = spark.createDataFrame([(0, ["a", "b"], [("A", "B")]), (1, ["c", "d"], None)], "doc_id bigint, entities array<string>, relations array<struct<src:string,dst:string>>")
+    edges = semantic.local_edges(docs)
+    assert {(r.doc_id, r.u, r.v) for r in edges.collect()} == {(0, "a", "b"), (0, "b", "a"), (1, "c", "d"), (1, "d", "c")}
+    idf = spark.createDataFrame([(e, 2.0) for e in "abcd"], "entity string, idf double")
+    ends = spark.createDataFrame([(1, "a", 1.0), (1, "b", 0.2), (1, "c", 0.1), (1, "d", 0.0), (2, "b", 0.5), (2, "a", 0.0), (2, "c", 0.0), (2, "d", 0.4)], "term_id int, entity string, sim double")
+    relations = spark.createDataFrame([("q", 0, 1, 2)], "qid string, rel int, src_id int, dst_id int")
+    related, whole = semantic.relation_terms(relations, ends, idf, edges)
+    assert {r.doc_id: r.related for r in related.collect()} == pytest.approx({0: 1.5, 1: 0.5}) and whole.first().related_offered == pytest.approx(1.5)
+    covered = spark.createDataFrame([("q", 0, 0.01), ("q", 1, 1.0)], "qid string, doc_id bigint, covered double")
+    offered = spark.createDataFrame([("q", 2.0)], "qid string, offered double")
+    paper = {r.doc_id: r.score for r in semantic.scores(docs, covered, offered, (related, whole), weight=1.0).collect()}
+    plain = {r.doc_id: r.score for r in semantic.scores(docs, covered, offered, (related, whole), paper=False).collect()}
+    assert paper == pytest.approx({0: 1.5 / 3.5, 1: (0.94 + 0.5) / 3.5}) and plain == pytest.approx({0: (0.01 + 1.5 - 0.06) / 3.5, 1: (1 + 0.5 - 0.06) / 3.5})
+
+
 def test_pipeline(spark, tables):
     read = lambda n: spark.read.parquet(f"{tables}/{n}.parquet")
     corpus, queries = pipeline.prepare(read("review_example"), read("benchmark_query"), pipeline.Config(sample_size=5))
