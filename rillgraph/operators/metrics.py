@@ -70,9 +70,12 @@ def words(value: Column) -> Column:
 
 def overlap(a: Column, b: Column) -> Column:
     """How many items two lists share, counted as often as both have them."""
-    return F.aggregate(
-        F.array_distinct(a), F.lit(0), lambda s, x: s + F.least(F.size(F.filter(a, lambda y: y == x)), F.size(F.filter(b, lambda y: y == x)))
-    )
+
+    def shared(s: Column) -> Column:
+        count = lambda items, x: F.size(F.filter(items, lambda y: y == x))
+        return F.aggregate(F.array_distinct(s["a"]), F.lit(0), lambda n, x: n + F.least(count(s["a"], x), count(s["b"], x)))
+
+    return X.let(F.struct(a.alias("a"), b.alias("b")), shared)
 
 
 def prf(a: Column, b: Column) -> dict[str, Column]:
