@@ -80,7 +80,8 @@ class Bands:
     collection of this size must ask for, lest unrelated texts share it; two texts
     with the same features on a line decide alike.  Texts of common features leave out
     more lines and go through more directions, and through the lines left out if these
-    aren't enough.
+    aren't enough.  A line of a text's own rare features is telling, but no other text
+    has it: see ``losses``.
     """
 
     def __init__(self, threshold: float, texts: int, rarity: np.ndarray) -> None:
@@ -105,6 +106,22 @@ class Bands:
             self.known[band] = q, max(1, math.floor(EXPECTED / (q * math.exp(-self.differ * size / q))))
         return self.known[band]
 
+    def lacking(self, band: int, sizes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ways to be at the threshold with a larger text of the band, or a smaller one: features that the other text lacks, and that it adds, per feature of a text."""
+        low, top = 2 ** (band / 2) / sizes, 2 ** ((band + 1) / 2) / sizes
+        most = np.where(low <= 1, 1 - self.threshold, np.maximum(0, 1 - self.threshold * low) / (1 + self.threshold))
+        ways = [most * part for part in (0, 0.6, 1)]
+        return [(u, np.maximum(0, np.minimum((1 - u) / self.threshold - 1, top - (1 - u)))) for u in ways]
+
+    @staticmethod
+    def losses(text: np.ndarray, bits: np.ndarray, sizes: np.ndarray, lacks: list[np.ndarray]) -> list[np.ndarray]:
+        """Of each feature, -log of the chance that the other text has it, if it lacks this share of a text's features, the rarest first; equally rare ones share what is left."""
+        key = text * 64 + (63 - (bits.astype(np.int64) >> 2))
+        held = np.bincount(key, minlength=len(sizes) * 64).reshape(len(sizes), 64)
+        before = np.cumsum(held, axis=1) - held
+        gone = (np.clip((u[:, None] * sizes[:, None] - before) / np.maximum(held, 1), 0, 1) for u in lacks)
+        return [-np.log(np.maximum(1 - g, 1e-9)).ravel()[key] for g in gone]
+
 
 def rarity(texts: DataFrame, rows: int) -> np.ndarray:
     """Information of each of 2**SLOT_BITS slots of hashed features, in eighths of a bit, counted over all texts.
@@ -153,7 +170,9 @@ def signatures(texts: list[str], bands: Bands, above: np.ndarray | None = None,
     """Text number and 64-bit hash of each signature; ``above`` are the signatures that they refine.
 
     A text goes through directions until the lines that it used let it expect
-    ``EXPECTED`` common signatures with a text at the threshold.
+    ``EXPECTED`` common signatures with a text at the threshold, whichever its
+    differences are: those of its features that the other text lacks are taken to be
+    its rarest ones, as telling lines hold most of these and are fewest without them.
     """
     owner, value, sizes = features(texts)
     first = Bands.of(sizes)
@@ -163,7 +182,8 @@ def signatures(texts: list[str], bands: Bands, above: np.ndarray | None = None,
     for band in range(int(first.min(initial=0)), int(last.max(initial=0)) + 1):
         live = np.flatnonzero((first <= band) & (band <= last) & (sizes > 0))
         q, directions = bands.grid(band)
-        reached = np.zeros(len(texts))
+        lacking = bands.lacking(band, np.maximum(sizes, 1))
+        reached = np.zeros((len(lacking), len(texts)))
         start = 0 if above is None else (MOST + SECOND * (level - 1)) % q
         # telling lines first; texts that haven't enough of them go on with the others
         rounds = [(r, True) for r in range(MOST)] + [(r, False) for r in range(MOST)] if above is None else [(r, None) for r in range(SECOND)]
@@ -181,6 +201,7 @@ def signatures(texts: list[str], bands: Bands, above: np.ndarray | None = None,
                 mix = mixed(v ^ np.uint64(0x9E3779B97F4A7C15))
                 low, high = (mix & np.uint64(0xFFFFFFFF)).astype(np.float64), (mix >> np.uint64(32)).astype(np.float64)
                 bits = bands.rarity[(v >> np.uint64(64 - SLOT_BITS)).astype(np.int64)].astype(np.float64)
+                lost = bands.losses(np.repeat(np.arange(len(live)), n), bits, n, [u[live] for u, _ in lacking]) if above is None else []
                 cells = len(live) * q
             direction = start + r
             slot = cell + (row + direction % q * column) % q
@@ -197,10 +218,11 @@ def signatures(texts: list[str], bands: Bands, above: np.ndarray | None = None,
             found.append(signature if above is None else mixed(signature + above[number]))
             numbers.append(number)
             # both texts have a line's features and the other text adds none
-            same = (1 - bands.differ / 2) ** count[keep] * np.exp(-bands.differ / 2 * sizes[number] / q)
-            reached += np.bincount(number, same, len(texts))
+            for k, loss in enumerate(lost):
+                same = np.exp(-np.bincount(slot, loss, cells)[keep] - (lacking[k][1] * sizes)[number] / q)
+                reached[k] += np.bincount(number, same, len(texts))
             if above is None and (r + 1 >= directions or not telling):
-                live = live[reached[live] < EXPECTED]
+                live = live[reached[:, live].min(axis=0) < EXPECTED]
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     return np.concatenate(numbers), np.concatenate(found)

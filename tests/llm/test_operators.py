@@ -1,6 +1,7 @@
 import collections
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +126,27 @@ def test_near_dups_where_all_texts_are_alike(spark):
     assert set(got) == want and len(got) == len(want) and len(want) > 1000
 
 
+@pytest.mark.parametrize("length, rare, share", [(200, 6, 4), (150, 5, 3), (150, 6, 5), (260, 8, 4), (330, 10, 3)])
+def test_near_dups_with_rare_characters_in_a_large_cluster(spark, length, rare, share):
+    """A part of the rows has one text, each with rare characters of its own: its telling lines are those that no other row has."""
+    rng = random.Random(7)
+    word = lambda n: "".join(chr(0x4E00 + rng.randrange(4000)) for _ in range(n))
+    base, texts = word(length), []
+    for _ in range(400 // share):
+        own = list(base)
+        for k in rng.sample(range(length // 4), rare):
+            own[4 * k] = chr(0x8000 + rng.randrange(10000))
+        texts.append("".join(own))
+    texts += [word(rng.randrange(length // 2, 2 * length)) for _ in range(400 - len(texts))]
+    # the cluster's share is the same in a collection of 300,000 texts, where unrelated lines need more bits
+    bits = near_dups.rarity(spark.createDataFrame([(t,) for t in texts], "content string"), len(texts)).astype(int)
+    bits = np.where(bits >= 8 * 7, 8 * 18, bits).astype(np.uint8)
+    number, signature = near_dups.signatures(texts, near_dups.Bands(0.7, 300_000, bits))
+    held = [set(signature[number == i].tolist()) for i in range(400 // share)]
+    pairs = [(i, j) for i in range(len(held)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.7]
+    assert len(pairs) > 20 and all(held[i] & held[j] for i, j in pairs)
+
+
 def test_verification_and_sketch():
     rng = random.Random(0)
     texts = ["".join(rng.choice("abcd") for _ in range(rng.randrange(3, 60))) for _ in range(200)]
