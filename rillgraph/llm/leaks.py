@@ -1,11 +1,12 @@
 """Problem 6: evaluation texts that leak into training text.
 
-Pigeonhole edit matching on content strings: every passage of a test item (windows
-of ``passage`` characters) with at most ``budget`` errors holds one of its
-``budget + 1`` pieces unchanged.  Pieces are looked up by a rolling hash of all
-positions of a batch of documents; each hit is extended to its longest exact run,
-and where that is shorter than a passage the passages around it are compared by
-Myers' bit-parallel edit distance.
+Pigeonhole edit matching on content strings: items are cut into pieces so small that
+every passage (any window of ``passage`` characters) holds ``budget + 1`` whole ones,
+one of which is unchanged where it has at most ``budget`` errors.  Pieces are looked
+up by a rolling hash of all positions of a batch of documents; each hit is extended
+to its longest exact run, and where that is shorter than a passage, as far as each
+number of errors reaches to either side.  Together these ways show whether any
+passage through the piece is within the budget.
 
 Items are a stated query set: they are sent to the tasks in blocks of at most
 ``BLOCK_CHARS`` characters, one pass over the documents per block.  Null and empty
@@ -75,11 +76,30 @@ def myers(pattern: str, text: str) -> int:
     return best
 
 
+def reach(item: str, text: str, budget: int) -> list[int]:
+    """The most characters at the start of ``item`` that match a start of ``text`` with 0, 1, .. ``budget`` errors, by furthest-reaching diagonals."""
+    far, out = {0: 0}, []
+    for _ in range(budget + 1):
+        for d, i in far.items():
+            while i < len(item) and i - d < len(text) and item[i] == text[i - d]:
+                i += 1
+            far[d] = i
+        out.append(max(far.values()))
+        more: dict[int, int] = {}
+        for d, i in far.items():
+            # another character, one that only the item has, one that only the text has
+            for e, k in ((d, i + 1), (d + 1, i + 1), (d - 1, i)):
+                if k <= len(item) and k - e <= len(text):
+                    more[e] = max(more.get(e, 0), k)
+        far = more | {d: i for d, i in far.items() if i > more.get(d, -1)}
+    return out
+
+
 class Pieces:
     """The aligned pieces of a block of items, sorted by hash."""
 
     def __init__(self, items: list[tuple[int, str]], passage: int, budget: int) -> None:
-        self.passage, self.budget, self.size = passage, budget, passage // (budget + 1)
+        self.passage, self.budget, self.size = passage, budget, (passage + 1) // (budget + 2)
         self.items = [(i, forms.content(t, records=False)) for i, t in items if t]
         self.items = [(i, c) for i, c in self.items if len(c) >= passage]
         spans = [(n, p) for n, (_, c) in enumerate(self.items) for p in range(0, len(c) - self.size + 1, self.size)]
@@ -124,9 +144,10 @@ class Pieces:
             reached[d, n, a - p] = a + right
             run, distance = left + right, 0
             if run < self.passage:
-                e = self.budget
-                starts = {min(max(0, p - k * self.size), len(item) - self.passage) for k in range(e + 1)}
-                distance = min(myers(item[s : s + self.passage], text[max(0, a - (p - s) - e) : a - (p - s) + self.passage + e]) for s in starts)
+                e, most = self.budget, self.passage
+                after = reach(item[p : p + most], text[a : a + most + e], e)
+                before = reach(item[max(0, p - most) : p][::-1], text[max(0, a - most - e) : a][::-1], e)
+                distance = min((x + y for x in range(e + 1) for y in range(e + 1 - x) if before[x] + after[y] >= most), default=e + 1)
                 if distance > e:
                     continue
             old = best.get((d, n), (0, self.passage))
@@ -137,7 +158,7 @@ class Pieces:
 def leaks(docs: DataFrame, items: DataFrame, passage: int = PASSAGE, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, exact_chars, distance): every document and item that share a passage up to ``budget`` errors."""
     spark = docs.sparkSession
-    rows = docs.where(F.length(text_col) >= passage - budget).select(id_col, text_col)
+    rows = docs.where(F.col(text_col).isNotNull()).select(id_col, text_col)  # of any length: a content string may be longer than its text
     items = items.where("text is not null").select("item_id", "text")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = chars // BLOCK_CHARS + 1
@@ -162,4 +183,4 @@ def leaks(docs: DataFrame, items: DataFrame, passage: int = PASSAGE, budget: int
 
 def found(docs: DataFrame, items: DataFrame) -> DataFrame:
     """p6_found: doc_id, item_id of the pairs that share a passage without any error."""
-    return leaks(docs, items).where(F.col("exact_chars") >= PASSAGE).select("doc_id", "item_id")
+    return leaks(docs, items, budget=0).where(F.col("exact_chars") >= PASSAGE).select("doc_id", "item_id")

@@ -253,6 +253,37 @@ def test_leaks_with_an_error(spark, monkeypatch):
     assert leaks.leaks(docs, items.limit(0)).count() == 0 and leaks.leaks(docs.limit(0), items).count() == 0
 
 
+def test_leaks_with_an_error_anywhere(spark):
+    """One error at any place of a passage at any place of an item, against Myers' distance of all passages."""
+    rng = random.Random(4)
+    word = lambda n: "".join(chr(0x4E00 + rng.randrange(40)) for _ in range(n))
+    texts, parts = [word(rng.randrange(50, 120)) for _ in range(6)], []
+    for _ in range(180):
+        item = rng.choice(texts)
+        size = min(len(item), rng.randrange(48, 60))
+        at = rng.randrange(len(item) - size + 1)
+        part = list(item[at : at + size])
+        for _ in range(rng.randrange(3)):
+            k = rng.randrange(len(part))
+            part[k : k + rng.randrange(2)] = rng.choice([[], [word(1)]])
+        parts.append(word(rng.randrange(4)) + "".join(part) + word(rng.randrange(4)))
+    parts.append(texts[0][15:60] + "丁" + texts[0][61:65])
+    want = {}
+    for d, text in enumerate(parts):
+        for i, item in enumerate(texts):
+            distance = min(leaks.myers(item[k : k + 50], text) for k in range(len(item) - 49))
+            if distance <= 1:
+                want[d, i] = distance
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string")
+    got = [(r.doc_id, r.item_id, r.distance) for r in leaks.leaks(frame(spark, list(enumerate(parts))), items).collect()]
+    assert {(d, i): n for d, i, n in got} == want and len(got) == len(want) and 1 in want.values() and len(want) > 100
+    assert {(r.doc_id, r.item_id) for r in leaks.found(frame(spark, list(enumerate(parts))), items).collect()} == {k for k, n in want.items() if not n}
+    for budget in (2,):
+        far = leaks.Pieces(list(enumerate(texts)), 50, budget)
+        near = {(d, i): min(leaks.myers(item[k : k + 50], text) for k in range(len(item) - 49)) for d, text in enumerate(parts) for i, item in enumerate(texts)}
+        assert {(d, i): n for d, i, _, n in far.leaks(parts)} == {k: n for k, n in near.items() if n <= budget}
+
+
 def test_myers():
     rng = random.Random(0)
     for _ in range(300):
