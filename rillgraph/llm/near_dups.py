@@ -14,8 +14,9 @@ itself, less above it.
 Copies (equal content strings) are collapsed first.  Signatures travel packed, a
 block per bucket and batch, and are matched in buckets that Spark sorts together.
 A signature shared by more than ``HOT`` texts isn't paired: its texts are given
-second signatures, in directions of the grid not used before, under the first one,
-twice at most.  Candidates are filtered by a parity sketch (its Hamming
+second signatures, in another grid, under the first one, and so on while that halves
+the pairs left.  What stays crowded is paired in blocks of texts, where the filter
+comes before a pair is made.  Candidates are filtered by a parity sketch (its Hamming
 distance never exceeds that of the sets, so nothing is lost) and then verified
 exactly.  Sizes, sketches and the hash seeds don't depend on the data.
 
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,7 +40,7 @@ from rillgraph.sources.scratch import written
 
 SHINGLE, THRESHOLD = 3, 0.7
 EXPECTED = 7.5
-HOT, SECOND, LEVELS = 2000, 2, 3
+HOT, BLOCK, LEVELS = 2000, 2000, 4
 SLOT_BITS, EXTRA_BITS, MOST = 20, 3, 12
 BUCKET_BYTES, BATCH_CHARS, SALTS = 8_000_000, 2_000_000, 8
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -184,9 +185,8 @@ def signatures(texts: list[str], bands: Bands, above: np.ndarray | None = None,
         q, directions = bands.grid(band)
         lacking = bands.lacking(band, np.maximum(sizes, 1))
         reached = np.zeros((len(lacking), len(texts)))
-        start = 0 if above is None else (MOST + SECOND * (level - 1)) % q
         # telling lines first; texts that haven't enough of them go on with the others
-        rounds = [(r, True) for r in range(MOST)] + [(r, False) for r in range(MOST)] if above is None else [(r, None) for r in range(SECOND)]
+        rounds = [(r, True) for r in range(MOST)] + [(r, False) for r in range(MOST)] if above is None else [(r, None) for r in range(MOST)]
         held = None
         for r, telling in rounds:
             if not len(live):
@@ -197,14 +197,14 @@ def signatures(texts: list[str], bands: Bands, above: np.ndarray | None = None,
                 at = np.repeat(starts[live] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
                 v = value[at]
                 cell = np.repeat(np.arange(len(live)) * q, n)
-                row, column = ((v >> np.uint64(40)) % np.uint64(q)).astype(np.int64), ((v >> np.uint64(16)) % np.uint64(q)).astype(np.int64)
+                place = mixed(v + np.uint64(level)) if level else v
+                row, column = ((place >> np.uint64(40)) % np.uint64(q)).astype(np.int64), ((place >> np.uint64(16)) % np.uint64(q)).astype(np.int64)
                 mix = mixed(v ^ np.uint64(0x9E3779B97F4A7C15))
                 low, high = (mix & np.uint64(0xFFFFFFFF)).astype(np.float64), (mix >> np.uint64(32)).astype(np.float64)
                 bits = bands.rarity[(v >> np.uint64(64 - SLOT_BITS)).astype(np.int64)].astype(np.float64)
-                lost = bands.losses(np.repeat(np.arange(len(live)), n), bits, n, [u[live] for u, _ in lacking]) if above is None else []
+                lost = bands.losses(np.repeat(np.arange(len(live)), n), bits, n, [u[live] for u, _ in lacking])
                 cells = len(live) * q
-            direction = start + r
-            slot = cell + (row + direction % q * column) % q
+            slot = cell + (row + r % q * column) % q
             count = np.bincount(slot, minlength=cells)
             use = count > 0
             if telling is not None:
@@ -212,7 +212,7 @@ def signatures(texts: list[str], bands: Bands, above: np.ndarray | None = None,
             keep = np.flatnonzero(use)
             # sums of halves are exact in doubles
             total = np.bincount(slot, low, cells)[keep].astype(np.uint64) + (np.bincount(slot, high, cells)[keep].astype(np.uint64) << np.uint64(24))
-            name = np.uint64((band << 40) + (direction << 24)) + (keep % q).astype(np.uint64)
+            name = np.uint64((band << 40) + (r << 24)) + (keep % q).astype(np.uint64)
             number = live[keep // q]
             signature = mixed(total + mixed(name))
             found.append(signature if above is None else mixed(signature + above[number]))
@@ -221,7 +221,7 @@ def signatures(texts: list[str], bands: Bands, above: np.ndarray | None = None,
             for k, loss in enumerate(lost):
                 same = np.exp(-np.bincount(slot, loss, cells)[keep] - (lacking[k][1] * sizes)[number] / q)
                 reached[k] += np.bincount(number, same, len(texts))
-            if above is None and (r + 1 >= directions or not telling):
+            if r + 1 >= directions or not telling:
                 live = live[reached[:, live].min(axis=0) < EXPECTED]
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -303,7 +303,7 @@ def _blocks(texts: DataFrame, bands: Bands, buckets: int, level: int) -> DataFra
     return texts.mapInArrow(run, "bucket int, base bigint, rows binary")
 
 
-def _pairs_of(signature: np.ndarray, rid: np.ndarray, hot: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _pairs_of(signature: np.ndarray, rid: np.ndarray, hot: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(kind, a, b): pairs of texts with equal signatures (0), or a text and its signature where too many share it (1)."""
     # signatures first, then texts by their place among the sorted rids: one sort of 64-bit keys
     names = np.sort(rid)
@@ -314,10 +314,9 @@ def _pairs_of(signature: np.ndarray, rid: np.ndarray, hot: int | None) -> Iterat
     again = np.r_[False, (signature[1:] == signature[:-1]) & (rid[1:] == rid[:-1])]
     signature, rid, group = signature[~again], rid[~again], np.cumsum(start)[~again]
     size = np.bincount(group)
-    if hot:
-        over = np.flatnonzero(size[group] > hot)
-        yield np.ones(len(over), np.int8), names[rid[over]], signature[over].astype(np.int64)
-    at = np.flatnonzero((size[group] > 1) & ((size[group] <= hot) if hot else True))
+    over = np.flatnonzero(size[group] > hot)
+    yield np.ones(len(over), np.int8), names[rid[over]], signature[over].astype(np.int64)
+    at = np.flatnonzero((size[group] > 1) & (size[group] <= hot))
     rid, group = rid[at], group[at]
     live = np.arange(len(rid))
     step = 0
@@ -336,38 +335,79 @@ def _pairs_of(signature: np.ndarray, rid: np.ndarray, hot: int | None) -> Iterat
             a, b, held = [], [], 0
 
 
-def _matched(blocks: DataFrame, hot: int | None) -> DataFrame:
-    """(kind, a, b) of all buckets; the texts of one signature are in one bucket."""
+def _matched(blocks: DataFrame, hot: int) -> DataFrame:
+    """(kind, a, b) of all buckets; the texts of one signature are in one bucket, whose pairs are passed on as they are made."""
 
-    def run(table: pa.Table) -> pa.Table:
-        signature, rid = [], []
-        for base, rows in zip(table.column("base").to_pylist(), table.column("rows").to_pylist()):
-            n = len(rows) // 6
-            signature.append(np.cumsum(_unplanes(rows[: 4 * n], 4).view("<u4").ravel(), dtype=np.uint32))
-            rid.append(np.frombuffer(rows, np.uint16, n, 4 * n).astype(np.int64) + base)
-        bucket = table.column("bucket")[0].as_py()
-        found = list(_pairs_of(np.concatenate(signature), np.concatenate(rid), hot))
-        kind, a, b = (np.concatenate([f[k] for f in found]) for k in range(3))
-        b = np.where(kind == 1, b | (bucket << 32), b)
-        return pa.table({"kind": pa.array(kind, pa.int8()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signature, rid, bucket = [], [], 0
+        for batch in batches:
+            for bucket, base, rows in zip(*(batch.column(c).to_pylist() for c in ("bucket", "base", "rows"))):
+                n = len(rows) // 6
+                signature.append(np.cumsum(_unplanes(rows[: 4 * n], 4).view("<u4").ravel(), dtype=np.uint32))
+                rid.append(np.frombuffer(rows, np.uint16, n, 4 * n).astype(np.int64) + base)
+        for kind, a, b in _pairs_of(np.concatenate(signature), np.concatenate(rid), hot):
+            b = np.where(kind == 1, b | (bucket << 32), b)
+            yield pa.RecordBatch.from_pydict({"kind": pa.array(kind, pa.int8()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return blocks.groupBy("bucket").applyInArrow(run, "kind tinyint, a bigint, b bigint")
 
 
+def _with_sketches(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the sizes and sketches of both."""
+    for side in ("a", "b"):
+        pairs = pairs.join(_sketches(texts, side), side)
+    return pairs
+
+
+def _sketches(texts: DataFrame, side: str) -> DataFrame:
+    return texts.select(F.col("rid").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("n", "s0", "s1", "s2", "s3")))
+
+
+def _likely(threshold: float) -> Column:
+    """Whether sizes and sketches leave it open that a and b match."""
+    apart = sum((F.bit_count(F.col(f"a_s{k}").bitwiseXOR(F.col(f"b_s{k}"))) for k in range(4)), F.lit(0))
+    most = (1 - threshold) / (1 + threshold)
+    return (apart <= most * (F.col("a_n") + F.col("b_n")) + 1e-9) & (F.least("a_n", "b_n") >= threshold * F.greatest("a_n", "b_n") - 1e-9)
+
+
+def _crowds(crowded: DataFrame) -> DataFrame:
+    """(above, size) of crowded signatures, one of those that have the same texts: the others would lead to the same pairs."""
+    hashes = [F.bit_xor(F.xxhash64("rid", F.lit(k))).alias(f"h{k}") for k in range(2)]
+    sets = crowded.groupBy("above").agg(F.count("*").alias("size"), *hashes)
+    return written(sets.groupBy("size", "h0", "h1").agg(F.min("above").alias("above")).select("above", "size"), "crowds")
+
+
+def _in_blocks(crowded: DataFrame, crowds: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): all pairs of each crowded signature that sizes and sketches leave open, joined block by block of its texts."""
+    blocks = crowds.select("above", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    held = crowded.join(F.broadcast(blocks), "above").withColumn("block", F.pmod(F.xxhash64("rid"), "blocks").cast("int"))
+    held = written(held, "crowded")
+    left = held.select("above", F.col("rid").alias("a"), F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j")).join(_sketches(texts, "a"), "a")
+    right = held.select("above", F.col("rid").alias("b"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), "block")).alias("i")).join(_sketches(texts, "b"), "b")
+    pairs = left.join(right.hint("merge"), ["above", "i", "j"]).where(((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))) & _likely(threshold))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def candidates(texts: DataFrame, rows: int, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
     """(a, b), a < b: rids of classes that share a signature; a pair comes once for each bucket in which it does."""
     bands = Bands(threshold, rows, rarity(texts, rows))
     buckets = min(60_000, max(24, rows * 700 // BUCKET_BYTES))
     now = texts.select("rid", "content")
-    out = None
+    out, before = None, None
     for level in range(LEVELS):
-        last = level == LEVELS - 1
-        found = written(_matched(_blocks(now, bands, buckets, level), None if last else hot), "candidates")
+        found = written(_matched(_blocks(now, bands, buckets, level), hot), "candidates")
         pairs = found.where("kind = 0").select("a", "b")
         out = pairs if out is None else out.unionByName(pairs)
         crowded = found.where("kind = 1").select(F.col("a").alias("rid"), F.col("b").alias("above"))
-        if last or crowded.isEmpty():
+        if crowded.isEmpty():
             break
+        crowds = _crowds(crowded)
+        left = crowds.agg(F.sum(F.col("size").cast("double") * F.col("size"))).first()[0]
+        if level == LEVELS - 1 or before is not None and left > before / 2:
+            out = out.unionByName(_in_blocks(crowded, crowds, texts, threshold))
+            break
+        before = left
+        crowded = crowded.join(F.broadcast(crowds.select("above")), "above")
         now = crowded.join(texts.select("rid", "content"), "rid").sortWithinPartitions("rid").select("rid", "content", "above")
     return out
 
@@ -413,14 +453,9 @@ def _similar(a, b, threshold):  # noqa: ANN001, ANN202
 
 def class_pairs(texts: DataFrame, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
     """(a, b): rids of classes with different contents that are at least as similar as the threshold."""
-    small = texts.select("rid", "n", "s0", "s1", "s2", "s3")
     rows = texts.count()
-    found = candidates(texts, rows, threshold, hot)
-    for side in ("a", "b"):
-        found = found.join(small.select(F.col("rid").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("n", "s0", "s1", "s2", "s3"))), side)
-    apart = sum((F.bit_count(F.col(f"a_s{k}").bitwiseXOR(F.col(f"b_s{k}"))) for k in range(4)), F.lit(0))
-    most = (1 - threshold) / (1 + threshold)
-    likely = found.where((apart <= most * (F.col("a_n") + F.col("b_n")) + 1e-9) & (F.least("a_n", "b_n") >= threshold * F.greatest("a_n", "b_n") - 1e-9)).select("a", "b").distinct()
+    found = _with_sketches(candidates(texts, rows, threshold, hot), texts)
+    likely = found.where(_likely(threshold)).select("a", "b").distinct()
     likely = written(likely, "likely")
     texts_of = texts.select("rid", "content")
     both = likely.join(texts_of.select(F.col("rid").alias("a"), F.col("content").alias("ca")), "a").join(texts_of.select(F.col("rid").alias("b"), F.col("content").alias("cb")), "b")

@@ -113,6 +113,25 @@ def test_near_dups_shared_paragraph(spark):
     assert [{first[r.a], first[r.b]} for r in near_dups.class_pairs(texts, hot=20).collect()] == [{7, 300}]
 
 
+def test_near_dups_of_crowded_boilerplate(spark, monkeypatch):
+    """Texts that share boilerplate: what stays crowded is filtered before pairs are made, and no match is lost."""
+    monkeypatch.setattr(near_dups, "BLOCK", 50, raising=False)
+    rng = random.Random(8)
+    word = lambda n: "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n))
+    shared = word(70)
+    rows = [(i, shared + word(50)) for i in range(400)]
+    rows += [(400 + i, rows[i][1][:-8] + word(8)) for i in range(60)]
+    texts = near_dups.classes(near_dups.stored(frame(spark, rows)))
+    first = {r.rid: r.first_doc_id for r in texts.collect()}
+    assert {frozenset((first[r.a], first[r.b])) for r in near_dups.class_pairs(texts, hot=20).collect()} == {frozenset((i, 400 + i)) for i in range(60)}
+    crowded = texts.select("rid", F.lit(1).cast("bigint").alias("above"))
+    twice = crowded.union(crowded.select("rid", F.lit(2).cast("bigint")))
+    crowds = near_dups._crowds(twice)
+    got = [(r.a, r.b) for r in near_dups._in_blocks(twice, crowds, texts, 0.7).collect()]
+    assert crowds.count() == 1 and len(got) == len(set(got)) < 20_000  # of 105,570
+    assert {frozenset((first[a], first[b])) for a, b in got} >= {frozenset((i, 400 + i)) for i in range(60)}
+
+
 def test_near_dups_where_all_texts_are_alike(spark):
     rng = random.Random(5)
     rows = []
