@@ -71,11 +71,11 @@ def words(value: Column) -> Column:
 def overlap(a: Column, b: Column) -> Column:
     """How many items two lists share, counted as often as both have them."""
 
-    def shared(s: Column) -> Column:
-        count = lambda items, x: F.size(F.filter(items, lambda y: y == x))
-        return F.aggregate(F.array_distinct(s["a"]), F.lit(0), lambda n, x: n + F.least(count(s["a"], x), count(s["b"], x)))
+    def counted(items: Column) -> Column:
+        # each item with the number of equal ones before it, so that equal items differ
+        return X.let(F.array_sort(items), lambda s: F.transform(s, lambda x, i: F.struct(x.alias("x"), (i - F.array_position(s, x)).alias("n"))))
 
-    return X.let(F.struct(a.alias("a"), b.alias("b")), shared)
+    return F.size(F.array_intersect(counted(a), counted(b)))
 
 
 def prf(a: Column, b: Column) -> dict[str, Column]:
