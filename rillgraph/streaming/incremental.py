@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from rillgraph.sources.readers import not_cached
+from rillgraph.sources.scratch import exists
 
 
 def extend_cache(arriving: DataFrame, cache_path: str, key: str, work: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
@@ -15,10 +16,8 @@ def extend_cache(arriving: DataFrame, cache_path: str, key: str, work: Callable[
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
-            cache = spark.read.parquet(cache_path)
-        except Exception:  # noqa: BLE001  the first batch finds no cache
-            cache = batch.select(key).limit(0)
+        # the first batch finds no cache; any other failure to read it must stop the stream
+        cache = spark.read.parquet(cache_path) if exists(spark, cache_path) else batch.select(key).limit(0)
         work(not_cached(batch, cache, key)).write.mode("append").parquet(cache_path)
 
     return arriving.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
