@@ -89,12 +89,14 @@ class Transducer:
                 if (to := _single(ch)) is not None:
                     self.singles[ch] = to
                 if len(nfd := unicodedata.normalize("NFD", ch)) == 2 and unicodedata.combining(nfd[1]):
-                    self.clusters[nfd] = self.compose(nfd)
+                    self._add(nfd, self.compose(nfd))
         for like, latin in LOOKALIKES.items():
             for mark in marks:
                 if len(made := unicodedata.normalize("NFC", latin + mark)) == 1:
-                    self.clusters[like + mark] = made
+                    self._add(like + mark, made)
         self._check()
+        #: the most letters, digits and signs that one character becomes
+        self.longest = max(len(to.lower()) for to in self.singles.values())
         s, i, m, x = ("".join(map(re.escape, chars)) for chars in (space, invisible, marks, self.singles))
         self._spaced = re.compile(f"[{i}]*[{s}][{s}{i}]*")
         self._invisible = re.compile(f"[{i}]+")
@@ -112,6 +114,10 @@ class Transducer:
         """Marks; runs of characters that need attention; the same with the base of a cluster."""
         return re.compile(f"[{m}]"), re.compile(f"[{s}{i}{x}]+"), re.compile(f"[^{s}{i}{x}{m}]?[{s}{i}{x}{m}]+")
 
+    def _add(self, cluster: str, to: str) -> None:
+        if self.clusters.setdefault(cluster, to) != to:
+            raise ValueError(f"{cluster!r} becomes {self.clusters[cluster]!r} and {to!r}")
+
     def compose(self, cluster: str) -> str:
         """The spelling of one cluster by its parts."""
         parts = "".join(self.singles.get(c, c) if not unicodedata.combining(c) else c for c in unicodedata.normalize("NFD", cluster))

@@ -38,12 +38,19 @@ def _mapped(df: DataFrame, schema: str, row: Callable[[int, str], tuple | None])
     return df.mapInArrow(run, schema)
 
 
+def _too_short(text: str, least: int) -> bool:
+    """Whether no content string of this text can be long enough, though each of its characters may become several."""
+    return len(text) * forms.transducer().longest < least
+
+
 def look_keys(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LONG_ENOUGH) -> DataFrame:
     """``doc_id``, the hash of its consistent form (f1, f2) and of its stored characters (r), for long-enough texts."""
 
     def row(i: int, text: str) -> tuple | None:
+        if _too_short(text, least):
+            return None
         lines = forms.transducer().lines(text)
-        if len(text) < least or len(forms.content(text, lines)) < least:
+        if len(forms.content(text, lines)) < least:
             return None
         return i, *hash128(lines.replace("\n", " ")), hash128(text)[0]
 
@@ -54,7 +61,7 @@ def content_keys(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``doc_id`` and the hash of its content string (k1, k2), for long-enough texts."""
 
     def row(i: int, text: str) -> tuple | None:
-        found = forms.content(text) if len(text) >= least else ""
+        found = "" if _too_short(text, least) else forms.content(text)
         return (i, *hash128(found)) if len(found) >= least else None
 
     return _mapped(df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col), "doc_id bigint, k1 bigint, k2 bigint", row)
@@ -64,7 +71,7 @@ def contents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     """As :func:`content_keys`, with the content string itself."""
 
     def row(i: int, text: str) -> tuple | None:
-        found = forms.content(text) if len(text) >= least else ""
+        found = "" if _too_short(text, least) else forms.content(text)
         return (i, *hash128(found), found) if len(found) >= least else None
 
     return _mapped(df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col), "doc_id bigint, k1 bigint, k2 bigint, content string", row)

@@ -43,6 +43,13 @@ def test_same_look_edges(spark):
     assert [r.qid for r in same_look.lookalike_cases(cases).collect()] == ["a"]
 
 
+def test_short_texts_of_long_content(spark):
+    """30 stored characters whose content string has 60."""
+    df = frame(spark, [(0, "㎏" * 30), (1, "kg" * 30), (2, "短" * 30)])
+    assert {(r.doc_id_a, r.doc_id_b) for r in same_look.lookalike_pairs(df).collect()} == {(0, 1)}
+    assert {r.doc_id: r.copies for r in format_dups.records(df).collect()} == {0: 2}
+
+
 def jaccard(a, b):
     g, h = ({t[i : i + 3] for i in range(len(t) - 2)} for t in (a, b))
     return len(g & h) / len(g | h)
@@ -194,12 +201,25 @@ def test_format_dups_edges(spark, monkeypatch):
     df = frame(spark, [(i, BASE) for i in range(50)] + [(60, BASE + "甲"), (61, None), (62, ""), (None, BASE)], 5)
     assert {r.doc_id: r.copies for r in format_dups.records(df).collect()} == {0: 50, 60: 1}
     assert format_dups.records(df.limit(0)).count() == 0 and format_dups.found(df.limit(0)).count() == 0
-    # a filter that is full lets everything through and changes nothing
-    monkeypatch.setattr(format_dups, "MAX_BITS", 1 << 6)
+    # many segments in several groups
     monkeypatch.setattr(format_dups, "SEGMENT_BITS", 1 << 5)
+    monkeypatch.setattr(format_dups, "GROUP", 3)
     assert {r.doc_id: r.copies for r in format_dups.records(df).collect()} == {0: 50, 60: 1}
 
 
+def test_share_of_singletons_let_through_is_the_same_at_every_size(spark, monkeypatch):
+    """Random hashes in place of texts: few singletons pass whether the filter has one segment or hundreds, and no repeat is missed."""
+    monkeypatch.setattr(format_dups, "SEGMENT_BITS", 1 << 13)
+    hashes = lambda n: spark.range(n).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("k1"), F.xxhash64("id", F.lit(1)).alias("k2"))
+    for n in (500, 100_000):
+        keys = hashes(n).union(hashes(n // 10)).repartition(6)
+        monkeypatch.setattr(format_dups, "content_keys", lambda *_, keys=keys: keys)
+        marked = format_dups.marked_keys(keys)
+        passed = marked.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("maybe_repeated").alias("maybe"), F.min("maybe_repeated").alias("all")).collect()
+        assert all(r["all"] for r in passed if r.n == 2) and len(passed) == n
+        assert sum(r.maybe for r in passed if r.n == 1) < 0.04 * n
+
+
 def test_terms(spark, tables):
     df = review(spark, tables).repartition(5)
     rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect() if r.text is not None]
