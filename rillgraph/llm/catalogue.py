@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,10 @@ from rillgraph.llm import format_dups, leaks, mixture, near_dups, pieces, qualit
 from rillgraph.sources.scratch import table
 
 
+#: The public tokenizer that the mixture counts with.
+TOKENIZER = os.environ.get("RILLGRAPH_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return same_look.found(table(spark, folder, "review_example"), table(spark, folder, "review_case"))
 
@@ -55,12 +60,12 @@ def p6_leaks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
-    return mixture.mixture(table(spark, folder, "documents"), table(spark, folder, "mix_target"))
+    return mixture.mixture(table(spark, folder, "documents"), table(spark, folder, "mix_target"), TOKENIZER)
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     targets = table(spark, folder, "mix_target")
-    return mixture.reached(mixture.mixture(table(spark, folder, "documents"), targets), targets)
+    return mixture.reached(mixture.mixture(table(spark, folder, "documents"), targets, TOKENIZER), targets)
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:

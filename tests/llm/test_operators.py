@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rillgraph.llm import format_dups, forms, leaks, mixture, near_dups, pieces, quality, same_look, terms
 
+TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 BASE = "碾压机具离预制钢柱脚的净距取五组与九层的较大值，设计代表全程值守。采用级碎石的高支模防火隔墙，含泥量测定结果存疑时应暂缓锚固。夯实顺序宜由幕墙立柱向内嵌管道支架推进。"
 
 
@@ -338,15 +339,22 @@ def test_myers():
 
 def test_mixture(spark, tables):
     docs, targets = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "mix_target"))
-    mixed = mixture.mixture(docs, targets)
+    mixed = mixture.mixture(docs, targets, TOKENIZER)
     rows = mixture.reached(mixed, targets).collect()
     assert len(rows) == 8 and sum(r.reached_share for r in rows) == pytest.approx(1)
     for r in rows:
         assert r.reached_share == pytest.approx(r.target_share, abs=0.01) and r.most_copies <= r.max_repeat
     assert mixed.groupBy("doc_id").count().where("count > 1").count() == 0
+    # the shares of labelled documents from the texts themselves
+    encode = mixture.encoding(TOKENIZER).encode_ordinary
+    copies = {r.doc_id: r.copies for r in mixed.select("doc_id", "copies").collect()}
+    tokens = collections.Counter()
+    for r in docs.where("source is not null and length(text) > 0").select("doc_id", "source", "text").collect():
+        tokens[r.source] += len(encode(r.text)) * copies.get(r.doc_id, 0)
+    assert {r.source: r.labelled_share for r in rows} == pytest.approx({s: n / sum(tokens.values()) for s, n in tokens.items()})
 
 
-def test_classifier_beats_chance_on_held_out_rows(spark):
+def test_classifier_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("source is not null and length(text) > 0")
     sources = sorted(r.source for r in docs.select("source").distinct().collect())
     weights = mixture.classifier(docs.where("doc_id % 5 <> 0"), sources)
@@ -354,15 +362,17 @@ def test_classifier_beats_chance_on_held_out_rows(spark):
     p = mixture.posteriors(mixture.features([r.text for r in held]), weights)
     right = sum(sources[k] == r.source for k, r in zip(p.argmax(1), held)) / len(held)
     most = max(collections.Counter(r.source for r in held).values()) / len(held)
-    assert right > most and p.sum(1) == pytest.approx(1, abs=1e-4)
+    assert right > most + 0.15 and p.sum(1) == pytest.approx(1, abs=1e-4)
+    # probabilities are of use as such: expected and true numbers of each source are near
+    assert all(abs(p[:, k].sum() - sum(r.source == s for r in held)) < 0.05 * len(held) for k, s in enumerate(sources))
 
 
 def test_mixture_edges(spark):
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], "source string, target_share double, max_repeat int")
     docs = spark.createDataFrame([(i, "words here", "ab"[i % 2]) for i in range(20)] + [(90, None, "a"), (91, "", "b"), (92, "x", "c"), (None, "x", "a")], "doc_id bigint, text string, source string")
-    got = {r.source: r for r in mixture.reached(mixture.mixture(docs, targets), targets).collect()}
+    got = {r.source: r for r in mixture.reached(mixture.mixture(docs, targets, TOKENIZER), targets).collect()}
     assert got["a"].reached_share == got["b"].reached_share == 0.5 and got["a"].documents == 10
-    assert mixture.mixture(docs.limit(0), targets).count() == 0
+    assert mixture.mixture(docs.limit(0), targets, TOKENIZER).count() == 0
 
 
 def test_quality_kinds():
