@@ -4,13 +4,15 @@ Pigeonhole edit matching on content strings: items are cut into pieces so small
 every passage (any window of ``passage`` characters) holds ``budget + 1`` whole ones,
 one of which is unchanged where it has at most ``budget`` errors.  Pieces are looked
 up by a rolling hash of all positions of a batch of documents; each hit is extended
-to its longest exact run, and where that is shorter than a passage, as far as each
-number of errors reaches to either side.  Together these ways show whether any
-passage through the piece is within the budget.
+to its longest exact run, and where that is shorter than a passage, verified to
+either side by Myers' bit-parallel distance: how much of the item is matched there
+with each number of errors.  Together both sides show whether any passage through the
+piece is within the budget.
 
 Items are a stated query set: they are sent to the tasks in blocks of at most
-``BLOCK_CHARS`` characters, one pass over the documents per block.  Null and empty
-texts leak nothing; items with fewer characters than a passage can't be found.
+``BLOCK_CHARS`` characters, one pass over the documents per block; where there are
+several blocks, the documents' content strings are written once before.  Null and
+empty texts leak nothing; items with fewer characters than a passage can't be found.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillgraph.llm import forms
+from rillgraph.sources.scratch import written
 
 PASSAGE, BUDGET = 50, 1
 BLOCK_CHARS = 8_000_000
@@ -77,21 +80,36 @@ def myers(pattern: str, text: str) -> int:
 
 
 def reach(item: str, text: str, budget: int) -> list[int]:
-    """The most characters at the start of ``item`` that match a start of ``text`` with 0, 1, .. ``budget`` errors, by furthest-reaching diagonals."""
-    far, out = {0: 0}, []
-    for _ in range(budget + 1):
-        for d, i in far.items():
-            while i < len(item) and i - d < len(text) and item[i] == text[i - d]:
-                i += 1
-            far[d] = i
-        out.append(max(far.values()))
-        more: dict[int, int] = {}
-        for d, i in far.items():
-            # another character, one that only the item has, one that only the text has
-            for e, k in ((d, i + 1), (d + 1, i + 1), (d - 1, i)):
-                if k <= len(item) and k - e <= len(text):
-                    more[e] = max(more.get(e, 0), k)
-        far = more | {d: i for d, i in far.items() if i > more.get(d, -1)}
+    """The most characters at the start of ``item`` that match a start of ``text`` with 0, 1, .. ``budget`` errors.
+
+    Myers' columns for a match that begins where the text begins: the differences down a
+    column, kept as bits, give the distance of every start of the item to that start of
+    the text, of which only those near the diagonal can be within the budget.
+    """
+    m = len(item)
+    out = [min(k, m) for k in range(budget + 1)]
+    where: dict[str, int] = {}
+    for i, c in enumerate(item):
+        where[c] = where.get(c, 0) | 1 << i
+    full = (1 << m) - 1
+    up, down = full, 0
+    for j, c in enumerate(text[: m + budget], 1):
+        eq = where.get(c, 0)
+        diagonal = (((eq & up) + up) ^ up) | eq | down
+        right, left = down | ~(diagonal | up) & full, up & diagonal
+        right, left = (right << 1 | 1) & full, left << 1 & full
+        up, down = left | ~(diagonal | right) & full, right & diagonal
+        near = range(max(0, j - budget), min(m, j + budget) + 1)
+        distance = j + (up & (1 << near.start) - 1).bit_count() - (down & (1 << near.start) - 1).bit_count()
+        least = budget + 1
+        for i in near:
+            if distance <= budget:
+                least = min(least, distance)
+                for k in range(distance, budget + 1):
+                    out[k] = max(out[k], i)
+            distance += (up >> i & 1) - (down >> i & 1)
+        if least > budget:
+            break  # no start of the item is within the budget any more
     return out
 
 
@@ -144,9 +162,10 @@ class Pieces:
             reached[d, n, a - p] = a + right
             run, distance = left + right, 0
             if run < self.passage:
-                e, most = self.budget, self.passage
-                after = reach(item[p : p + most], text[a : a + most + e], e)
-                before = reach(item[max(0, p - most) : p][::-1], text[max(0, a - most - e) : a][::-1], e)
+                e, most = self.budget, self.passage - run
+                x, y, i, j = p - left, a - left, p + right, a + right  # the ends of the run in both
+                after = reach(item[i : i + most], text[j : j + most + e], e)
+                before = reach(item[max(0, x - most) : x][::-1], text[max(0, y - most - e) : y][::-1], e)
                 distance = min((x + y for x in range(e + 1) for y in range(e + 1 - x) if before[x] + after[y] >= most), default=e + 1)
                 if distance > e:
                     continue
@@ -162,16 +181,17 @@ def leaks(docs: DataFrame, items: DataFrame, passage: int = PASSAGE, budget: int
     items = items.where("text is not null").select("item_id", "text")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = chars // BLOCK_CHARS + 1
+    if blocks > 1:
+        rows = written(rows.mapInArrow(_stripped, "doc_id bigint, content string"), "contents")
     out = None
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else items
-        sent = spark.sparkContext.broadcast([(r.item_id, r.text) for r in block.collect()])
+        sent = spark.sparkContext.broadcast([(r.item_id, r.text) for r in block.collect()])  # at most about BLOCK_CHARS characters
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             index = Pieces(sent.value, passage, budget)
-            for batch in batches:
-                contents = [forms.content(t, records=False) for t in batch[1].to_pylist()]
-                ids = batch[0].to_pylist()
+            for batch in batches if blocks > 1 else _stripped(batches):
+                ids, contents = batch[0].to_pylist(), batch[1].to_pylist()
                 found = [(ids[d], i, run, distance) for d, i, run, distance in index.leaks(contents)] if contents else []
                 columns = zip(*found) if found else [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "item_id", "exact_chars", "distance"])
@@ -181,6 +201,12 @@ def leaks(docs: DataFrame, items: DataFrame, passage: int = PASSAGE, budget: int
     return out
 
 
+def _stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids and content strings of batches of ids and texts."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch[0], pa.array([forms.content(t, records=False) for t in batch[1].to_pylist()], pa.string())], names=["doc_id", "content"])
+
+
 def found(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """p6_found: doc_id, item_id of the pairs that share a passage without any error."""
-    return leaks(docs, items, budget=0).where(F.col("exact_chars") >= PASSAGE).select("doc_id", "item_id")
+    """p6_found: doc_id, item_id of the leaks, by the same search, that hold a passage without any error."""
+    return leaks(docs, items).where(F.col("exact_chars") >= PASSAGE).select("doc_id", "item_id")
