@@ -1,5 +1,6 @@
 import collections
 import random
+import re
 
 import numpy as np
 import pytest
@@ -247,15 +248,61 @@ def test_terms_edges(spark):
     assert [(r.term, r.occurrences, r.records, r.mark) for r in terms.entity_frequencies(graph).collect()] == [("a", 2, 1, "rare")]
 
 
+def nodes_of(text, node):
+    yield node
+    for child in pieces.children(text, node):
+        yield from nodes_of(text, child)
+
+
+MARKED = ["# 一\n", "## 二\n", "#### 三\n", "第2节 施工\n", "1.2 范围\n", "- 甲\n", "  - 乙\n", "（3）丙\n", "\n", "| a | b |\n", "```\n", "<div>\n", "</div>\n", "甲。乙；", "word ", "\r\n", "x" * 9, "y" * 30, "z" * 37, "w" * 50, "。”", "  more\n"]
+
+
 def test_pieces_give_the_text_back():
     rng = random.Random(0)
-    for _ in range(500):
-        text = "".join(rng.choice("。. \n\n（3）# ") if rng.random() < 0.1 else "x" for _ in range(rng.randrange(300)))
-        found = [p for _, p, _ in pieces.pieces(text, 40, 8)]
-        assert found[0] + "".join(p[8:] for p in found[1:]) == text
-        assert all(len(p) <= 40 for p in found) and all(a[-8:] == b[:8] for a, b in zip(found, found[1:]))
-    assert pieces.kind("x" * 801) == "hard" and pieces.kind("x" * 800 + "。" + "x" * 800) == "natural"
+    for _ in range(1500):
+        text = "".join(rng.choice(MARKED) for _ in range(rng.randrange(30)))
+        tree = pieces.parse(text)
+        for node in nodes_of(text, tree):
+            inner = pieces.children(text, node)
+            assert not inner or [node.start, *(c.end for c in inner)] == [*(c.start for c in inner), node.end]
+        found = pieces.pieces(text, 40, 8)
+        ends_at = [0, *(start + len(p) for start, p, _ in found)]
+        assert all(b - start == min(8, b) for b, (start, *_) in zip(ends_at, found))  # what a piece repeats
+        own = [p[b - start :] for b, (start, p, _) in zip(ends_at, found)]
+        assert "".join(own) == text and all(len(p) <= 40 for _, p, _ in found)
+        assert not text or all(own)
+        cut = set(np.cumsum([len(p) for p in own])[:-1].tolist())
+        # no node is cut that fits into a piece, and none but words too large are cut anywhere
+        assert not any(n.start < c < n.end for n in nodes_of(text, tree) if n.end - n.start <= 32 for c in cut)
+        ends = {n.end for n in nodes_of(text, tree)}
+        at = 0
+        for part, (*_, boundary) in zip(own[:-1], found):
+            at += len(part)
+            assert (at in ends) == (boundary not in ("none", "overlap"))
+        hard = len(max(re.split(r"[\s。！？；.!?;]", text), key=len)) > 40
+        assert hard == any(b == "none" for *_, b in found)
+
+
+def test_pieces_follow_the_tree():
+    para = lambda c, n: c * n + "。\n"
+    text = "# A\n" + para("甲", 20) + "## B\n" + para("乙", 10) + "## C\n" + para("丙", 10) + "# D\n" + para("丁", 25)
+    found = pieces.pieces(text, 40, 0)
+    assert [p for _, p, _ in found] == ["# A\n" + para("甲", 20), "## B\n" + para("乙", 10) + "## C\n" + para("丙", 10), "# D\n" + para("丁", 25)]
+    assert {b for *_, b in found[:-1]} == {"section"}
+    # an item stays with the items below it
+    text = "- a\n  - b b b b\n  - c c c c\n- d\n  - e e e e\n  - f f f f\n"
+    assert [p for _, p, _ in pieces.pieces(text, 40, 0)] == [text[: text.index("- d")], text[text.index("- d") :]]
+    # rows of a table, a block of code
+    text = "说明。\n\n" + "| a | b |\n" * 3 + "\n```\nx = 1\n\n# no heading\n```\n"
+    assert [p for _, p, _ in pieces.pieces(text, 40, 0)][-1] == "```\nx = 1\n\n# no heading\n```\n"
     assert [b for *_, b in pieces.pieces("甲" * 30 + "。" + "乙" * 30 + "。", 40, 8)] == ["sentence", "end"]
+    assert [b for *_, b in pieces.pieces("甲" * 30 + "。" + "乙" * 38 + "。", 40, 8)] == ["sentence", "overlap", "end"]
+
+
+def test_pieces_of_deeply_nested_text():
+    deep = "".join("<div>\n" + " " * i + "- x\n" for i in range(3000)) + "</div>\n" * 3000
+    found = pieces.pieces(deep)
+    assert "".join(p[b - start :] for b, (start, p, _) in zip([0, *(s + len(p) for s, p, _ in found)], found)) == deep
 
 
 def test_pieces_table(spark):
