@@ -422,24 +422,62 @@ def test_mixture_edges(spark):
     assert mixture.mixture(docs.limit(0), targets, TOKENIZER).count() == 0
 
 
+def kind_of(text):
+    return quality.statistics([text])[1][0]
+
+
 def test_quality_kinds():
     prose = "The cover depth of the edge beam shall not be less than 40 mm. " * 8
-    assert quality.stats(prose).kind == "junk"  # one phrase over and over
+    assert kind_of(prose) == "junk"  # one phrase over and over
     varied = " ".join(f"The {a} of the {b} is checked by the crew before the work begins on day {i}." for i, (a, b) in enumerate([("sag", "beam"), ("fall", "floor"), ("tilt", "wall"), ("depth", "pile"), ("strength", "prop"), ("gap", "deck")]))
-    assert quality.stats(varied).kind == "prose" and "not prose" not in quality.stats(varied).reasons
+    assert kind_of(varied) == "prose" and quality.statistics([varied])[2] == [[]]
     wrapped = "\n".join(varied[i : i + 70] for i in range(0, len(varied), 70))
-    assert quality.stats(wrapped).kind == "prose"
-    assert quality.stats("\n".join(f"- spare {x} grout" for x in "abcdefghij")).kind == "list"
-    assert quality.stats("\n".join(f"{i},梁{i},合格" for i in range(12))).kind == "table"
-    assert quality.stats("\n".join(f"{i}\tbeam\t{i * 3}" for i in range(12))).kind == "table"
-    assert quality.stats("钢筋混凝土".encode().decode("latin-1") * 20).kind == "junk"
-    assert quality.stats("0000000: 034e 4f55 a117 2a0b\n0000010: e7ea 9776 30e1 ce64").kind == "junk"
-    assert quality.stats("\n") is None
+    assert kind_of(wrapped) == "prose"
+    assert kind_of("\n".join(f"- spare {x} grout" for x in "abcdefghij")) == "list"
+    assert kind_of("\n".join(f"{i},梁{i},合格" for i in range(12))) == "table"
+    assert kind_of("\n".join(f"{i}\tbeam\t{i * 3}" for i in range(12))) == "table"
+    assert kind_of("钢筋混凝土".encode().decode("latin-1") * 20) == "junk"
+    assert kind_of("0000000: 034e 4f55 a117 2a0b\n0000010: e7ea 9776 30e1 ce64") == "junk"
+    assert kind_of("\n") == "empty"
+
+
+BITS = ["The beam shall be level. ", "梁应平直。", "\n", "\r\n", "\u2028", "- item\n", "（3）项\n", "12. thing\n", "a) x\n", "a, b, c\n", "甲，乙，丙\n", "x;y;z\n", "1\t2\t3\n", "| a | b |\n", "a  b   c\n",
+        "<p>x</p>\n", "&amp;", "»", "»x", "���", "Ã¥Â", "deadbeef: 00ff 1234 abcd\n", "A" * 55, "aa;bb/cc,dd.ee", "  ", "\u3000\u3000", "\U00020000", "😀", "…”", "word", "号", "İK", "\x1c", "’", "9", "(7) y\n"]
+
+
+def test_quality_against_line_by_line(spark):
+    import plain_quality
+
+    rng = random.Random(11)
+    texts = ["".join(rng.choice(BITS) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    texts += ["".join(rng.choice(part) * rng.randrange(1, 4) for _ in range(rng.randrange(30))) for part in (rng.sample(BITS, 4) for _ in range(3000))]
+    texts += [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    for a in range(0, len(texts), 500):
+        part = texts[a : a + 500]
+        s, kind, reasons = quality.statistics(part)
+        for i, text in enumerate(part):
+            want = plain_quality.stats(text)
+            if want is None:
+                assert kind[i] == "empty" and reasons[i] == ["empty"] and all(np.ma.getmaskarray(s[c])[i] for c in s)
+            else:
+                assert {c: float(s[c][i]) for c in s} == pytest.approx(want), text
+                other = 1 - want["prose"]
+                assert (kind[i] == "prose") == (other < 0.8 - 1e-9) or abs(other - 0.8) < 1e-9
+                assert [r for r in reasons[i] if r.startswith("mostly")] == ([] if kind[i] == "prose" else [f"mostly {kind[i]}"])
+
+
+def test_published_rules_tell_prose_from_the_rest(spark):
+    """The published thresholds alone: nearly all documents that aren't prose fail one, hardly any prose does."""
+    rows = quality.quality(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("kind <> 'empty'").collect()
+    failed = [(r.kind == "prose", any(not x.startswith("mostly") for x in r.reasons)) for r in rows]
+    assert sum(f for prose, f in failed if not prose) > 0.95 * sum(not prose for prose, _ in failed)
+    assert sum(f for prose, f in failed if prose) < 0.01 * sum(prose for prose, _ in failed)
 
 
 def test_quality_table(spark):
     df = frame(spark, [(0, None), (1, ""), (2, " "), (3, "梁。" * 3)])
     got = {r.doc_id: r for r in quality.quality(df).collect()}
-    assert got[0].kind == got[1].kind == got[2].kind == "empty" and got[0].reasons == ["empty"]
+    assert got[0].kind == got[1].kind == got[2].kind == "empty" and got[0].reasons == ["empty"] and got[0].words is None
     assert got[3].words == 3 and got[3].ended_lines == 1 and "few words" in got[3].reasons
-    assert quality.found(df).count() == 0
+    assert quality.found(df).count() == 0 and quality.found(df.limit(0)).count() == 0
+    assert [(r.doc_id, r.kind) for r in quality.found(frame(spark, [(7, "- beam\n" * 2 + "- grout pump\n- prop")])).collect()] == [(7, "list")]
