@@ -11,14 +11,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillgraph.functions import text as X
-from rillgraph.operators import ranking
+from rillgraph.operators import joins, ranking
+from rillgraph.sources.scratch import written
 
 K1, B = 1.2, 0.75
 
 
 def token_counts(corpus: DataFrame, text_col: str = "text") -> DataFrame:
-    """(doc_id, token, tf)."""
-    return corpus.select("doc_id", F.explode(X.bm25_tokens(text_col)).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
+    """(doc_id, dl, token, tf): each text is tokenised once; a document without tokens has no row."""
+    tokens = corpus.select("doc_id", X.bm25_tokens(text_col).alias("tokens")).select("doc_id", F.size("tokens").cast("bigint").alias("dl"), F.explode("tokens").alias("token"))
+    return tokens.groupBy("doc_id", "dl", "token").agg(F.count("*").alias("tf"))
 
 
 def lengths(corpus: DataFrame, text_col: str = "text") -> DataFrame:
@@ -33,16 +35,14 @@ def document_frequency(tf: DataFrame) -> DataFrame:
 
 def scores(corpus: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(qid, doc_id, score) of every pair with a common token; a token that a query repeats counts each time."""
+    tf = written(token_counts(corpus), "postings")
+    # one row; documents' lengths add up to the number of tokens
+    whole = tf.agg(F.sum("tf").alias("tokens")).join(corpus.agg(F.count("*").alias("n"))).select("n", (F.col("tokens") / F.col("n")).alias("avgdl"))
     asked = queries.select("qid", F.explode(X.bm25_tokens("question")).alias("token")).groupBy("qid", "token").agg(F.count("*").alias("qtf"))
-    tf = token_counts(corpus)
-    dl = lengths(corpus)
-    whole = dl.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row
-    # only tokens that are asked for go on; frequencies are counted over all documents
-    wanted = tf.join(asked.select("token").distinct(), "token", "left_semi")
-    found = wanted.join(document_frequency(wanted), "token").join(dl, "doc_id").join(F.broadcast(whole))
+    known = asked.join(document_frequency(tf), "token").join(F.broadcast(whole))
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return asked.join(found.select("token", "doc_id", weight.alias("weight")), "token").groupBy("qid", "doc_id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
+    return joins.spread(tf, known, "token", "doc_id").groupBy("qid", "doc_id").agg(F.sum(F.col("qtf") * weight).alias("score"))
 
 
 def rank(corpus: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:

@@ -24,6 +24,14 @@ def with_unmatched(scores: DataFrame, queries: DataFrame, docs: DataFrame, k: in
     return scores.select("qid", "doc_id", "score").unionByName(filled).groupBy("qid", "doc_id").agg(F.max("score").alias("score"))
 
 
+def in_order(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(qid, doc_id, score, rank) of questions that nothing can be ranked by: the ``k`` smallest ids in their order, score 0."""
+    first = [r.doc_id for r in docs.select("doc_id").orderBy("doc_id").limit(k).collect()]
+    listed = F.array(*(F.lit(i).cast("bigint") for i in first)) if first else F.array().cast("array<bigint>")
+    rows = queries.select("qid", F.posexplode(listed).alias("pos", "doc_id"))
+    return rows.select("qid", "doc_id", F.lit(0.0).alias("score"), (F.col("pos") + 1).alias("rank"))
+
+
 def as_lists(ranking: DataFrame, by: str = "qid") -> DataFrame:
     """One row per query with ``topk``, its doc_ids in order; lists are as short as the ranking was cut."""
     ordered = F.array_sort(F.collect_list(F.struct("rank", "doc_id")))

@@ -253,8 +253,8 @@ DOC_GRAPH = f"""g as (select doc_key, max_by({{entities: entities, relations: re
 
 @query(f"with {DOC_GRAPH} select entity, df, round(idf, 6) as idf from idf")
 def entity_idf(spark: SparkSession, folder: str) -> DataFrame:
-    docs = graph.document_graph(corpus(spark, folder), table(spark, folder, "corpus_graph"))
-    return graph.entity_idf(docs).withColumn("idf", F.round("idf", 6))
+    words = graph.vocabulary(graph.document_graph(corpus(spark, folder), table(spark, folder, "corpus_graph")))
+    return words.select(F.col("name").alias("entity"), "df", F.round("idf", 6).alias("idf"))
 
 
 EDGES = f"""one as (select lower(r.src) as u, lower(r.dst) as v from (select unnest(relations) as r from dg) where lower(r.src) in (select entity from idf) and lower(r.dst) in (select entity from idf)
@@ -264,14 +264,15 @@ EDGES = f"""one as (select lower(r.src) as u, lower(r.dst) as v from (select unn
 
 
 def _graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    docs = graph.document_graph(corpus(spark, folder), table(spark, folder, "corpus_graph"))
-    idf = graph.entity_idf(docs)
-    return docs, idf, graph.edges(docs, idf)
+    docs, words = graph.indexed(graph.document_graph(corpus(spark, folder), table(spark, folder, "corpus_graph")))
+    return docs, words, graph.edges(docs)
 
 
 @query(f"with {DOC_GRAPH}, {EDGES} select u as entity, count(*) as neighbours from edge group by u")
 def graph_edges(spark: SparkSession, folder: str) -> DataFrame:
-    return _graph(spark, folder)[2].groupBy(F.col("u").alias("entity")).agg(F.count("*").alias("neighbours"))
+    _, words, links = _graph(spark, folder)
+    found = links.groupBy(F.col("u").alias("entity")).agg(F.count("*").alias("neighbours"))
+    return found.join(words, "entity").select(F.col("name").alias("entity"), "neighbours")
 
 
 REACH = f"""h1 as (select o.doc_id, e.v as entity, 1 as hop from own o join edge e on e.u = o.entity group by all),
@@ -282,8 +283,7 @@ REACH = f"""h1 as (select o.doc_id, e.v as entity, 1 as hop from own o join edge
 
 @query(f"with {DOC_GRAPH}, {EDGES}, {REACH} select doc_id, hop, count(*) as entities, round(sum(weight), 5) as weight from reach group by all")
 def expansion_hops(spark: SparkSession, folder: str) -> DataFrame:
-    docs, idf, links = _graph(spark, folder)
-    return graph.expansion(docs, idf, links).groupBy("doc_id", "hop").agg(F.count("*").alias("entities"), F.round(F.sum("weight"), 5).alias("weight"))
+    return graph.expansion(*_graph(spark, folder)).groupBy("doc_id", "hop").agg(F.count("*").alias("entities"), F.round(F.sum("weight"), 5).alias("weight"))
 
 
 SUBGRAPH = f"""qd as (select qid, question from questions),
@@ -296,19 +296,24 @@ SUBGRAPH = f"""qd as (select qid, question from questions),
   hit as (select qid, doc_id, sum(weight) as weight from known join reach on reach.entity = known.term group by all),
   sizes as (select doc_id, len(entities) as own from dg), lens as (select doc_id, count(*) as len from reach group by doc_id),
   sc as (select qid, hit.doc_id, greatest(weight / least(greatest(len, 1), {subgraph.TOP_N}) - {subgraph.ALPHA}::double * own, 0.0) / greatest(offered, 1e-9) as score from hit join lens using (doc_id) join sizes using (doc_id) join offered using (qid)),
-  al as (select qid, doc_id, max(score) as score from (select * from sc union all select qid, doc_id, 0.0::double from questions, (select doc_id from review_example order by doc_id desc limit 5)) group by all),
-  ranked as (select qid, doc_id, score, row_number() over (partition by qid order by round(score, 9) desc, doc_id desc) as rank from al qualify rank <= 5)"""
+  al as (select qid, doc_id, max(score) as score from (select * from sc union all select qid, doc_id, 0.0::double from (select distinct qid from qk), (select doc_id from review_example order by doc_id desc limit {{k}})) group by all),
+  ranked as (select qid, doc_id, score, row_number() over (partition by qid order by round(score, 9) desc, doc_id desc) as rank from al qualify rank <= {{k}}
+    union all select qid, doc_id, 0.0::double, row_number() over (partition by qid order by doc_id) from (select qid from questions where qid not in (select qid from qk)), (select doc_id from review_example order by doc_id limit {{k}}))"""
 
 
-def _subgraph_sql(final: str) -> str:
+def subgraph_ctes(k: int) -> str:
     inner_terms = "with " + terms_sql("qid", "question", "questions", subgraph.MOST_TERMS) + " select * from terms"
-    return f"with {ASKED}, {DOC_GRAPH}, {EDGES}, {REACH}, {SUBGRAPH.replace('{terms}', inner_terms)} {final}"
+    return f"{ASKED}, {DOC_GRAPH}, {EDGES}, {REACH}, {SUBGRAPH.replace('{terms}', inner_terms).replace('{k}', str(k))}"
+
+
+def _subgraph_sql(final: str) -> str:
+    return f"with {subgraph_ctes(5)} {final}"
 
 
 @query(_subgraph_sql("select qid, doc_id, round(score, 6) as score, rank from ranked"))
 def subgraph_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
-    docs, idf, links = _graph(spark, folder)
-    ranked = subgraph.rank(docs, idf, graph.expansion(docs, idf, links), asked(spark, folder), table(spark, folder, "query_cache"), 5)
+    docs, words, links = _graph(spark, folder)
+    ranked = subgraph.rank(docs, words, graph.expansion(docs, words, links), asked(spark, folder), table(spark, folder, "query_cache"), 5)
     return ranked.withColumn("score", F.round("score", 6))
 
 
@@ -341,7 +346,9 @@ def sample_queries(spark: SparkSession, folder: str) -> DataFrame:
     return readers.sample(rows, rows.count() // 4, 7).select("qid")
 
 
-@query("with h as (select sha1(doc_id::varchar || ':' || sha1(coalesce(text, ''))) as h from review_example), b as (select left(h, 3) as block, sha1(string_agg(h, '' order by h)) as h from h group by 1) select sha1(string_agg(h, '' order by h)) as version from b")
+@query("with h as (select sha1(doc_id::varchar || ':' || sha1(coalesce(text, ''))) as h from review_example), a as (select left(h, 9) as node, sha1(string_agg(h, '' order by h)) as h from h group by 1), "
+       "b as (select left(node, 6) as node, sha1(string_agg(h, '' order by h)) as h from a group by 1), c as (select left(node, 3) as node, sha1(string_agg(h, '' order by h)) as h from b group by 1) "
+       "select sha1(string_agg(h, '' order by h)) as version from c")
 def data_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return readers.fingerprint(corpus(spark, folder), "doc_id", "text")
 

@@ -45,11 +45,9 @@ def rank(method: str, corpus: DataFrame, queries: DataFrame, extracted: DataFram
         return bm25.rank(corpus, queries, config.top_k)
     if method == "subgraph":
         p = PRESETS[config.preset]
-        docs = graph.document_graph(corpus, extracted)
-        idf = graph.entity_idf(docs)
-        reach = graph.expansion(docs, idf, graph.edges(docs, idf), p["gamma"])
-        found = subgraph.scores(docs, idf, reach, subgraph.query_terms(queries, cache), p["n"], p["alpha"])
-        return ranking.top(ranking.with_unmatched(found, queries, corpus, config.top_k), config.top_k)
+        docs, words = graph.indexed(graph.document_graph(corpus, extracted))
+        reach = graph.expansion(docs, words, graph.edges(docs), p["gamma"])
+        return subgraph.rank(docs, words, reach, queries, cache, config.top_k, p["n"], p["alpha"])
     raise ValueError(f"unknown method {method!r}; known are {', '.join(METHODS)}")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillgraph.functions.text import normalize_space
+from rillgraph.sources.scratch import exists, written
 
 CORPUS = "doc_id bigint, text string, source string, title string"
 QUERIES = "qid string, question string, answer string, gold array<bigint>, `group` string"
@@ -31,16 +32,21 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return numbered(rows, "at").select(F.coalesce("given", "doc_id").alias("doc_id"), "text")
 
 
-def numbered(rows: DataFrame, order: str) -> DataFrame:
-    """Contiguous ids from 0 in the order of a column: counts per partition, then places within it."""
-    spread = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+def numbered(rows: DataFrame, *order: Column | str, into: str = "doc_id") -> DataFrame:
+    """Contiguous numbers from 0 in the order of some columns: sizes of sorted partitions, then places within them.
+
+    The sorted rows are written with their partition, so that sizes and places are of
+    the same rows.
+    """
+    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    spread = written(spread, "numbered")
     sizes = {r._p: r.n for r in spread.groupBy("_p").agg(F.count("*").alias("n")).collect()}  # one row per partition
     starts, total = [], 0
     for p in range(max(sizes, default=-1) + 1):
         starts.append(total)
         total += sizes.get(p, 0)
     place = F.col("_i") - F.shiftleft(F.col("_p").cast("bigint"), 33)
-    return spread.withColumn("doc_id", F.get(F.array(*(F.lit(s).cast("bigint") for s in starts or [0])), F.col("_p")) + place).drop("_p", "_i")
+    return spread.withColumn(into, F.get(F.array(*(F.lit(s).cast("bigint") for s in starts or [0])), F.col("_p")) + place).drop("_p", "_i")
 
 
 def passage_text(passage: Column, fields: tuple[str, ...] = PASSAGE_FIELDS) -> Column:
@@ -72,10 +78,16 @@ def write_report(df: DataFrame, path: str) -> None:
 
 
 def fingerprint(df: DataFrame, order: str, text: str) -> DataFrame:
-    """One row: a SHA-1 over the SHA-1s of all texts in order, merged in blocks so that no task holds all of them."""
-    keyed = df.select(F.col(order).cast("string").alias("k"), F.sha1(F.coalesce(F.col(text), F.lit(""))).alias("h")).select(F.sha1(F.concat_ws(":", "k", "h")).alias("h"))
-    blocks = keyed.groupBy(F.substring("h", 1, 3).alias("block")).agg(F.sha1(F.array_join(F.array_sort(F.collect_list("h")), "")).alias("h"))
-    return blocks.agg(F.sha1(F.array_join(F.array_sort(F.collect_list("h")), "")).alias("version"))  # at most 4,096 blocks
+    """One row: a SHA-1 over the SHA-1s of all texts and their keys, merged in a tree by the first digits of the hashes.
+
+    Every node below the leaves has at most 4,096 children, and a leaf takes one in 7e10
+    of all rows, so that no task holds many hashes.
+    """
+    found = df.select(F.col(order).cast("string").alias("k"), F.sha1(F.coalesce(F.col(text), F.lit(""))).alias("h")).select(F.sha1(F.concat_ws(":", "k", "h")).alias("h"))
+    found = found.withColumn("at", F.col("h"))
+    for digits in (9, 6, 3, 0):
+        found = found.groupBy(F.substring("at", 1, digits).alias("at")).agg(F.sha1(F.array_join(F.array_sort(F.collect_list("h")), "")).alias("h"))
+    return found.select(F.col("h").alias("version"))
 
 
 def resolve_gold(queries: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -97,10 +109,24 @@ def valid_gold(queries: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def sample(queries: DataFrame, size: int | None, seed: int, by: str = "qid") -> DataFrame:
-    """``size`` rows chosen by a seeded hash of their key, the same at each run; all if there are no more."""
+    """``size`` rows chosen by a seeded hash of their key, the same at each run; all if there are no more.
+
+    The first digits of the hashes are counted, at most 65,536 of them, to find where the
+    last row lies; only rows that share its digits are sorted.
+    """
     if size is None:
         return queries
-    return queries.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(by))), by).limit(size)
+    hashed = queries.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(by).cast("string"), F.lit(""))))).withColumn("_d", F.substring("_h", 1, 4))
+    left, last = size, None
+    for r in sorted(hashed.groupBy("_d").agg(F.count("*").alias("n")).collect(), key=lambda r: r["_d"]):
+        if r.n > left:
+            last = r["_d"]
+            break
+        left -= r.n
+    if last is None:
+        return queries
+    sooner = hashed.where(F.col("_d") < last)
+    return sooner.unionByName(hashed.where(F.col("_d") == last).orderBy("_h", by).limit(left)).drop("_h", "_d")
 
 
 def not_cached(rows: DataFrame, cache: DataFrame, key: str) -> DataFrame:

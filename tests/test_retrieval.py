@@ -47,31 +47,80 @@ def test_entities_and_relations(spark):
     assert graph.entities(corpus.limit(0)).count() == 0
 
 
+NAMED = "doc_id bigint, entities array<string>, relations array<struct<src:string,dst:string>>"
+
+
 def test_expansion_and_exact_scores(spark):
-    docs = spark.createDataFrame([(0, ["a"], None), (1, ["d"], None), (2, ["b", "c"], None)], "doc_id bigint, entities array<string>, relations array<struct<src:string,dst:string>>")
-    idf = graph.entity_idf(docs)
-    links = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "b"), ("c", "d"), ("d", "c")], "u string, v string")
-    reach = graph.expansion(docs, idf, links)
-    assert {(r.doc_id, r.entity, r.hop) for r in reach.collect()} >= {(0, "a", 0), (0, "b", 1), (0, "c", 2), (1, "d", 0), (1, "c", 1), (1, "b", 2)}
-    assert not any(r.doc_id == 0 and r.entity == "d" for r in reach.collect())
-    tight = graph.expansion(docs, idf, links, cap=2).groupBy("doc_id").count().collect()
+    docs, words = graph.indexed(spark.createDataFrame([(0, ["a"], None), (1, ["d"], None), (2, ["b", "c"], None)], NAMED))
+    of = {r.name: r.entity for r in words.collect()}
+    assert of == {"a": 0, "b": 1, "c": 2, "d": 3}
+    links = spark.createDataFrame([(of[x], of[y]) for x, y in ("ab", "ba", "bc", "cb", "cd", "dc")], "u bigint, v bigint")
+    reach = graph.expansion(docs, words, links)
+    assert {(r.doc_id, r.entity, r.hop) for r in reach.collect()} >= {(0, 0, 0), (0, 1, 1), (0, 2, 2), (1, 3, 0), (1, 2, 1), (1, 1, 2)}
+    assert not any(r.doc_id == 0 and r.entity == 3 for r in reach.collect())
+    tight = graph.expansion(docs, words, links, cap=2).groupBy("doc_id").count().collect()
     assert all(r["count"] == 2 for r in tight)
     terms = spark.createDataFrame([("q", 0, "a")], "qid string, pos int, term string")
     w = math.log1p(3 / 1) ** 0.25
-    got = {r.doc_id: r.score for r in subgraph.scores(docs, idf, reach, terms, n=3, alpha=0.03).collect()}
+    got = {r.doc_id: r.score for r in subgraph.scores(docs, words, reach, terms, n=3, alpha=0.03).collect()}
     offered = w / 3
     assert got[0] == pytest.approx((w / 3 - 0.03) / offered) and got[2] == pytest.approx(max(0.7 * w / 3 - 0.06, 0) / offered)
+    asked = spark.createDataFrame([("q", "Aaa"), ("none", "")], "qid string, question string")
+    order = {}
+    for r in subgraph.rank(docs, words, reach, asked, k=2).orderBy("rank").collect():
+        order.setdefault(r.qid, []).append(r.doc_id)
+    assert order == {"q": [2, 1], "none": [0, 1]}  # without terms in the order of ids
+
+
+def plain_expansion(entities, idf, links, gamma, cap):
+    """Breadth first, one document at a time."""
+    out = {}
+    for doc, own in entities.items():
+        hops = {e: 0 for e in own}
+        for hop in (1, 2):
+            for u in [e for e, h in hops.items() if h == hop - 1]:
+                for v in links.get(u, ()):
+                    hops.setdefault(v, hop)
+        best = sorted(hops, key=lambda e: (-round(gamma ** hops[e] * idf[e], 9), e))[:cap]
+        out |= {(doc, e): hops[e] for e in best}
+    return out
+
+
+@pytest.mark.parametrize("cap", [1, 3, 6, 15])
+def test_expansion_against_one_document_at_a_time(spark, cap):
+    import random
+
+    rng = random.Random(cap)
+    names = [f"e{i:02}" for i in range(60)]
+    rows = []
+    for i in range(80):
+        own = sorted({names[min(59, int(rng.expovariate(0.08)))] for _ in range(rng.randrange(5))})
+        relations = [(rng.choice(names).upper(), rng.choice(own or names)) for _ in range(rng.randrange(4))]
+        rows.append((i, own, relations or None))
+    docs, words = graph.indexed(spark.createDataFrame(rows, NAMED))
+    of = {r.name: (r.entity, r.idf) for r in words.collect()}
+    assert sorted(i for i, _ in of.values()) == list(range(len(of)))
+    links = {}
+    for _, own, relations in rows:
+        pairs = [(a.lower(), b) for a, b in relations] if relations else [(a, b) for i, a in enumerate(own) for b in own[i + 1 : i + 8]]
+        for a, b in pairs:
+            if a in of and b in of:
+                links.setdefault(of[a][0], set()).add(of[b][0])
+                links.setdefault(of[b][0], set()).add(of[a][0])
+    found = graph.edges(docs)
+    assert {(r.u, r.v) for r in found.collect()} == {(u, v) for u, vs in links.items() for v in vs}
+    want = plain_expansion({i: [of[e][0] for e in own] for i, own, _ in rows}, dict(of.values()), links, 0.7, cap)
+    assert {(r.doc_id, r.entity): r.hop for r in graph.expansion(docs, words, found, cap=cap).collect()} == want
 
 
 def test_semantic_scores(spark):
-    docs = spark.createDataFrame([(0, ["aaa"], None), (1, ["bbb"], None)], "doc_id bigint, entities array<string>, relations array<struct<src:string,dst:string>>")
-    idf = graph.entity_idf(docs)
-    reach = graph.expansion(docs, idf, graph.edges(docs, idf))
-    entities = models.encoded(idf, "entity").withColumnRenamed("text", "entity")
-    asked = entities.where("entity = 'aaa'").select(F.lit(1).alias("term_id"), "embedding")
+    docs, words = graph.indexed(spark.createDataFrame([(0, ["aaa"], None), (1, ["bbb"], None)], NAMED))
+    reach = graph.expansion(docs, words, graph.edges(docs))
+    entities = models.encoded(words, "name").join(words.withColumnRenamed("name", "text"), "text").select("entity", "embedding")
+    asked = entities.where("entity = 0").select(F.lit(1).alias("term_id"), "embedding")
     terms = spark.createDataFrame([("q", 1)], "qid string, term_id int")
     sims = semantic.similarities(asked, entities)
-    got = {r.doc_id: r.score for r in semantic.scores(docs, semantic.coverage(sims, terms, reach, 3), semantic.offered(sims, terms, idf, 3)).collect()}
+    got = {r.doc_id: r.score for r in semantic.scores(docs, semantic.coverage(sims, terms, reach, 3), semantic.offered(sims, terms, words, 3)).collect()}
     a, b = models.HashEncoder().encode_batch(["aaa", "bbb"])
     c, w = float(a @ b), math.log1p(2) ** 0.25
     whole = max(w * (1 + c) / 2, 1e-9)
@@ -79,14 +128,16 @@ def test_semantic_scores(spark):
 
 
 def test_relation_terms(spark):
-    docs = spark.createDataFrame([(0, ["a", "b"], [("A", "B")]), (1, ["c", "d"], None)], "doc_id bigint, entities array<string>, relations array<struct<src:string,dst:string>>")
+    docs, words = graph.indexed(spark.createDataFrame([(0, ["a", "b"], [("A", "B"), ("A", "unknown")]), (1, ["c", "d"], None)], NAMED))
     edges = semantic.local_edges(docs)
-    assert {(r.doc_id, r.u, r.v) for r in edges.collect()} == {(0, "a", "b"), (0, "b", "a"), (1, "c", "d"), (1, "d", "c")}
-    idf = spark.createDataFrame([(e, 2.0) for e in "abcd"], "entity string, idf double")
-    ends = spark.createDataFrame([(1, "a", 1.0), (1, "b", 0.2), (1, "c", 0.1), (1, "d", 0.0), (2, "b", 0.5), (2, "a", 0.0), (2, "c", 0.0), (2, "d", 0.4)], "term_id int, entity string, sim double")
+    assert {(r.doc_id, r.pos, r.u, r.v) for r in edges.collect()} == {(0, 0, 0, 1), (0, 1, 1, 0), (1, 0, 2, 3), (1, 1, 3, 2)}
+    assert semantic.local_edges(docs, 1).count() == 2 and semantic.local_edges(docs, None).count() == 4
+    idf = spark.createDataFrame([(e, 2.0) for e in range(4)], "entity bigint, idf double")
+    ends = spark.createDataFrame([(1, 0, 1.0), (1, 1, 0.2), (1, 2, 0.1), (1, 3, 0.0), (2, 1, 0.5), (2, 0, 0.0), (2, 2, 0.0), (2, 3, 0.4)], "term_id int, entity bigint, sim double")
     relations = spark.createDataFrame([("q", 0, 1, 2)], "qid string, rel int, src_id int, dst_id int")
     related, whole = semantic.relation_terms(relations, ends, idf, edges)
     assert {r.doc_id: r.related for r in related.collect()} == pytest.approx({0: 1.5, 1: 0.5}) and whole.first().related_offered == pytest.approx(1.5)
+    assert semantic.relation_terms(relations, ends, idf, edges, None)[1].first().related_offered == pytest.approx(1.5)
     covered = spark.createDataFrame([("q", 0, 0.01), ("q", 1, 1.0)], "qid string, doc_id bigint, covered double")
     offered = spark.createDataFrame([("q", 2.0)], "qid string, offered double")
     paper = {r.doc_id: r.score for r in semantic.scores(docs, covered, offered, (related, whole), weight=1.0).collect()}
