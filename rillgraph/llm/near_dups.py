@@ -26,6 +26,7 @@ characters have no features and no partners.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -186,18 +187,19 @@ def signatures(texts: list[str], bands: Bands, above: np.ndarray | None = None,
         lacking = bands.lacking(band, np.maximum(sizes, 1))
         reached = np.zeros((len(lacking), len(texts)))
         # telling lines first; texts that haven't enough of them go on with the others
-        rounds = [(r, True) for r in range(MOST)] + [(r, False) for r in range(MOST)] if above is None else [(r, None) for r in range(MOST)]
-        held = None
-        for r, telling in rounds:
+        rounds = [(r, True) for r in range(MOST)] + [(r, False) for r in range(MOST)] if above is None else []
+        held, grid = None, 0
+        for r, telling in itertools.chain(rounds, ((r, None) for r in itertools.count(MOST if rounds else 0))):
             if not len(live):
                 break
-            if held is None or len(live) < len(held):
-                held = live
+            # a grid has as many directions as lines; then the features are laid out anew
+            if held is None or len(live) < len(held) or r // q != grid:
+                held, grid = live, r // q
                 n = sizes[live]
                 at = np.repeat(starts[live] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
                 v = value[at]
                 cell = np.repeat(np.arange(len(live)) * q, n)
-                place = mixed(v + np.uint64(level)) if level else v
+                place = mixed(v + np.uint64(level + LEVELS * grid)) if level or grid else v
                 row, column = ((place >> np.uint64(40)) % np.uint64(q)).astype(np.int64), ((place >> np.uint64(16)) % np.uint64(q)).astype(np.int64)
                 mix = mixed(v ^ np.uint64(0x9E3779B97F4A7C15))
                 low, high = (mix & np.uint64(0xFFFFFFFF)).astype(np.float64), (mix >> np.uint64(32)).astype(np.float64)
@@ -220,7 +222,7 @@ def signatures(texts: list[str], bands: Bands, above: np.ndarray | None = None,
             # both texts have a line's features and the other text adds none
             for k, loss in enumerate(lost):
                 same = np.exp(-np.bincount(slot, loss, cells)[keep] - (lacking[k][1] * sizes)[number] / q)
-                reached[k] += np.bincount(number, same, len(texts))
+                reached[k] += np.bincount(number, same, len(texts)) + 1e-3  # lest rounding keeps a text for ever
             if r + 1 >= directions or not telling:
                 live = live[reached[:, live].min(axis=0) < EXPECTED]
     if not found:
@@ -355,7 +357,7 @@ def _matched(blocks: DataFrame, hot: int) -> DataFrame:
 def _with_sketches(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) with the sizes and sketches of both."""
     for side in ("a", "b"):
-        pairs = pairs.join(_sketches(texts, side), side)
+        pairs = pairs.join(_sketches(texts, side).hint("merge"), side)
     return pairs
 
 
@@ -380,10 +382,10 @@ def _crowds(crowded: DataFrame) -> DataFrame:
 def _in_blocks(crowded: DataFrame, crowds: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(a, b): all pairs of each crowded signature that sizes and sketches leave open, joined block by block of its texts."""
     blocks = crowds.select("above", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    held = crowded.join(F.broadcast(blocks), "above").withColumn("block", F.pmod(F.xxhash64("rid"), "blocks").cast("int"))
+    held = crowded.join(blocks.hint("merge"), "above").withColumn("block", F.pmod(F.xxhash64("rid"), "blocks").cast("int"))
     held = written(held, "crowded")
-    left = held.select("above", F.col("rid").alias("a"), F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j")).join(_sketches(texts, "a"), "a")
-    right = held.select("above", F.col("rid").alias("b"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), "block")).alias("i")).join(_sketches(texts, "b"), "b")
+    left = held.select("above", F.col("rid").alias("a"), F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j")).join(_sketches(texts, "a").hint("merge"), "a")
+    right = held.select("above", F.col("rid").alias("b"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), "block")).alias("i")).join(_sketches(texts, "b").hint("merge"), "b")
     pairs = left.join(right.hint("merge"), ["above", "i", "j"]).where(((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))) & _likely(threshold))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
@@ -407,8 +409,8 @@ def candidates(texts: DataFrame, rows: int, threshold: float = THRESHOLD, hot: i
             out = out.unionByName(_in_blocks(crowded, crowds, texts, threshold))
             break
         before = left
-        crowded = crowded.join(F.broadcast(crowds.select("above")), "above")
-        now = crowded.join(texts.select("rid", "content"), "rid").sortWithinPartitions("rid").select("rid", "content", "above")
+        crowded = crowded.join(crowds.select("above").hint("merge"), "above")
+        now = crowded.join(texts.select("rid", "content").hint("merge"), "rid").sortWithinPartitions("rid").select("rid", "content", "above")
     return out
 
 
@@ -458,7 +460,7 @@ def class_pairs(texts: DataFrame, threshold: float = THRESHOLD, hot: int = HOT)
     likely = found.where(_likely(threshold)).select("a", "b").distinct()
     likely = written(likely, "likely")
     texts_of = texts.select("rid", "content")
-    both = likely.join(texts_of.select(F.col("rid").alias("a"), F.col("content").alias("ca")), "a").join(texts_of.select(F.col("rid").alias("b"), F.col("content").alias("cb")), "b")
+    both = likely.join(texts_of.select(F.col("rid").alias("a"), F.col("content").alias("ca")).hint("merge"), "a").join(texts_of.select(F.col("rid").alias("b"), F.col("content").alias("cb")).hint("merge"), "b")
     return both.where(_similar("ca", "cb", F.lit(threshold))).select("a", "b")
 
 
@@ -468,13 +470,13 @@ def found(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts = classes(rows)
     pairs = written(class_pairs(texts, threshold), "class-pairs")
     touched = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
-    of = texts.join(touched, "rid").select("rid", "k1", "k2", "first_doc_id", "copies")
+    of = texts.join(touched.hint("merge"), "rid").select("rid", "k1", "k2", "first_doc_id", "copies")
     alone = of.where("copies = 1").select("rid", F.col("first_doc_id").alias("doc_id"))
-    several = rows.select("doc_id", "k1", "k2").join(of.where("copies > 1").select("rid", "k1", "k2"), ["k1", "k2"]).select("rid", "doc_id")
+    several = rows.select("doc_id", "k1", "k2").join(of.where("copies > 1").select("rid", "k1", "k2").hint("merge"), ["k1", "k2"]).select("rid", "doc_id")
     members = written(alone.unionByName(several), "members")
-    left = pairs.join(members.select(F.col("rid").alias("a"), F.col("doc_id").alias("x")), "a").withColumn("salt", F.pmod("x", F.lit(SALTS)))
+    left = pairs.join(members.select(F.col("rid").alias("a"), F.col("doc_id").alias("x")).hint("merge"), "a").withColumn("salt", F.pmod("x", F.lit(SALTS)))
     right = members.select(F.col("rid").alias("b"), F.col("doc_id").alias("y"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
-    return left.join(right, ["b", "salt"]).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
+    return left.join(right.hint("merge"), ["b", "salt"]).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
 
 
 def components(pairs: DataFrame) -> DataFrame:
