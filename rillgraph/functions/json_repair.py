@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillgraph.functions.text import clean_reply
+from rillgraph.functions.text import clean_reply, extract_terms
 
 MAX_COMMAS = 64
 _ESCAPE = re.compile(r'\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})')
@@ -75,20 +75,38 @@ def _repair(replies: pd.Series) -> pd.Series:
 
 
 def reply_object(reply: Column | str) -> Column:
-    """The JSON object of a reply as text."""
-    return _repair(reply)
+    """The JSON object of a reply as text; only replies that the engine can't parse go through Python."""
+    reply = F.col(reply) if isinstance(reply, str) else reply
+    bare = clean_reply(reply)
+    strict = F.when(bare.startswith("{") & bare.endswith("}"), F.get_json_object(bare, "$"))
+    return F.coalesce(strict, _repair(F.when(strict.isNull(), reply)))
 
 
 GRAPH = "struct<entities:array<string>,relations:array<array<string>>>"
 
 
-def reply_graph(reply: Column, entities: int = 24, relations: int = 16) -> Column:
-    """Entities (2 to 79 characters, distinct) and relations (two members or more) of a reply."""
+def reply_graph(reply: Column, entities: int = 24, relations: int = 16, text: Column | None = None) -> Column:
+    """Entities (2 to 79 characters, distinct) and relations (two members or more) of a reply; the terms of ``text`` where it has no entities."""
     bare = F.regexp_extract(clean_reply(reply), r"(?s)(\{.*\})", 1)
     g = F.from_json(bare, GRAPH)
-    kept = F.filter(F.transform(F.coalesce(g["entities"], F.array().cast("array<string>")), F.trim), lambda e: e.isNotNull() & F.length(e).between(2, 79))
+    kept = F.filter(F.transform(F.coalesce(g["entities"], F.array().cast("array<string>")), lambda e: F.trim(e)), lambda e: e.isNotNull() & F.length(e).between(2, 79))
     pairs = F.filter(F.coalesce(g["relations"], F.array().cast("array<array<string>>")), lambda r: (F.size(r) >= 2) & (F.trim(F.get(r, F.lit(0))) != "") & (F.trim(F.get(r, F.lit(1))) != ""))
+    if text is not None:
+        kept = F.when(F.size(kept) > 0, kept).otherwise(extract_terms(text, entities))
     return F.struct(
         F.slice(F.array_distinct(kept), 1, entities).alias("entities"),
         F.slice(F.transform(pairs, lambda r: F.struct(F.trim(F.get(r, F.lit(0))).alias("src"), F.trim(F.get(r, F.lit(1))).alias("dst"))), 1, relations).alias("relations"),
     )
+
+
+def reply_lines(reply: Column, shortest: int = 2, longest: int = 59) -> Column:
+    """The lines of a reply that lists entities: without bullets, of a length that a name can have, once each."""
+    bare = F.transform(F.split(clean_reply(reply), "\n"), lambda x: F.trim(F.regexp_replace(F.trim(x), r"^(?:[-*•·]|\d{1,3}[.)、])[ \t]*", "")))
+    return F.array_distinct(F.filter(bare, lambda x: F.length(x).between(shortest, longest)))
+
+
+def reply_pairs(reply: Column) -> Column:
+    """The lines of a reply that lists relations as two names with a bar between them."""
+    cut = F.transform(reply_lines(reply, 3, 200), lambda x: F.transform(F.split(x, r"\|"), lambda n: F.trim(n)))
+    pairs = F.filter(cut, lambda p: (F.size(p) >= 2) & (F.get(p, F.lit(0)) != "") & (F.get(p, F.lit(1)) != ""))
+    return F.transform(pairs, lambda p: F.struct(F.get(p, F.lit(0)).alias("src"), F.get(p, F.lit(1)).alias("dst")))

@@ -50,7 +50,7 @@ def retrieval_metrics(ranked: str, gold: str, k: int, distinct: bool = False) ->
 
 def spec_accuracy(ranked_specs: str, gold_specs: str, k: int) -> Column:
     """Whether one of the first ``k`` documents is of a right specification."""
-    return F.arrays_overlap(F.slice(ranked_specs, 1, k), gold_specs).cast("double")
+    return F.coalesce(F.arrays_overlap(F.slice(ranked_specs, 1, k), gold_specs), F.lit(False)).cast("double")
 
 
 def retrieval_average(acc: Column, mrr: Column, ndcg: Column, coverage: Column | None = None) -> Column:
@@ -58,6 +58,53 @@ def retrieval_average(acc: Column, mrr: Column, ndcg: Column, coverage: Column |
     return ((acc if coverage is None else coverage) + mrr + ndcg) / 3
 
 
+def generation_average(*components: Column) -> Column:
+    """Mean of the measures of an answer; null where any of them is."""
+    return sum(components[1:], components[0]) / len(components)
+
+
+def retrieval_record(ranked: str, gold: str, k: int) -> dict[str, Column]:
+    """The record of a question at ``k``: whether anything was found, the share found, precision, MRR, nDCG, MAP and their average."""
+    m = retrieval_metrics(ranked, gold, k)
+    found = {f"acc_{k}": m[f"hit_{k}"], f"coverage_{k}": m[f"recall_{k}"]} | {n: m[n] for n in (f"precision_{k}", f"mrr_{k}", f"ndcg_{k}", f"map_{k}")}
+    return found | {f"ret_avg_{k}": retrieval_average(m[f"hit_{k}"], m[f"mrr_{k}"], m[f"ndcg_{k}"])}
+
+
+def coverage_metrics(ranked: str, gold: str, k: int) -> dict[str, Column]:
+    """Accuracy, coverage, MRR and nDCG of the first ``k``, of which each document counts once."""
+    m = retrieval_metrics(ranked, gold, k, distinct=True)
+    return {f"acc_{k}": m[f"hit_{k}"], f"coverage_{k}": m[f"recall_{k}"], f"mrr_{k}": m[f"mrr_{k}"], f"ndcg_{k}": m[f"ndcg_{k}"]}
+
+
+def review_metrics(ranked: str, gold: str, ranked_specs: str, gold_specs: str, k: int) -> dict[str, Column]:
+    """Accuracy, coverage, MRR and nDCG of the clauses found for a sentence, and whether one is of a right specification; gold counts once."""
+    m = retrieval_metrics(ranked, gold, k)
+    return {f"acc_{k}": m[f"hit_{k}"], f"coverage_{k}": m[f"recall_{k}"], f"spec_acc_{k}": spec_accuracy(ranked_specs, gold_specs, k), f"mrr_{k}": m[f"mrr_{k}"], f"ndcg_{k}": m[f"ndcg_{k}"]}
+
+
+def answered(prediction: str, answer: str) -> Column:
+    """Whether there is both a prediction and an answer to judge it by."""
+    return (F.length(F.coalesce(prediction, F.lit(""))) > 0) & (F.length(F.coalesce(answer, F.lit(""))) > 0)
+
+
+def generation_record(prediction: str, answer: str) -> dict[str, Column]:
+    """The measures of a prediction; null where it or the answer is missing or empty."""
+    chars_, tokens = char_prf(prediction, answer), token_prf(prediction, answer)
+    found = {
+        "gen_char_p": chars_["p"],
+        "gen_char_r": chars_["r"],
+        "gen_char_f1": chars_["f1"],
+        "gen_token_p": tokens["p"],
+        "gen_token_r": tokens["r"],
+        "gen_token_f1": tokens["f1"],
+        "gen_exact_match": exact_match(prediction, answer),
+        "gen_rouge_l": rouge_l(prediction, answer),
+        "gen_bleu1": bleu1(prediction, answer),
+    }
+    found["gen_avg"] = generation_average(*(found[n] for n in ("gen_char_f1", "gen_token_f1", "gen_rouge_l", "gen_bleu1")))
+    return {n: F.when(answered(prediction, answer), c) for n, c in found.items()}
+
+
 def chars(value: Column) -> Column:
     """The characters of a text."""
     return F.filter(F.split(value, ""), lambda c: c != "")
@@ -128,7 +175,15 @@ def rouge_l(prediction: str, reference: str) -> Column:
     return F.when(p + r > 0, 2 * p * r / F.when(p + r > 0, p + r)).otherwise(0.0)
 
 
-def averages(rows: DataFrame, metrics: Sequence[str], by: Sequence[str] = (), scale: float = 100.0) -> DataFrame:
+def averages(rows: DataFrame, metrics: Sequence[str], by: Sequence[str] = (), scale: float = 100.0, extra: Sequence[Column] = ()) -> DataFrame:
     """Rows, and the mean of each metric times ``scale``, nulls left out, over all rows or by group; a null group is a group."""
     means = [F.coalesce(F.avg(m) * scale, F.lit(0.0)).alias(m) for m in metrics]
-    return rows.groupBy(*by).agg(F.count("*").alias("num_queries"), *means)
+    return rows.groupBy(*by).agg(F.count("*").alias("num_queries"), *extra, *means)
+
+
+def summary(rows: DataFrame, by: Sequence[str] = (), names: dict[str, str] | None = None, scale: float = 100.0) -> DataFrame:
+    """:func:`averages` of every column of numbers or truth values, under other names where these are given."""
+    kinds = {"boolean", "tinyint", "smallint", "int", "bigint", "float", "double"}
+    numeric = [c for c, kind in rows.dtypes if kind in kinds and c not in by]
+    found = averages(rows.select(*by, *(F.col(c).cast("double").alias(c) for c in numeric)), numeric, by, scale)
+    return found.withColumnsRenamed(names or {})

@@ -70,6 +70,27 @@ def embedding_prf(predicted: Column, reference: Column) -> dict[str, Column]:
     return {"p": p, "r": r, "f1": F.when(p + r > 0, 2 * p * r / F.when(p + r > 0, p + r)).otherwise(0.0)}
 
 
+def delta_embedding_prf(old: Column, predicted: Column, reference: Column, kept: Column | None = None, keep: Column | None = None) -> dict[str, Column]:
+    """Precision, recall and F1 of an edit as a vector: the clipped cosine of both edits, less where the prediction's or the reference's is the longer one.
+
+    ``kept`` and ``keep`` tell whether the prediction changes nothing and whether nothing
+    should be changed, by default as the vectors have it: 1 if both, 0 if one does.
+    """
+    from rillgraph.operators.dense import inner, norm
+
+    p, r = (F.zip_with(x, old, lambda a, b: a.cast("double") - b) for x in (predicted, reference))
+    long_p, long_r = norm(p), norm(r)
+    still_p, still_r = long_p < 1e-8, long_r < 1e-8
+    kept, keep = still_p if kept is None else kept, still_r if keep is None else keep
+    alike = F.when(still_p | still_r, 0.0).otherwise(F.least(F.greatest(inner(p, r) / (long_p * long_r), F.lit(0.0)), F.lit(1.0)))
+
+    def side(own: Column, other: Column) -> Column:
+        return F.when(kept & keep, 1.0).when(kept | keep, 0.0).otherwise(alike * F.least(F.lit(1.0), F.coalesce(F.try_divide(other, own), F.lit(0.0))))
+
+    precision, recall = side(long_p, long_r), side(long_r, long_p)
+    return {"p": precision, "r": recall, "f1": F.when(precision + recall > 0, 2 * precision * recall / F.when(precision + recall > 0, precision + recall)).otherwise(0.0)}
+
+
 def delta_embedding_score(old: Column, predicted: Column, reference: Column) -> Column:
     """Clipped cosine of two edits as vectors, times how alike their lengths are; 1 if neither changes anything, 0 if one does."""
     from rillgraph.operators.dense import inner, norm

@@ -226,19 +226,39 @@ def sentence_counts(spark: SparkSession, folder: str) -> DataFrame:
     return corpus(spark, folder).select("doc_id", F.size(s).cast("bigint").alias("sentences"), F.aggregate(s, F.lit(0).cast("bigint"), lambda n, x: n + F.length(x)).alias("chars"))
 
 
-@query()
+PHRASES = "regexp_extract_all({0}, " + q(f"{X.PROPER_AFTER}({X.PROPER_PHRASE})") + ", 1)"
+
+
+@query(f"select doc_id, unnest(p) as phrase, generate_subscripts(p, 1) - 1 as pos from (select doc_id, {sql(PHRASES, 'text')} as p from review_example where text is not null)")
 def proper_phrases(spark: SparkSession, folder: str) -> DataFrame:
-    return corpus(spark, folder).select("doc_id", F.posexplode(X.proper_phrases("text")).alias("pos", "phrase"))
+    return corpus(spark, folder).select("doc_id", F.posexplode(X.proper_phrases("text")).alias("pos", "phrase")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
-@query()
+ENTITIES = f"""td as (select token, count(*) as df from (select distinct doc_id, unnest({sql(GRAPH_TOKENS, 'text')}) as token from review_example) where not list_contains({listed(X.STOP_EN)}, token) group by token),
+  nn as (select count(*) as n from review_example),
+  ky as (select {sql(KEY, 'text')} as doc_key, min(text) as text from review_example where text is not null group by 1),
+  se as (select doc_key, unnest(s) as sentence, generate_subscripts(s, 1) - 1 as sent from (select doc_key, {sql(SENTENCES, 'text')} as s from ky)),
+  ph as (select doc_key, sent, unnest(p) as surface, generate_subscripts(p, 1) - 1 as pos from (select doc_key, sent, {sql(PHRASES, 'sentence')} as p from se)),
+  pt as (select *, unnest({sql(GRAPH_TOKENS, 'surface')}) as token from ph),
+  wt as (select doc_key, sent, pos, surface, count(*) as words, coalesce(max(df), 0) as df, any_value(n) as n, sum(case when list_contains({listed(X.STOP_EN)}, token) then 0 else ln(1 + n / greatest(coalesce(df, 0), 1)::double) end) as weight
+         from pt left join td using (token) cross join nn group by all),
+  na as (select doc_key, sent, 0 as kind, pos, trim({sql(SPACE, 'surface')}, {q(X.ENTITY_EDGE)}) as surface, 8 + 1.5::double * words + weight as score from wt where not (words = 1 and df > greatest(20, n // 100))),
+  ra as (select doc_key, sent, 1 as kind, 0 as pos, trim(token, {q(X.ENTITY_EDGE)}) as surface, ln(1 + n / df::double) as score from (select distinct doc_key, sent, unnest({sql(GRAPH_TOKENS, 'sentence')}) as token from se) join td using (token) cross join nn where df <= greatest(120, n // 30)),
+  ek as (select *, lower(trim(regexp_replace(surface, {q(X.WS + '+')}, ' ', 'g'), {q(X.ENTITY_EDGE)})) as key from (select * from na union all select * from ra)),
+  eg as (select doc_key, key, max(score) as score, arg_min(surface, sent::bigint * 1000000 + kind * 500000 + pos) as surface, list_distinct(list(sent)) as sents from ek where length(key) >= 3 and not list_contains({listed(X.STOP_EN)}, key) group by all),
+  en as (select *, row_number() over (partition by doc_key order by round(score, 9) desc, len(string_split(key, ' ')) desc, key) as rank from eg qualify rank <= {graph.MAX_ENTITIES})"""
+
+
+@query(f"with {ENTITIES} select doc_key, rank, key, surface, round(score, 6) as score from en")
 def graph_entities(spark: SparkSession, folder: str) -> DataFrame:
     return graph.entities(corpus(spark, folder)).select("doc_key", "rank", "key", "surface", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"""with {ENTITIES}, pr as (select a.doc_key, a.rank as i, b.rank as j, a.surface as src, b.surface as dst, list_has_any(a.sents, b.sents) as together from en a join en b on a.doc_key = b.doc_key and a.rank < b.rank),
+  ch as (select * from pr where together or (j = i + 1 and doc_key not in (select doc_key from pr where together)))
+  select doc_key, row_number() over (partition by doc_key order by i, j) - 1 as pos, src, dst from ch qualify pos < {graph.MAX_RELATIONS}""")
 def graph_relations(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.relations(graph.entities(corpus(spark, folder)))
+    return graph.relations(graph.entities(corpus(spark, folder))).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 DOC_GRAPH = f"""g as (select doc_key, max_by({{entities: entities, relations: relations}}, loaded_at) as g from corpus_graph group by doc_key),
@@ -353,27 +373,41 @@ def data_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return readers.fingerprint(corpus(spark, folder), "doc_id", "text")
 
 
+@query("with p as (select doc_id as d, unnest(scenario_keywords) as t, generate_subscripts(scenario_keywords, 1) as i from review_example) select row_number() over (order by d, i) - 1 as doc_id, trim(t) as text from p where trim(t) <> ''")
+def flatten_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return readers.flatten_passages(corpus(spark, folder), "scenario_keywords", "doc_id").select("doc_id", "text")
+
+
 # --- metrics -----------------------------------------------------------------------------------------------------------
 def _metric_sql(k: int) -> str:
     return f"""case when f{k} > 0 then 1.0::double / f{k} else 0 end as mrr_{k}, coalesce((f{k} > 0)::double, 0) as hit_{k}, coalesce(n{k}, 0)::double / greatest(len(gold), 1) as recall_{k}, coalesce(n{k}, 0)::double / {k} as precision_{k},
       case when len(gold) > 0 then coalesce(d{k}, 0) / list_sum(list_transform(range(0, least(len(gold), {k})), lambda i: 1.0::double / log2(i + 2))) else 0.0 end as ndcg_{k}, case when len(gold) > 0 then coalesce(m{k}, 0) / least(len(gold), {k}) else 0.0 end as map_{k}"""
 
 
-EVAL = f"""with {bm25_ctes(10)}, gx as (select qid, unnest(gold) as d, generate_subscripts(gold, 1) as pos from questions), gu as (select distinct qid, d from gx where d in (select doc_id from review_example)),
-  gl as (select questions.qid, hop_group, coalesce(list(d) filter (d is not null), []) as gold from questions left join gu using (qid) group by all),
-  hit as (select ranked.qid, rank, (gu.d is not null)::int as h from ranked left join gu on gu.qid = ranked.qid and gu.d = ranked.doc_id), run as (select *, sum(h) over (partition by qid order by rank) as c from hit),
-  per as (select qid, """ + ", ".join(f"min(rank) filter (h = 1 and rank <= {k}) as f{k}, sum(h) filter (rank <= {k}) as n{k}, sum(h / log2(rank + 1)) filter (rank <= {k}) as d{k}, sum(h * c::double / rank) filter (rank <= {k}) as m{k}" for k in (5, 10)) + f""" from run group by qid),
-  met as (select gl.qid, hop_group, {_metric_sql(5)}, {_metric_sql(10)} from gl left join per using (qid))"""
+def eval_ctes(ranked: str, by: str = "") -> str:
+    """Metrics at 5 and 10 of a ranking (qid, doc_id, rank); ``by`` is a further column of the ranking, led by a comma."""
+    per = ", ".join(f"min(rank) filter (h = 1 and rank <= {k}) as f{k}, sum(h) filter (rank <= {k}) as n{k}, sum(h / log2(rank + 1)) filter (rank <= {k}) as d{k}, sum(h * c::double / rank) filter (rank <= {k}) as m{k}" for k in (5, 10))
+    methods = f"(select distinct {by.strip(', ')} from {ranked})" if by else ""
+    return f"""gx as (select qid, unnest(gold) as d, generate_subscripts(gold, 1) as pos from questions), gu as (select distinct qid, d from gx where d in (select doc_id from review_example)),
+  gl as (select questions.qid, hop_group{by}, coalesce(list(d) filter (d is not null), []) as gold from questions left join gu using (qid) {'cross join ' + methods if by else ''} group by all),
+  hit as (select rk.qid, rank{by}, (gu.d is not null)::int as h from {ranked} rk left join gu on gu.qid = rk.qid and gu.d = rk.doc_id), run as (select *, sum(h) over (partition by qid{by} order by rank) as c from hit),
+  per as (select qid{by}, {per} from run group by all),
+  met as (select gl.qid, hop_group{by}, {_metric_sql(5)}, {_metric_sql(10)} from gl left join per using (qid{by}))"""
+
+
+EVAL = f"with {bm25_ctes(10)}, {eval_ctes('ranked')}"
 NAMES = [f"{m}_{k}" for k in (5, 10) for m in ("mrr", "hit", "recall", "precision", "ndcg", "map")]
 
 
-def _judged(spark: SparkSession, folder: str) -> DataFrame:
-    clauses = corpus(spark, folder)
-    queries = asked(spark, folder)
-    gold = readers.valid_gold(queries, clauses)
+def _found(spark: SparkSession, folder: str) -> DataFrame:
+    """(qid, hop_group, gold, topk) by BM25."""
+    clauses, queries = corpus(spark, folder), asked(spark, folder)
     ranked = ranking.as_lists(bm25.rank(clauses, queries, 10))
-    rows = queries.select("qid", "hop_group").join(gold, "qid").join(ranked, "qid", "left")
-    return rows.select("qid", "hop_group", *(c.alias(n) for k in (5, 10) for n, c in metrics.retrieval_metrics("topk", "gold", k).items()))
+    return queries.select("qid", "hop_group").join(readers.valid_gold(queries, clauses), "qid").join(ranked, "qid", "left")
+
+
+def _judged(spark: SparkSession, folder: str) -> DataFrame:
+    return _found(spark, folder).select("qid", "hop_group", *(c.alias(n) for k in (5, 10) for n, c in metrics.retrieval_metrics("topk", "gold", k).items()))
 
 
 @query(EVAL + " select qid, " + ", ".join(f"round({m}, 6) as {m}" for m in NAMES) + " from met")
@@ -386,11 +420,67 @@ def metrics_by_group(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.averages(_judged(spark, folder), NAMES, ["hop_group"]).select("hop_group", "num_queries", *(F.round(m, 6).alias(m) for m in NAMES))
 
 
-@query()
+RECORD = [f"{m}_{k}" for k in (5, 10) for m in ("acc", "coverage", "precision", "mrr", "ndcg", "map", "ret_avg")]
+RECORD_SQL = {f"{m}_{k}": f"{x}_{k}" for k in (5, 10) for m, x in (("acc", "hit"), ("coverage", "recall"), ("precision", "precision"), ("mrr", "mrr"), ("ndcg", "ndcg"), ("map", "map"))} | {f"ret_avg_{k}": f"(hit_{k} + mrr_{k} + ndcg_{k}) / 3" for k in (5, 10)}
+
+
+@query(EVAL + " select qid, " + ", ".join(f"round({RECORD_SQL[m]}, 6) as {m}" for m in RECORD) + " from met")
+def retrieval_records(spark: SparkSession, folder: str) -> DataFrame:
+    columns = metrics.retrieval_record("topk", "gold", 5) | metrics.retrieval_record("topk", "gold", 10)
+    return _found(spark, folder).select("qid", *(F.round(columns[m], 6).alias(m) for m in RECORD))
+
+
+@query(EVAL + """, three as (select qid, min(rank) filter (h = 1) as f, sum(h) as n, sum(h / log2(rank + 1)) as d from run where rank <= 3 group by qid)
+  select gl.qid, coalesce((f > 0)::double, 0) as acc_5, round(coalesce(n, 0)::double / greatest(len(gold), 1), 6) as coverage_5, round(case when f > 0 then 1.0::double / f else 0 end, 6) as mrr_5,
+  round(case when len(gold) > 0 then coalesce(d, 0) / list_sum(list_transform(range(0, least(len(gold), 5)), lambda i: 1.0::double / log2(i + 2))) else 0.0 end, 6) as ndcg_5 from gl left join three using (qid)""")
+def coverage_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """The three best clauses, listed twice: what comes again doesn't count."""
+    rows = _found(spark, folder).withColumn("twice", F.concat(F.slice("topk", 1, 3), F.slice("topk", 1, 3)))
+    return rows.select("qid", *(F.round(c, 6).alias(n) for n, c in metrics.coverage_metrics("twice", "gold", 5).items()))
+
+
+@query(EVAL + """, gs as (select distinct gu.qid, spec_id from gu join review_example on doc_id = d where spec_id is not null), rs as (select distinct qid, spec_id from ranked join review_example using (doc_id) where rank <= 5),
+  sp as (select distinct qid from gs join rs using (qid, spec_id))
+  select met.qid, hit_5 as acc_5, round(recall_5, 6) as coverage_5, round(mrr_5, 6) as mrr_5, round(ndcg_5, 6) as ndcg_5, (sp.qid is not null)::double as spec_acc_5 from met left join sp on sp.qid = met.qid""")
+def review_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _found(spark, folder)
+    specs = corpus(spark, folder).select("doc_id", "spec_id")
+
+    def of(column: str) -> DataFrame:
+        return rows.select("qid", F.posexplode(column).alias("pos", "doc_id")).join(specs, "doc_id").groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "spec_id"))), lambda x: x["spec_id"]).alias(f"{column}_specs"))
+
+    rows = rows.join(of("topk"), "qid", "left").join(of("gold"), "qid", "left")
+    return rows.select("qid", *(F.round(c, 6).alias(n) for n, c in metrics.review_metrics("topk", "gold", "topk_specs", "gold_specs", 5).items()))
+
+
+BY_METHOD = f"""with {ASKED}, two as (select 'bm25' as method, qid, doc_id, rank from (with {bm25_ctes(10)} select * from ranked) union all select 'subgraph', qid, doc_id, rank from (with {subgraph_ctes(10)} select * from ranked)),
+  {eval_ctes('two', ', method')}, rec as (select method, hop_group, {', '.join(f'{x} as {m}' for m, x in RECORD_SQL.items())} from met)"""
+_MEANS = ", ".join(f"round(avg({m}) * 100, 5) as {m}" for m in RECORD)
+
+
+@query(f"{BY_METHOD} select method, null::varchar as group_field, null::varchar as group_value, count(*) as num_queries, 0::bigint as num_with_prediction, {_MEANS} from rec group by method "
+       f"union all select method, 'hop_group', coalesce(hop_group, 'None'), count(*), 0::bigint, {_MEANS} from rec group by method, hop_group")
 def metrics_by_method(spark: SparkSession, folder: str) -> DataFrame:
     clauses, queries = pipeline.prepare(corpus(spark, folder), table(spark, folder, "benchmark_query"))
     found = pipeline.infer(clauses, queries, table(spark, folder, "corpus_graph"), table(spark, folder, "query_cache"))
-    return pipeline.evaluate(found)
+    report = pipeline.evaluate(found)
+    return report.select(*(F.round(c, 5).alias(c) if c in RECORD else c for c in report.columns))
+
+
+@query()
+def answers_by_method(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers of a stand-in model, and the whole report on them."""
+    clauses, queries = pipeline.prepare(corpus(spark, folder), table(spark, folder, "benchmark_query"))
+    config = pipeline.Config(methods=("bm25",), model=models.EchoModel)
+    return pipeline.evaluate(pipeline.infer(clauses, queries, None, None, config), config)
+
+
+@query()
+def subgraph_semantic_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """By vectors of hashes, which only tell equal names from others: similarities below 0.5 are chance."""
+    config = pipeline.Config(top_k=5, least=0.5)
+    ranked = pipeline.rank("semantic", corpus(spark, folder), asked(spark, folder), table(spark, folder, "corpus_graph"), table(spark, folder, "query_cache"), config)
+    return ranked.withColumn("score", F.round("score", 5))
 
 
 CASES = "cases as (select distinct qid, review_sentence, correct_sentence from review_case)"
@@ -434,6 +524,20 @@ def exact_match(spark: SparkSession, folder: str) -> DataFrame:
     return _cases(spark, folder).select("qid", metrics.exact_match("review_sentence", "correct_sentence").alias("exact_match"))
 
 
+SPOKEN = ("gen_char_p", "gen_char_r", "gen_char_f1", "gen_token_p", "gen_token_r", "gen_token_f1", "gen_exact_match", "gen_bleu1")
+
+
+@query("with " + CASES + f", c as (select qid, regexp_extract_all({sql(NORMAL_CHARS, 'review_sentence')}, '.') as a, regexp_extract_all({sql(NORMAL_CHARS, 'correct_sentence')}, '.') as b from cases), cm as (" + _prf_sql("a", "b") + " from c), cf as (" + F1 + "), "
+       .replace("from m", "from cm") + WORDS.replace("c as", "w as") + ", tm as (" + _prf_sql("a", "b") + ", a, b from w), tf as (" + F1.replace("from m", "from tm") + "), "
+       + "bl as (select qid, round(case when len(a) > len(b) then p else p * exp(1 - len(b)::double / greatest(len(a), 1)) end, 6) as bleu1 from tm), "
+       + f"em as (select qid, length(coalesce(review_sentence, '')) > 0 and length(coalesce(correct_sentence, '')) > 0 as judged, ({ANSWER.replace('{0}', 'review_sentence')} = {ANSWER.replace('{0}', 'correct_sentence')})::double as em from cases) "
+       + "select qid, case when judged then cf.p end as gen_char_p, case when judged then cf.r end as gen_char_r, case when judged then cf.f1 end as gen_char_f1, case when judged then tf.p end as gen_token_p, case when judged then tf.r end as gen_token_r, case when judged then tf.f1 end as gen_token_f1, "
+       + "case when judged then em end as gen_exact_match, case when judged then bleu1 end as gen_bleu1 from em join cf using (qid) join tf using (qid) join bl using (qid)")
+def generation_records(spark: SparkSession, folder: str) -> DataFrame:
+    columns = metrics.generation_record("review_sentence", "correct_sentence")
+    return _cases(spark, folder).select("qid", *(F.round(columns[n], 6).alias(n) for n in SPOKEN))
+
+
 @query()
 def rouge_l(spark: SparkSession, folder: str) -> DataFrame:
     return _cases(spark, folder).select("qid", F.round(metrics.rouge_l("review_sentence", "correct_sentence"), 6).alias("rouge_l"))
@@ -465,6 +569,30 @@ def embedding_prf(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.select("qid", *(F.round(c, 5).alias(n) for n, c in revision.embedding_prf(F.col("side_p"), F.col("side_r")).items()))
 
 
+GROUPS = UNIT + ", g as (select doc_id // 20 as g, doc_id % 20 as k, e from v)"
+
+
+@query("with " + GROUPS + """, s as (select a.g, a.k as x, b.k as y, greatest(list_inner_product(a.e, b.e), 0) as sim from g a join g b on a.g = b.g and a.k < 10 and b.k >= 10),
+  p as (select g, avg(m) as p from (select g, x, max(sim) as m from s group by all) group by g), r as (select g, avg(m) as r from (select g, y, max(sim) as m from s group by all) group by g)
+  select g as qid, round(p, 5) as p, round(r, 5) as r, round(case when p + r > 0 then 2 * p * r / (p + r) else 0 end, 5) as f1 from p join r using (g)""")
+def vector_prf(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of 20 neighbouring vectors: ten as chunks of a prediction, ten as those of the reference."""
+    rows = table(spark, folder, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("qid"), (F.col("vec_id") % 20 < 10).alias("side"), dense.normalized(F.col("embedding")).alias("e"))
+    both = rows.groupBy("qid").agg(F.collect_list(F.when(F.col("side"), F.col("e"))).alias("a"), F.collect_list(F.when(~F.col("side"), F.col("e"))).alias("b"))
+    return both.select("qid", *(F.round(c, 5).alias(n) for n, c in revision.embedding_prf(F.col("a"), F.col("b")).items()))
+
+
+@query("with " + GROUPS + """, t as (select a.g, list_transform(range(1, len(a.e) + 1), lambda i: b.e[i] - a.e[i]) as p, list_transform(range(1, len(a.e) + 1), lambda i: c.e[i] - a.e[i]) as r from g a join g b on b.g = a.g and b.k = 1 join g c on c.g = a.g and c.k = 2 where a.k = 0),
+  n as (select g, sqrt(list_inner_product(p, p)) as np, sqrt(list_inner_product(r, r)) as nr, least(greatest(list_inner_product(p, r) / (sqrt(list_inner_product(p, p)) * sqrt(list_inner_product(r, r))), 0), 1) as alike from t),
+  m as (select g as qid, alike * least(1, nr / np) as p, alike * least(1, np / nr) as r from n) select qid, round(p, 5) as p, round(r, 5) as r, round(case when p + r > 0 then 2 * p * r / (p + r) else 0 end, 5) as f1 from m""")
+def vector_delta_prf(spark: SparkSession, folder: str) -> DataFrame:
+    """The first three of 20 neighbouring vectors as a sentence, its predicted and its right revision."""
+    rows = table(spark, folder, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("qid"), (F.col("vec_id") % 20).alias("k"), dense.normalized(F.col("embedding")).alias("e"))
+    three = rows.where("k < 3").groupBy("qid").agg(*(F.max(F.when(F.col("k") == k, F.col("e"))).alias(n) for k, n in enumerate("opr")))
+    three = three.where("o is not null and p is not null and r is not null")
+    return three.select("qid", *(F.round(c, 5).alias(f"v_{n}") for n, c in revision.delta_embedding_prf(F.col("o"), F.col("p"), F.col("r")).items())).toDF("qid", "p", "r", "f1")
+
+
 # --- evidence ------------------------------------------------------------------------------------------------------------
 def _evidence(spark: SparkSession, folder: str, k: int = 5) -> DataFrame:
     clauses, queries = corpus(spark, folder), asked(spark, folder)
@@ -479,7 +607,12 @@ def evidence_block(spark: SparkSession, folder: str) -> DataFrame:
     return _evidence(spark, folder).select("qid", evidence.block(F.col("hits")).alias("block"))
 
 
-@query()
+GROUPED = "case when len(regexp_extract_all(coalesce(clause, ''), '[0-9]+')) >= 2 then spec_id || ':' || regexp_extract_all(clause, '[0-9]+')[1] || '.' || regexp_extract_all(clause, '[0-9]+')[2] when len(regexp_extract_all(coalesce(clause, ''), '[0-9]+')) = 1 then spec_id || ':' || regexp_extract_all(clause, '[0-9]+')[1] else spec_id end"
+
+
+@query(f"""with {bm25_ctes(5)}, h as (select qid, rank, {HIT} as hit, count(*) over (partition by qid, {GROUPED}) as same from ranked join review_example using (doc_id)),
+  b as (select qid, string_agg(hit, chr(10) || chr(10) order by rank) as block, coalesce(string_agg('[' || rank || ']', ' ' order by rank) filter (same >= 2), '') as marks from h group by qid)
+  select qid, '问题：' || chr(10) || question || chr(10) || chr(10) || '证据：' || chr(10) || block || case when marks <> '' then chr(10) || chr(10) || '同组条文：' || marks else '' end || chr(10) || chr(10) || '请依据证据作答，逐字引用至少一处原文，101至300字。' as prompt from questions join b using (qid)""")
 def answer_prompts(spark: SparkSession, folder: str) -> DataFrame:
     return _evidence(spark, folder).select("qid", evidence.answer_prompt(F.col("question"), F.col("hits")).alias("prompt"))
 
@@ -500,12 +633,26 @@ def repaired_answers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # --- replies as JSON: made from the extraction table ---------------------------------------------------------------------
-@query()
+@query("select doc_key, loaded_at, least(len(list_distinct(list_filter(list_transform(coalesce(entities, []), lambda e: trim(e)), lambda e: e is not null and length(e) between 2 and 79))), 24)::bigint as entities, "
+       "least(len(list_filter(coalesce(relations, []), lambda r: trim(r.src) <> '' and trim(r.dst) <> '')), 16)::bigint as relations from corpus_graph")
 def graph_json_parse(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "corpus_graph").select("doc_key", "loaded_at", F.to_json(F.struct(F.col("entities"), F.transform("relations", lambda r: F.array(r["src"], r["dst"])).alias("relations"))).alias("reply"))
-    return rows.select("doc_key", "loaded_at", json_repair.reply_graph(F.concat(F.lit("```json\n"), "reply", F.lit("\n```"))).alias("g")).select("doc_key", "loaded_at", F.size("g.entities").alias("entities"), F.size("g.relations").alias("relations"))
+    return rows.select("doc_key", "loaded_at", json_repair.reply_graph(F.concat(F.lit("```json\n"), "reply", F.lit("\n```"))).alias("g")).select("doc_key", "loaded_at", F.size("g.entities").cast("bigint").alias("entities"), F.size("g.relations").cast("bigint").alias("relations"))
+
+
+def _listed(spark: SparkSession, folder: str, reply: Callable) -> DataFrame:
+    rows = table(spark, folder, "corpus_graph").select("doc_key", "loaded_at", F.coalesce("entities", F.array().cast("array<string>")).alias("e"), F.coalesce("relations", F.expr("array()")).alias("r"))
+    return rows.select("doc_key", "loaded_at", reply(rows).alias("reply"))
+
+
+ROW_LINES = "list_transform(string_split(trim(reply), chr(10)), lambda x: trim(regexp_replace(trim(x), '^(?:[-*•·]|[0-9]{1,3}[.)、])[ \\t]*', '')))"
 
 
+@query(f"with a as (select doc_key, loaded_at, coalesce(list_aggregate(list_transform(list_filter(entities, lambda e: e is not null), lambda e: '- ' || e), 'string_agg', chr(10)), '') as reply from corpus_graph) "
+       f"select doc_key, loaded_at, len(list_distinct(list_filter({ROW_LINES}, lambda x: length(x) between 2 and 59)))::bigint as lines from a")
+def reply_lines(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _listed(spark, folder, lambda _: F.array_join(F.transform(F.filter("e", lambda e: e.isNotNull()), lambda e: F.concat(F.lit("- "), e)), "\n"))
+    return rows.select("doc_key", "loaded_at", F.size(json_repair.reply_lines(F.col("reply"))).cast("bigint").alias("lines"))
 
 
 @query()

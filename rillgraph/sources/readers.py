@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillgraph.functions.text import normalize_space
 from rillgraph.sources.scratch import exists, written
@@ -24,14 +25,28 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Lines that are plain text, JSON strings or objects with ``text``; ids follow the files' order where they're missing."""
-    lines = spark.read.text(path).where(F.trim("value") != "").withColumn("at", F.monotonically_increasing_id())
+    """A JSON array, or lines of plain text, JSON strings or objects with ``text``; ids follow the files' order where they're missing.
+
+    Files named ``.json`` hold one array each, which one task reads.
+    """
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
+    if path.endswith(".json"):
+        lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<string>")).alias("at", "value")).withColumn("at", F.monotonically_increasing_id())
+        lines = lines.select("value", "at", F.lit(True).alias("element"))
+    else:
+        lines = spark.read.text(path).where(F.trim("value") != "").withColumn("at", F.monotonically_increasing_id()).withColumn("element", F.lit(False))
     as_object = F.from_json("value", "doc_id bigint, text string")
-    as_string = F.when(F.col("value").startswith('"'), F.get_json_object(F.concat(F.lit('{"t":'), "value", F.lit("}")), "$.t"))
+    as_string = F.when(F.col("value").startswith('"') & ~F.col("element"), F.get_json_object(F.concat(F.lit('{"t":'), "value", F.lit("}")), "$.t"))
     rows = lines.select("at", as_object["doc_id"].alias("given"), F.coalesce(as_object["text"], as_string, "value").alias("text"))
     return numbered(rows, "at").select(F.coalesce("given", "doc_id").alias("doc_id"), "text")
 
 
+def renamed(rows: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """Source columns under the names used here; ``fields`` gives the source column of a name, others stay."""
+    return rows.withColumnsRenamed({source: name for name, source in fields.items() if source in rows.columns and source != name})
+
+
 def numbered(rows: DataFrame, *order: Column | str, into: str = "doc_id") -> DataFrame:
     """Contiguous numbers from 0 in the order of some columns: sizes of sorted partitions, then places within them.
 
@@ -54,17 +69,81 @@ def passage_text(passage: Column, fields: tuple[str, ...] = PASSAGE_FIELDS) -> C
     return F.coalesce(*(F.nullif(passage[f], F.lit("")) for f in fields), F.lit(""))
 
 
-def flatten_passages(rows: DataFrame, passages: str, order: str) -> DataFrame:
-    """(doc_id, text): non-empty trimmed passages of all rows, numbered in order."""
-    flat = rows.select(F.col(order).alias("_row"), F.posexplode(passages).alias("_at", "text")).select("_row", "_at", F.trim("text").alias("text")).where("text <> ''")
-    return numbered(flat.withColumn("_order", F.struct("_row", "_at")), "_order").select("doc_id", "text")
+def flatten_passages(rows: DataFrame, passages: str, order: str, fields: tuple[str, ...] = PASSAGE_FIELDS) -> DataFrame:
+    """(doc_id, text, title, source): non-empty trimmed passages of all rows, numbered in order.
 
-
-def local_benchmark(spark: SparkSession, corpus: str, queries: str) -> tuple[DataFrame, DataFrame]:
-    """Corpus and questions from two files of JSON lines; empty questions are dropped."""
-    rows = read_json_lines(spark, corpus, CORPUS).withColumn("_at", F.monotonically_increasing_id())
+    Passages are texts or structs with one of ``fields``, in an array or in arrays within it.
+    """
+    kind = rows.schema[passages].dataType.elementType
+    flat = rows.select(F.col(order).alias("_row"), F.posexplode(passages).alias("_at", "_p"))
+    if isinstance(kind, T.ArrayType):
+        kind = kind.elementType
+        flat = flat.select("_row", "_at", F.posexplode("_p").alias("_in", "_p"))
+    else:
+        flat = flat.withColumn("_in", F.lit(0))
+    held = kind.names if isinstance(kind, T.StructType) else []
+    text = passage_text(F.col("_p"), tuple(f for f in fields if f in held)) if held else F.col("_p")
+    other = [(F.col("_p")[n] if n in held else F.lit(None)).cast("string").alias(n) for n in ("title", "source")]
+    flat = flat.select("_row", "_at", "_in", F.trim(text).alias("text"), *other).where("text <> ''")
+    return numbered(flat, "_row", "_at", "_in").select("doc_id", "text", "title", "source")
+
+
+def nested_benchmark(rows: DataFrame, order: str, passages: str = "passages", fields: tuple[str, ...] = PASSAGE_FIELDS) -> tuple[DataFrame, DataFrame]:
+    """Corpus and questions of rows (qid, question, answer, gold_texts, group) that bring their passages along.
+
+    Gold texts become the smallest id of an equal passage; a question without any is given
+    its row's first passage.  Empty questions are dropped.
+    """
+    corpus = flatten_passages(rows, passages, order, fields)
+    kind = rows.schema[passages].dataType.elementType
+    every = F.flatten(passages) if isinstance(kind, T.ArrayType) else F.col(passages)
+    kind = kind.elementType if isinstance(kind, T.ArrayType) else kind
+    plain = F.transform(every, lambda p: F.trim(passage_text(p, tuple(f for f in fields if f in kind.names)) if isinstance(kind, T.StructType) else p))
+    first = F.get(F.filter(plain, lambda t: t != ""), F.lit(0))
+    asked = rows.where(F.length("question") > 0).withColumn("_first", first)
+    found = resolve_gold(asked, corpus)
+    instead = resolve_gold(asked.select("qid", F.when(F.col("_first").isNotNull(), F.array("_first")).alias("gold_texts")), corpus).withColumnRenamed("gold", "_instead")
+    out = asked.select("qid", "question", "answer", "group").join(found, "qid").join(instead, "qid")
+    return corpus, out.select("qid", "question", "answer", F.when(F.size("gold") > 0, F.col("gold")).otherwise(F.col("_instead")).alias("gold"), "group")
+
+
+def local_benchmark(spark: SparkSession, corpus: str, queries: str, fields: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Corpus and questions from two files of JSON lines; empty questions are dropped, a missing file is an error that names it."""
+    for path in (corpus, queries):
+        if not exists(spark, path):
+            raise FileNotFoundError(f"{path}: prepare the benchmark first")
+    if fields:
+        read = lambda path, schema: renamed(spark.read.option("mode", "FAILFAST").json(path), fields)
+        rows, asked = (_shaped(read(p, s), s) for p, s in ((corpus, CORPUS), (queries, QUERIES)))
+    else:
+        rows, asked = read_json_lines(spark, corpus, CORPUS), read_json_lines(spark, queries, QUERIES)
+    rows = rows.withColumn("_at", F.monotonically_increasing_id())
     docs = numbered(rows.withColumnRenamed("doc_id", "given"), "_at").select(F.coalesce("given", "doc_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "source", "title")
-    return docs, read_json_lines(spark, queries, QUERIES).where(F.length("question") > 0)
+    return docs, asked.where(F.length("question") > 0)
+
+
+def _shaped(rows: DataFrame, schema: str) -> DataFrame:
+    """The columns of a schema, null where a table hasn't got them."""
+    return rows.select(*((F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in T._parse_datatype_string(schema).fields))
+
+
+def write_prepared(folder: str, corpus: DataFrame, queries: DataFrame, **facts: str) -> None:
+    """Corpus, questions and a manifest with their sizes, the version of the data and further facts."""
+    write_rows(corpus, f"{folder}/corpus")
+    write_rows(queries, f"{folder}/queries")
+    spark = corpus.sparkSession
+    corpus, queries = read_prepared(spark, folder)
+    sizes = corpus.agg(F.count("*").alias("documents")).join(queries.agg(F.count("*").alias("questions")))
+    version = fingerprint(corpus, "doc_id", "text").join(fingerprint(queries, "qid", "question").withColumnRenamed("version", "questions_version"))
+    write_report(sizes.join(version).select("*", *(F.lit(v).alias(k) for k, v in facts.items())), f"{folder}/manifest")
+
+
+def read_prepared(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """What :func:`write_prepared` has written."""
+    for part in ("corpus", "queries"):
+        if not exists(spark, f"{folder}/{part}"):
+            raise FileNotFoundError(f"{folder}/{part}: prepare the benchmark first")
+    return spark.read.parquet(f"{folder}/corpus"), spark.read.parquet(f"{folder}/queries")
 
 
 def write_rows(df: DataFrame, path: str, kind: str = "parquet", mode: str = "overwrite") -> None:
