@@ -116,13 +116,13 @@ class Bands:
         return [(u, np.maximum(0, np.minimum((1 - u) / self.threshold - 1, top - (1 - u)))) for u in ways]
 
     @staticmethod
-    def losses(text: np.ndarray, bits: np.ndarray, sizes: np.ndarray, lacks: list[np.ndarray]) -> list[np.ndarray]:
-        """Of each feature, -log of the chance that the other text has it, if it lacks this share of a text's features, the rarest first; equally rare ones share what is left."""
+    def losses(text: np.ndarray, bits: np.ndarray, sizes: np.ndarray, lacks: list[np.ndarray]) -> list[np.ndarray | None]:
+        """Of each feature, None for a text that lacks nothing, -log of the chance that the other text has it, if it lacks this share of a text's features, the rarest first; equally rare ones share what is left."""
         key = text * 64 + (63 - (bits.astype(np.int64) >> 2))
         held = np.bincount(key, minlength=len(sizes) * 64).reshape(len(sizes), 64)
         before = np.cumsum(held, axis=1) - held
-        gone = (np.clip((u[:, None] * sizes[:, None] - before) / np.maximum(held, 1), 0, 1) for u in lacks)
-        return [-np.log(np.maximum(1 - g, 1e-9)).ravel()[key] for g in gone]
+        gone = (np.clip((u[:, None] * sizes[:, None] - before) / np.maximum(held, 1), 0, 1) if u.any() else None for u in lacks)
+        return [g if g is None else -np.log(np.maximum(1 - g, 1e-9)).ravel()[key] for g in gone]
 
 
 def rarity(texts: DataFrame, rows: int) -> np.ndarray:
@@ -221,7 +221,8 @@ def signatures(texts: list[str], bands: Bands, above: np.ndarray | None = None,
             numbers.append(number)
             # both texts have a line's features and the other text adds none
             for k, loss in enumerate(lost):
-                same = np.exp(-np.bincount(slot, loss, cells)[keep] - (lacking[k][1] * sizes)[number] / q)
+                lost_here = 0 if loss is None else np.bincount(slot, loss, cells)[keep]
+                same = np.exp(-lost_here - (lacking[k][1] * sizes)[number] / q)
                 reached[k] += np.bincount(number, same, len(texts)) + 1e-3  # lest rounding keeps a text for ever
             if r + 1 >= directions or not telling:
                 live = live[reached[:, live].min(axis=0) < EXPECTED]
