@@ -43,7 +43,7 @@ SHINGLE, THRESHOLD = 3, 0.7
 EXPECTED = 7.5
 HOT, BLOCK, LEVELS = 2000, 2000, 4
 SLOT_BITS, EXTRA_BITS, MOST = 20, 3, 12
-BUCKET_BYTES, BATCH_CHARS, SALTS = 8_000_000, 2_000_000, 8
+BUCKET_BYTES, BATCH_CHARS, SALTS = 2_000_000, 2_000_000, 8
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -394,7 +394,7 @@ def _in_blocks(crowded: DataFrame, crowds: DataFrame, texts: DataFrame, threshol
 def candidates(texts: DataFrame, rows: int, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
     """(a, b), a < b: rids of classes that share a signature; a pair comes once for each bucket in which it does."""
     bands = Bands(threshold, rows, rarity(texts, rows))
-    buckets = min(60_000, max(24, rows * 700 // BUCKET_BYTES))
+    buckets = min(1_000_000, max(24, rows * 700 // BUCKET_BYTES))
     now = texts.select("rid", "content")
     out, before = None, None
     for level in range(LEVELS):
