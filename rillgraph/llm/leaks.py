@@ -113,6 +113,12 @@ def reach(item: str, text: str, budget: int) -> list[int]:
     return out
 
 
+def may_reach(item: str, text: str, length: int, budget: int) -> bool:
+    """Whether the first ``length`` characters of ``item`` can match a start of ``text``: one of ``budget + 1`` parts of them is unchanged there."""
+    size = length // (budget + 1)
+    return len(item) >= length and any(item[k * size : (k + 1) * size] in text for k in range(budget + 1))
+
+
 class Pieces:
     """The aligned pieces of a block of items, sorted by hash."""
 
@@ -164,8 +170,11 @@ class Pieces:
             if run < self.passage:
                 e, most = self.budget, self.passage - run
                 x, y, i, j = p - left, a - left, p + right, a + right  # the ends of the run in both
-                after = reach(item[i : i + most], text[j : j + most + e], e)
-                before = reach(item[max(0, x - most) : x][::-1], text[max(0, y - most - e) : y][::-1], e)
+                sides = (item[i : i + most], text[j : j + most + e]), (item[max(0, x - most) : x][::-1], text[max(0, y - most - e) : y][::-1])
+                # one side alone has half of what is missing, all of it where there is but one error
+                if not any(may_reach(*side, most if e < 2 else -(-most // 2), e) for side in sides):
+                    continue
+                after, before = (reach(*side, e) for side in sides)
                 distance = min((x + y for x in range(e + 1) for y in range(e + 1 - x) if before[x] + after[y] >= most), default=e + 1)
                 if distance > e:
                     continue
