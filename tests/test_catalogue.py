@@ -8,9 +8,6 @@ import pytest
 import __spark_entry__
 from rillgraph.plans import catalogue
 
-SLOW = {"subgraph_exact_topk", "metrics_by_method"}
-
-
 def plain(v):
     if isinstance(v, float):
         return None if math.isnan(v) else round(v, 5)
@@ -25,7 +22,7 @@ def duck(tables):
     return c
 
 
-@pytest.mark.parametrize("name", [n for n in catalogue.SQL if n not in SLOW])
+@pytest.mark.parametrize("name", list(catalogue.SQL))
 def test_same_rows(spark, duck, tables, name):
     df = catalogue.QUERIES[name](spark, tables)
     found = duck.execute(catalogue.SQL[name])
@@ -35,7 +32,7 @@ def test_same_rows(spark, duck, tables, name):
     assert sorted((tuple(plain(r[n]) for n in names) for r in df.collect()), key=repr) == want
 
 
-@pytest.mark.parametrize("name", [n for n in catalogue.QUERIES if n not in catalogue.SQL and n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in catalogue.QUERIES if n not in catalogue.SQL])
 def test_runs(spark, tables, name):
     assert catalogue.QUERIES[name](spark, tables).count() > 0
 

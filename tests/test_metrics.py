@@ -101,3 +101,51 @@ def test_review_rows(spark):
     got = {r.qid: r for r in score_rows(spark.createDataFrame(rows, "qid string, review_sentence string, is_error boolean, correct_sentence string, gold_answer string, prediction string")).collect()}
     assert got["a"].edit_f1 == 1 and got["a"].reference_fragments == ["丁"] and got["a"].revision_char_f1 == 1 and got["a"].answer_char_f1 == 1
     assert got["b"].edit_f1 == 1 and got["b"].kept_as_it_is and got["c"].edit_f1 == 0 and not got["d"].parsed
+
+
+def row(df, columns):
+    return df.select(*(c.alias(n) for n, c in columns.items())).first().asDict()
+
+
+def test_records(spark):
+    df = spark.createDataFrame([([1, 0, 2], [2], ["x", None], ["x"])], "r array<bigint>, g array<bigint>, rs array<string>, gs array<string>")
+    got = row(df, metrics.retrieval_record("r", "g", 3))
+    assert got == pytest.approx({"acc_3": 1, "coverage_3": 1, "precision_3": 1 / 3, "mrr_3": 1 / 3, "ndcg_3": 0.5, "map_3": 1 / 3, "ret_avg_3": (1 + 1 / 3 + 0.5) / 3})
+    df = df.withColumn("r", F.array(*(F.lit(i).cast("bigint") for i in (1, 2, 3))))
+    got = row(df, metrics.review_metrics("r", "g", "rs", "gs", 3))
+    assert got == pytest.approx({"acc_3": 1, "coverage_3": 1, "spec_acc_3": 1, "mrr_3": 0.5, "ndcg_3": 1 / math.log2(3)})
+    twice = spark.createDataFrame([([1, 2, 2, 5], [2, 5])], "r array<bigint>, g array<bigint>")
+    got = row(twice, metrics.coverage_metrics("r", "g", 4))
+    assert got["acc_4"] == got["coverage_4"] == 1 and got["mrr_4"] == 0.5
+    nothing = spark.createDataFrame([(None, None)], "rs array<string>, gs array<string>")
+    assert nothing.select(metrics.spec_accuracy("rs", "gs", 5)).first()[0] == 0
+
+
+def test_generation_records(spark):
+    df = spark.createDataFrame([("same words", "same words"), ("", "x"), ("x", None)], "p string, a string")
+    rows = df.select(*(c.alias(n) for n, c in metrics.generation_record("p", "a").items())).collect()
+    assert set(rows[0]) == {1.0} and set(rows[1]) == set(rows[2]) == {None}
+    assert df.select(metrics.generation_average(F.lit(0.5), F.lit(0.5), F.lit(1.0))).first()[0] == pytest.approx(2 / 3)
+
+
+def test_summary_of_every_number(spark):
+    df = spark.createDataFrame([("x", 0.25, True, "t"), ("x", 0.75, False, "t"), (None, None, True, "t")], "g string, a double, b boolean, t string")
+    got = {r.g: r.asDict() for r in metrics.summary(df, ["g"], {"a": "alpha"}).collect()}
+    assert got["x"] == {"g": "x", "num_queries": 2, "alpha": 50, "b": 50} and got[None]["b"] == 100
+
+
+def test_delta_of_vectors(spark):
+    v = spark.createDataFrame([([0.0, 0.0], [0.0, 1.0], [0.0, 2.0], [1.0, 0.0])], "o array<double>, p array<double>, r array<double>, s array<double>")
+    of = lambda a, b, *more: tuple(v.select(*revision.delta_embedding_prf(F.col("o"), F.col(a), F.col(b), *more).values()).first())
+    assert of("p", "p") == pytest.approx((1, 1, 1)) and of("p", "r") == pytest.approx((1, 0.5, 2 / 3)) and of("r", "p") == pytest.approx((0.5, 1, 2 / 3))
+    assert of("p", "s") == (0, 0, 0) and of("o", "o") == (1, 1, 1) and of("o", "p") == (0, 0, 0)
+    assert of("o", "p", F.lit(False), F.lit(False)) == (0, 0, 0) and of("p", "r", F.lit(True), F.lit(True)) == (1, 1, 1)
+
+
+def test_a_refusal_is_dropped_from_a_repaired_answer(spark):
+    text = "高强螺栓储存温度不应少于五度。"
+    df = spark.createDataFrame([("信息不足，无法回答。" + "丙" * 100, [text]), ("", [text])], "a string, t array<string>")
+    fixed = df.select(evidence.repaired(F.col("a"), F.lit("螺栓温度"), F.col("t")).alias("r"), "t")
+    got = fixed.select("r", evidence.validity(F.col("r"), F.col("t")).alias("v")).collect()
+    assert [r.v for r in got] == ["ok", "ok"] and "丙" not in got[0].r and got[0].r == got[1].r
+    assert df.select(evidence.repaired(F.lit(""), F.lit(""), F.col("t"), notes=())).first()[0].endswith("”。")

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from rillgraph.operators import bm25, dense, graph, models, semantic, subgraph
+from rillgraph.operators import answers, bm25, dense, graph, joins, models, semantic, subgraph
 from rillgraph.plans import pipeline
 
 DOCS = [(0, "Concrete must be cured for fourteen days."), (1, "Rebar spacing follows drawings."), (2, "Formwork stays until strength is reached."), (3, None)]
@@ -152,6 +152,8 @@ def test_pipeline(spark, tables):
     config = pipeline.Config(methods=("bm25",))
     report = pipeline.evaluate(pipeline.infer(corpus, queries, read("corpus_graph"), None, config), config).collect()
     assert report[0].num_queries == 5 and all(0 <= r.ndcg_10 <= 100 for r in report)
+    dense_report = pipeline.evaluate(pipeline.infer(corpus, queries, None, None, pipeline.Config(methods=("dense",))))
+    assert dense_report.first().num_with_prediction == 0 and "ret_avg_5" in dense_report.columns
     with pytest.raises(ValueError):
         pipeline.rank("other", corpus, queries, read("corpus_graph"), None)
 
@@ -171,3 +173,62 @@ def test_replies_are_retried_and_failures_are_columns(spark):
     rows = {r.prompt: r for r in models.replies(df, "prompt", Moody, accept=lambda t: t == "good").collect()}
     assert rows["ask"].reply == "good" and rows["ask"].attempts == 2 and rows["ask"].error is None
     assert rows["fail"].reply is None and "TimeoutError" in rows["fail"].error
+
+
+CLAUSE = "高强螺栓储存温度不应少于五度，开封后十二小时内用完，每批留样备查。"
+
+
+def test_answers_are_checked_retried_and_mended(spark):
+    class Scripted:
+        """Answers by what the question asks for; refuses the first time."""
+
+        def __init__(self):
+            self.asked = {}
+
+        def call_text(self, system, user):
+            n = self.asked[user] = self.asked.get(user, 0) + 1
+            if "fail" in user:
+                raise TimeoutError("slow")
+            if "good" in user:
+                return "<think>…</think>依据“高强螺栓储存温度不应少于五度”" + "甲" * 90
+            return "修改建议：无错误。" if "verdict" in user and n else "draft"
+
+    hit = "hits array<struct<rank:int,doc_id:bigint,spec_id:string,spec_name:string,clause:string,text:string,scenario_keywords:array<string>>>"
+    found = [(1, 0, "S", None, "1.2", CLAUSE, None)]
+    rows = spark.createDataFrame([("a", "good", found), ("b", "other", found), ("c", "fail", found), ("d", "fail", None), ("e", None, found)], f"qid string, question string, {hit}")
+    got = {r.qid: r for r in answers.answers(rows, Scripted, attempts=2).collect()}
+    assert got["a"].origin == "reply" and got["a"].attempts == 1 and got["a"].prediction.startswith("依据") and got["a"].error is None
+    assert got["b"].origin == "repaired" and "draft" in got["b"].prediction and got["b"].attempts == 2
+    assert got["c"].origin == "evidence" and CLAUSE[:10] in got["c"].prediction
+    assert got["e"].origin == "repaired" and len(got) == 5
+    assert got["d"].origin is not None or "TimeoutError" in got["d"].error
+    cases = spark.createDataFrame([("a", "ctx", "verdict", found), ("b", None, "other", None)], f"qid string, scenario_context string, review_sentence string, {hit}")
+    got = {r.qid: r for r in answers.reviews(cases, Scripted, attempts=2).collect()}
+    assert got["a"].has_error is False and got["a"].error is None and got["b"].has_error is None and got["b"].error == "no verdict"
+
+
+def test_semantic_method(spark):
+    corpus = spark.createDataFrame([(0, "Weld Throat near Shear Stud."), (1, "Formwork props stay."), (2, None)], "doc_id bigint, text string")
+    queries = spark.createDataFrame([("q", "Shear Stud"), ("none", "")], "qid string, question string")
+    cache = spark.createDataFrame([("Shear Stud", ["shear stud"], [("shear stud", "weld throat")])], "question string, entities array<string>, relations array<struct<src:string,dst:string>>")
+    for given in (None, cache):
+        ranked = {}
+        for r in pipeline.rank("semantic", corpus, queries, None, given, pipeline.Config(top_k=3, least=0.6)).orderBy("rank").collect():
+            ranked.setdefault(r.qid, []).append(r.doc_id)
+        assert ranked["q"][0] == 0 and sorted(ranked["q"]) == [0, 1, 2] and ranked["none"] == [0, 1, 2]
+
+
+def test_spread_joins_lose_and_repeat_nothing(spark):
+    many = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 99), (3, 100)], "k int, i int").withColumn("rows", F.when(F.col("k") == 1, 120_000).otherwise(1))
+    few = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string").withColumn("rows", F.when(F.col("k") == 1, 120_000).otherwise(1))
+    want = sorted([(1, i, v) for i in range(50) for v in "ab"] + [(2, 99, "c")])
+    assert sorted((r.k, r.i, r.v) for r in joins.spread(many, few, "k", "i", "rows").collect()) == want
+    assert sorted((r.k, r.i, r.v) for r in joins.spread(many.drop("rows"), few.drop("rows"), "k", "i").collect()) == want
+
+
+def test_evaluation_of_answers(spark):
+    rows = [("m", "g", [1], [1], "甲乙", "甲乙"), ("m", None, [1], [2], None, "甲"), ("m", "g", [1], [2], "甲", "")]
+    df = spark.createDataFrame(rows, "method string, hop_group string, topk array<bigint>, gold array<bigint>, prediction string, answer string")
+    got = {r.group_value: r for r in pipeline.evaluate(df).collect()}
+    assert got[None].num_queries == 3 and got[None].num_with_prediction == 2 and got[None].gen_char_f1 == 100 and got[None].acc_5 == pytest.approx(100 / 3)
+    assert got["None"].num_queries == 1 and got["g"].num_queries == 2

@@ -1,8 +1,10 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from rillgraph.sources import readers
+from rillgraph import cli
+from rillgraph.sources import readers, scratch
 from rillgraph.streaming.incremental import extend_cache
 
 
@@ -60,3 +62,75 @@ def test_arriving_documents(spark, tmp_path):
     run(["a", "b", "a"], "one")
     run(["b", "c"], "two")
     assert sorted(r.key for r in spark.read.parquet(cache).collect()) == ["a", "b", "c"]
+
+
+def test_corpus_array_and_missing_files(spark, tmp_path):
+    (tmp_path / "c.json").write_text(json.dumps(["plain", {"text": "an object"}, {"doc_id": 9, "text": "with id"}, '"quoted"']))
+    assert {r.doc_id: r.text for r in readers.read_corpus(spark, str(tmp_path / "c.json")).collect()} == {0: "plain", 1: "an object", 9: "with id", 3: '"quoted"'}
+    for call in (lambda: readers.read_corpus(spark, str(tmp_path / "no")), lambda: readers.local_benchmark(spark, str(tmp_path / "no"), str(tmp_path / "c.json")), lambda: readers.read_prepared(spark, str(tmp_path / "no"))):
+        with pytest.raises(FileNotFoundError):
+            call()
+
+
+def test_passages_of_structs_and_nested_ones(spark):
+    df = spark.createDataFrame([(0, [[("", " a ", "T")], [("b", None, None)]]), (1, [])], "row int, p array<array<struct<context:string,text:string,title:string>>>")
+    assert [(r.doc_id, r.text, r.title, r.source) for r in readers.flatten_passages(df, "p", "row").orderBy("doc_id").collect()] == [(0, "a", "T", None), (1, "b", None, None)]
+
+
+def test_benchmark_of_rows_with_passages(spark):
+    rows = [("a", "x?", "y", ["p1", "p2"], ["p2"], "g"), ("b", "z?", None, ["", " p3 "], ["unknown"], None), ("c", "", None, ["p4"], None, None), ("d", "w?", None, None, None, None)]
+    df = spark.createDataFrame(rows, "qid string, question string, answer string, passages array<string>, gold_texts array<string>, `group` string")
+    corpus, queries = readers.nested_benchmark(df, "qid")
+    assert {r.doc_id: r.text for r in corpus.collect()} == {0: "p1", 1: "p2", 2: "p3", 3: "p4"}
+    assert {r.qid: r.gold for r in queries.collect()} == {"a": [1], "b": [2], "d": []}
+
+
+def test_renamed_fields(spark, tmp_path):
+    assert readers.renamed(spark.createDataFrame([(1, 2)], "id int, body int"), {"doc_id": "id", "text": "body", "title": "none"}).columns == ["doc_id", "text"]
+    (tmp_path / "c").write_text('{"id": 4, "body": "x"}\n')
+    (tmp_path / "q").write_text('{"qid": "a", "ask": "x?", "gold": [4]}\n')
+    docs, queries = readers.local_benchmark(spark, str(tmp_path / "c"), str(tmp_path / "q"), {"doc_id": "id", "text": "body", "question": "ask"})
+    assert [(r.doc_id, r.text) for r in docs.collect()] == [(4, "x")] and [(r.question, r.gold) for r in queries.collect()] == [("x?", [4])]
+
+
+def test_samples_are_the_smallest_hashes(spark):
+    import hashlib
+
+    names = [f"q{i}" for i in range(3000)] + [None]
+    df = spark.createDataFrame([(n,) for n in names], "qid string")
+    want = sorted(names, key=lambda n: hashlib.md5(f"5:{n or ''}".encode()).hexdigest())
+    for size in (0, 1, 700, 3001, 4000):
+        assert sorted(map(str, want[:size])) == sorted(str(r.qid) for r in readers.sample(df, size, 5).collect())
+
+
+def test_numbers_of_equal_keys_and_of_nothing(spark):
+    df = spark.createDataFrame([("b", 1), ("a", 1), ("a", 2)], "k string, i int")
+    assert [(r.n, r.k, r.i) for r in readers.numbered(df, "k", F.col("i").desc(), into="n").orderBy("n").collect()] == [(0, "a", 2), (1, "a", 1), (2, "b", 1)]
+    assert readers.numbered(df.limit(0), "k").count() == 0
+
+
+def test_scratch_folder(spark, tmp_path):
+    class Cluster:
+        class conf:  # noqa: N801
+            @staticmethod
+            def get(key, default=None):
+                return "spark://host" if key == "spark.master" else default
+
+    with pytest.raises(ValueError):
+        scratch.shared_folder(Cluster)
+    df = scratch.written(spark.range(5).withColumn("g", (F.col("id") % 2).cast("int")), "t", "g")
+    assert df.where("g = 1").count() == 2 and scratch.exists(spark, df.inputFiles()[0])
+    held = df.inputFiles()[0]
+    assert scratch.clean(spark) > 0 and not scratch.exists(spark, held) and scratch.clean(spark) == 0
+
+
+def test_command_line(spark, tmp_path):
+    (tmp_path / "c").write_text("".join(json.dumps({"text": t}) + "\n" for t in ("Concrete is cured for days.", "Rebar follows drawings.")))
+    (tmp_path / "q").write_text('{"qid": "a", "question": "concrete days", "gold": [0], "group": "g"}\n{"qid": "b", "question": "rebar", "gold": [1]}\n')
+    cli.run(spark, ["prepare", str(tmp_path / "c"), str(tmp_path / "q"), str(tmp_path / "out"), "--limit", "1"])
+    cli.run(spark, ["infer", str(tmp_path / "out"), "--methods", "bm25", "subgraph", "--top-k", "2"])
+    cli.run(spark, ["evaluate", str(tmp_path / "out")])
+    report = spark.read.json(str(tmp_path / "out/report")).collect()
+    assert {(r.method, r.acc_5) for r in report} == {("bm25", 100), ("subgraph", 100)} and {r.num_queries for r in report} == {1}
+    manifest = spark.read.json(str(tmp_path / "out/manifest")).first()
+    assert manifest.documents == 2 and manifest.questions == 1 and len(manifest.version) == 40

@@ -64,3 +64,24 @@ def test_json_replies(spark):
     assert json_repair.parse_object('[{"a": 1}]') == '{"items":[{"a":1}],"repaired":true}'
     assert json_repair.parse_object("no") is None and json_repair.parse_object(None) is None
     assert one(spark, json_repair.reply_object("c0"), '{"a": ["x" "y"]}') == '{"a":["x","y"]}'
+
+
+def test_listed_replies(spark):
+    lines = "```\n- a b\n2. 混凝土\n* a b\nx\n" + "y" * 60 + "\n```"
+    assert one(spark, json_repair.reply_lines(F.col("c0")), lines) == ["a b", "混凝土"]
+    assert [tuple(p) for p in one(spark, json_repair.reply_pairs(F.col("c0")), "- a | b\nc|\nd | e | f\nplain")] == [("a", "b"), ("d", "e")]
+    numbered = '{"entities": ["0a", "1b", "2c", "M3"]}'
+    assert one(spark, json_repair.reply_graph(F.col("c0")), numbered).entities == ["0a", "1b", "2c", "M3"]
+    assert one(spark, json_repair.reply_graph(F.col("c0"), text=F.lit("Shear stud")), "no json").entities == ["Shear", "stud", "shear stud"]
+    assert one(spark, json_repair.reply_graph(F.col("c0"), text=F.lit("混凝土")), '{"entities": []}').entities == ["混凝土"]
+    assert one(spark, json_repair.reply_object("c0"), '{"b": 1.50, "a": "x\\n"}') == '{"b":1.50,"a":"x\\n"}' or one(spark, json_repair.reply_object("c0"), '{"b": 1.50, "a": "x\\n"}') == '{"b":1.5,"a":"x\\n"}'
+
+
+def test_many_terms_of_a_long_text(spark):
+    text = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(17000))
+    found = one(spark, X.extract_terms("c0", 64), text)
+    assert len(found) == len({t.lower() for t in found}) == 64 and found[:2] == ["wordaaa", "wordbaa"]
+
+
+def test_phrases_begin_words(spark):
+    assert one(spark, X.proper_phrases("c0"), "钢Beam Éclat The Shear Stud of Steel. aBolt") == ["The Shear Stud of Steel."]
