@@ -527,8 +527,8 @@ def exact_match(spark: SparkSession, folder: str) -> DataFrame:
 SPOKEN = ("gen_char_p", "gen_char_r", "gen_char_f1", "gen_token_p", "gen_token_r", "gen_token_f1", "gen_exact_match", "gen_bleu1")
 
 
-@query("with " + CASES + f", c as (select qid, regexp_extract_all({sql(NORMAL_CHARS, 'review_sentence')}, '.') as a, regexp_extract_all({sql(NORMAL_CHARS, 'correct_sentence')}, '.') as b from cases), cm as (" + _prf_sql("a", "b") + " from c), cf as (" + F1 + "), "
-       .replace("from m", "from cm") + WORDS.replace("c as", "w as") + ", tm as (" + _prf_sql("a", "b") + ", a, b from w), tf as (" + F1.replace("from m", "from tm") + "), "
+@query("with " + CASES + f", c as (select qid, regexp_extract_all({sql(NORMAL_CHARS, 'review_sentence')}, '.') as a, regexp_extract_all({sql(NORMAL_CHARS, 'correct_sentence')}, '.') as b from cases), cm as (" + _prf_sql("a", "b") + " from c), cf as (" + F1.replace("from m", "from cm") + "), "
+       + WORDS.replace("c as", "w as") + ", tm as (" + _prf_sql("a", "b") + ", a, b from w), tf as (" + F1.replace("from m", "from tm") + "), "
        + "bl as (select qid, round(case when len(a) > len(b) then p else p * exp(1 - len(b)::double / greatest(len(a), 1)) end, 6) as bleu1 from tm), "
        + f"em as (select qid, length(coalesce(review_sentence, '')) > 0 and length(coalesce(correct_sentence, '')) > 0 as judged, ({ANSWER.replace('{0}', 'review_sentence')} = {ANSWER.replace('{0}', 'correct_sentence')})::double as em from cases) "
        + "select qid, case when judged then cf.p end as gen_char_p, case when judged then cf.r end as gen_char_r, case when judged then cf.f1 end as gen_char_f1, case when judged then tf.p end as gen_token_p, case when judged then tf.r end as gen_token_r, case when judged then tf.f1 end as gen_token_f1, "
