@@ -16,12 +16,13 @@ def top(scores: DataFrame, k: int, by: str = "qid") -> DataFrame:
 
 
 def with_unmatched(scores: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """Adds the documents of score 0 that can reach the best ``k``: they rank by doc_id, so the ``k`` largest suffice."""
+    """The best ``k`` of each query, and the documents of score 0 that can be among them: they rank by doc_id, so the ``k`` largest suffice."""
+    best = top(scores.select("qid", "doc_id", "score"), k).drop("rank")
     last = [r.doc_id for r in docs.select("doc_id").orderBy(F.col("doc_id").desc()).limit(k).collect()]
     if not last:
-        return scores
+        return best
     filled = queries.select("qid", F.explode(F.array(*(F.lit(i) for i in last))).alias("doc_id"), F.lit(0.0).alias("score"))
-    return scores.select("qid", "doc_id", "score").unionByName(filled).groupBy("qid", "doc_id").agg(F.max("score").alias("score"))
+    return best.unionByName(filled).groupBy("qid", "doc_id").agg(F.max("score").alias("score"))
 
 
 def in_order(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
