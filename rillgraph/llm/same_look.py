@@ -49,6 +49,16 @@ def lookalike_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return a.join(b, ["f1", "f2", "salt"]).where("doc_id_a < doc_id_b and ra <> rb").select("doc_id_a", "doc_id_b")
 
 
+def lookalike_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LONG_ENOUGH) -> DataFrame:
+    """(doc_id, class_id, spellings) of the long-enough texts: the smallest doc_id that looks the same, and in how many spellings the class is stored."""
+    keys = written(look_keys(docs, id_col, text_col, least), "look-keys")
+    # spellings are made distinct before they are counted, so that a large class is spread by them
+    spelt = keys.groupBy("f1", "f2", "r").agg(F.min("doc_id").alias("doc_id"))
+    classes = spelt.groupBy("f1", "f2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("spellings"))
+    salted = classes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    return keys.withColumn("salt", F.pmod("doc_id", F.lit(SALTS))).join(salted, ["f1", "f2", "salt"]).select("doc_id", "class_id", "spellings")
+
+
 def lookalike_cases(cases: DataFrame, key: str = "qid", left: str = "review_sentence", right: str = "correct_sentence") -> DataFrame:
     """The distinct keys of rows whose two sentences look the same but aren't stored identically."""
     both = cases.where(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(left) != F.col(right)))

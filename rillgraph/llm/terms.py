@@ -138,8 +138,8 @@ def bitmaps(df: DataFrame, terms: Callable) -> DataFrame:
 def frequencies(parts: DataFrame) -> DataFrame:
     """(term, occurrences, records): bitmaps merged by union, record frequency read from cardinality.
 
-    One block of one term has as many parts as partitions hold its identifiers, a few
-    where identifiers are clustered; parts of at most 8 KiB each are merged pairwise first.
+    One block of one term has at most 65,536 identifiers, each in one part but for
+    repeated records: its parts come to some 256 KiB however many partitions they are from.
     """
     lone = F.count("*") == 1
     merged = parts.groupBy("term", "block").agg(

@@ -36,6 +36,26 @@ def test_same_look_against_all_pairs(spark, tables):
     assert len(got) == len(set(got)) and set(got) == want and want
 
 
+def test_same_look_classes(spark, tables):
+    df = review(spark, tables)
+    by = collections.defaultdict(list)
+    for i, t, _ in texts_of(df):
+        by[forms.consistent(t)].append((i, t))
+    want = {i: (min(g)[0], len({t for _, t in g})) for g in by.values() for i, _ in g}
+    assert {r.doc_id: (r.class_id, r.spellings) for r in same_look.lookalike_classes(df).collect()} == want
+    assert same_look.lookalike_classes(df.limit(0)).count() == 0
+
+
+def test_cut_texts_by_sql(spark, tables):
+    import duckdb
+
+    from rillgraph.llm import catalogue
+
+    c = duckdb.connect()
+    c.execute(f"create view review_example as select * from '{tables}/review_example.parquet'")
+    assert sorted(map(tuple, catalogue.p5_found(spark, tables).collect())) == sorted(c.execute(catalogue.SQL["p5_found"]).fetchall())
+
+
 def test_same_look_edges(spark):
     df = frame(spark, [(0, BASE), (1, BASE), (2, BASE.replace("，", ",")), (3, None), (4, ""), (None, BASE), (5, "短，"), (6, "短,")])
     assert {(r.doc_id_a, r.doc_id_b) for r in same_look.lookalike_pairs(df).collect()} == {(0, 2), (1, 2)}
