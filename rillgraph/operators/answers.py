@@ -41,7 +41,7 @@ def answers(rows: DataFrame, factory: Callable[[], models.LanguageModel], system
     and ``error`` has the reason.
     """
     texts = F.transform(F.coalesce("hits", F.expr("array()")), lambda h: h["text"])
-    asked = rows.select("qid", F.coalesce("question", F.lit("")).alias("question"), texts.alias("texts"), evidence.answer_prompt(F.coalesce("question", F.lit("")), F.col("hits")).alias("prompt"))
+    asked = rows.select("qid", F.coalesce("question", F.lit("")).alias("question"), texts.alias("texts"), evidence.prompt_for(F.coalesce("question", F.lit("")), F.col("hits")).alias("prompt"))
     found = retried(asked, "prompt", factory, lambda reply: evidence.validity(reply, F.col("texts")), system, attempts)
     found = found.withColumn("mended", evidence.repaired(F.coalesce("reply", F.lit("")), F.col("question"), F.col("texts"))).withColumn("bare", evidence.repaired(F.lit(""), F.col("question"), F.col("texts")))
     valid = lambda c: evidence.validity(F.col(c), F.col("texts")) == "ok"

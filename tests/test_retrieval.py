@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from rillgraph.operators import answers, bm25, dense, graph, joins, models, semantic, subgraph
+from rillgraph.operators import answers, bm25, dense, evidence, extraction, graph, joins, models, semantic, subgraph
 from rillgraph.plans import pipeline
 
 DOCS = [(0, "Concrete must be cured for fourteen days."), (1, "Rebar spacing follows drawings."), (2, "Formwork stays until strength is reached."), (3, None)]
@@ -232,3 +232,38 @@ def test_evaluation_of_answers(spark):
     got = {r.group_value: r for r in pipeline.evaluate(df).collect()}
     assert got[None].num_queries == 3 and got[None].num_with_prediction == 2 and got[None].gen_char_f1 == 100 and got[None].acc_5 == pytest.approx(100 / 3)
     assert got["None"].num_queries == 1 and got["g"].num_queries == 2
+
+
+def test_caches_of_extractions_grow_by_what_they_lack(spark, tmp_path):
+    class Lister:
+        def call_text(self, system, user):
+            if "Broken" in user:
+                raise ConnectionError("gone")
+            if user.startswith(extraction.TEXT_PROMPT[:4]):
+                return '```json\n{"entities": ["Shear Stud" "Weld Throat"], "relations": [["Shear Stud", "Weld Throat"]]}\n```'
+            return "- Shear Stud\n- Weld Throat" if "|" not in user else "Shear Stud | Weld Throat"
+
+    corpus = spark.createDataFrame([(0, "Shear  Stud"), (1, "Shear Stud"), (2, "Broken Beam"), (3, None)], "doc_id bigint, text string")
+    path = str(tmp_path / "texts")
+    got = {tuple(r.entities): r for r in extraction.extend_text_cache(corpus, path, Lister, attempts=1).collect()}
+    assert got["Shear Stud", "Weld Throat"].llm_ok and [tuple(p) for p in got["Shear Stud", "Weld Throat"].relations] == [("Shear Stud", "Weld Throat")] and len(got) == 2
+    failed = got["Broken Beam", "broken", "beam"]
+    assert not failed.llm_ok and "ConnectionError" in failed.error and failed.relations == []
+    more = corpus.union(spark.createDataFrame([(4, "Other")], "doc_id bigint, text string"))
+    assert extraction.extend_text_cache(more, path, Lister).count() == 3
+    asked = spark.createDataFrame([("What holds?",), ("What holds?",), ("Broken?",), ("",), (None,)], "question string")
+    path = str(tmp_path / "questions")
+    for _ in range(2):
+        got = {r.question: r for r in extraction.extend_question_cache(asked, path, Lister, attempts=1).collect()}
+        assert got["What holds?"].entities == ["Shear Stud", "Weld Throat"] and [tuple(p) for p in got["What holds?"].relations] == [("Shear Stud", "Weld Throat")]
+        assert got["Broken?"].entities == ["Broken"] and not got["Broken?"].llm_ok and len(got) == 2
+    # the caches are what ranking takes
+    ranked = pipeline.rank("subgraph", corpus, asked.where("question = 'What holds?'").distinct().withColumn("qid", F.lit("q")), spark.read.parquet(str(tmp_path / "texts")), spark.read.parquet(path), pipeline.Config(top_k=2))
+    assert {r.doc_id for r in ranked.collect()} == {0, 1}
+
+
+def test_prompts_with_and_without_evidence(spark):
+    df = spark.createDataFrame([("q", [(1, 0, "S", None, "1.2", CLAUSE, None)]), ("q", []), ("q", None)], f"q string, hits {evidence.EVIDENCE}")
+    got = [r[0] for r in df.select(evidence.prompt_for(F.col("q"), F.col("hits"))).collect()]
+    assert CLAUSE in got[0] and got[1] == got[2] and "证据" not in got[1]
+    assert df.select(evidence.prompt_for(F.col("q"), F.col("hits"), False)).first()[0] == got[1]
