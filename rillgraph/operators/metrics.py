@@ -126,11 +126,16 @@ def overlap(a: Column, b: Column) -> Column:
 
 
 def prf(a: Column, b: Column) -> dict[str, Column]:
-    """Precision, recall and F1 of the list ``a`` against ``b``."""
-    both = overlap(a, b)
-    p = F.when((F.size(a) > 0) & (F.size(b) > 0), both / F.size(a)).otherwise(0.0)
-    r = F.when((F.size(a) > 0) & (F.size(b) > 0), both / F.size(b)).otherwise(0.0)
-    return {"p": p, "r": r, "f1": F.when(p + r > 0, 2 * p * r / F.when(p + r > 0, p + r)).otherwise(0.0)}
+    """Precision, recall and F1 of the list ``a`` against ``b``; the lists and their overlap are worked out once."""
+
+    def measured(s: Column) -> Column:
+        n, m = F.size(s["a"]), F.size(s["b"])
+        some = (n > 0) & (m > 0)
+        part = lambda x, of: F.when(some, x / of).otherwise(0.0)
+        return X.let(F.when(some, overlap(s["a"], s["b"])).otherwise(0), lambda both: F.struct(part(both, n).alias("p"), part(both, m).alias("r"), part(2 * both, n + m).alias("f1")))
+
+    found = X.let(F.struct(a.alias("a"), b.alias("b")), measured)
+    return {k: found[k] for k in ("p", "r", "f1")}
 
 
 def char_prf(prediction: str, reference: str) -> dict[str, Column]:
