@@ -457,9 +457,9 @@ def _similar(a, b, threshold):  # noqa: ANN001, ANN202
 def class_pairs(texts: DataFrame, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
     """(a, b): rids of classes with different contents that are at least as similar as the threshold."""
     rows = texts.count()
-    found = _with_sketches(candidates(texts, rows, threshold, hot), texts)
-    likely = found.where(_likely(threshold)).select("a", "b").distinct()
-    likely = written(likely, "likely")
+    # a pair comes once for each bucket that it shares: distinct pairs are fewer before sketches are added to them
+    found = _with_sketches(candidates(texts, rows, threshold, hot).distinct(), texts)
+    likely = written(found.where(_likely(threshold)).select("a", "b"), "likely")
     texts_of = texts.select("rid", "content")
     both = likely.join(texts_of.select(F.col("rid").alias("a"), F.col("content").alias("ca")).hint("merge"), "a").join(texts_of.select(F.col("rid").alias("b"), F.col("content").alias("cb")).hint("merge"), "b")
     return both.where(_similar("ca", "cb", F.lit(threshold))).select("a", "b")
