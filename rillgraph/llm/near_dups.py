@@ -188,32 +188,33 @@ def signatures(texts: list[str], bands: Bands, above: np.ndarray | None = None,
         reached = np.zeros((len(lacking), len(texts)))
         # telling lines first; texts that haven't enough of them go on with the others
         rounds = [(r, True) for r in range(MOST)] + [(r, False) for r in range(MOST)] if above is None else []
-        held, grid = None, 0
+        if not len(live):
+            continue
+        n = sizes[live]
+        at = np.repeat(starts[live] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        v = value[at]
+        bits = bands.rarity[(v >> np.uint64(64 - SLOT_BITS)).astype(np.int64)].astype(np.float64) + 1e-6  # so that no line with features has none
+        lost = bands.losses(np.repeat(np.arange(len(live)), n), bits, n, [u[live] for u, _ in lacking])
+        # 44 bits, of which a double holds sums exactly; other lines of equal sums are told apart when pairs are verified
+        mix = (mixed(v ^ np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)).astype(np.float64)
+        going, grid, small = np.ones(len(live), bool), -1, np.int32 if q < 30_000 else np.int64
         for r, telling in itertools.chain(rounds, ((r, None) for r in itertools.count(MOST if rounds else 0))):
-            if not len(live):
+            if not going.any():
                 break
-            # a grid has as many directions as lines; then the features are laid out anew
-            if held is None or len(live) < len(held) or r // q != grid:
-                held, grid = live, r // q
-                n = sizes[live]
-                at = np.repeat(starts[live] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                v = value[at]
-                cell = np.repeat(np.arange(len(live)) * q, n)
+            if going.sum() < 0.8 * len(live):  # go on with what is left
+                on = np.repeat(going, n)
+                v, bits, mix, lost = v[on], bits[on], mix[on], [x if x is None else x[on] for x in lost]
+                live, n, going, grid = live[going], n[going], going[going], -1
+            if r // q != grid:  # a grid has as many directions as lines; then the features are laid out anew
+                grid = r // q
                 place = mixed(v + np.uint64(level + LEVELS * grid)) if level or grid else v
-                row, column = ((place >> np.uint64(40)) % np.uint64(q)).astype(np.int64), ((place >> np.uint64(16)) % np.uint64(q)).astype(np.int64)
-                mix = mixed(v ^ np.uint64(0x9E3779B97F4A7C15))
-                low, high = (mix & np.uint64(0xFFFFFFFF)).astype(np.float64), (mix >> np.uint64(32)).astype(np.float64)
-                bits = bands.rarity[(v >> np.uint64(64 - SLOT_BITS)).astype(np.int64)].astype(np.float64)
-                lost = bands.losses(np.repeat(np.arange(len(live)), n), bits, n, [u[live] for u, _ in lacking])
-                cells = len(live) * q
-            slot = cell + (row + r % q * column) % q
-            count = np.bincount(slot, minlength=cells)
-            use = count > 0
-            if telling is not None:
-                use &= (np.bincount(slot, bits, cells) >= bands.needed) == telling
-            keep = np.flatnonzero(use)
-            # sums of halves are exact in doubles
-            total = np.bincount(slot, low, cells)[keep].astype(np.uint64) + (np.bincount(slot, high, cells)[keep].astype(np.uint64) << np.uint64(24))
+                row, column = ((place >> np.uint64(40)) % np.uint64(q)).astype(small), ((place >> np.uint64(16)) % np.uint64(q)).astype(small)
+                cell, cells = np.repeat(np.arange(len(live)) * q, n), len(live) * q
+            slot = cell + (row + small(r % q) * column) % small(q)
+            weight = np.bincount(slot, bits, cells)
+            use = (weight > 0) if telling is None else (weight > 0) & ((weight >= bands.needed) == telling)
+            keep = np.flatnonzero(use & np.repeat(going, q))
+            total = np.bincount(slot, mix, cells)[keep].astype(np.uint64)
             name = np.uint64((band << 40) + (r << 24)) + (keep % q).astype(np.uint64)
             number = live[keep // q]
             signature = mixed(total + mixed(name))
@@ -225,7 +226,7 @@ def signatures(texts: list[str], bands: Bands, above: np.ndarray | None = None,
                 same = np.exp(-lost_here - (lacking[k][1] * sizes)[number] / q)
                 reached[k] += np.bincount(number, same, len(texts)) + 1e-3  # lest rounding keeps a text for ever
             if r + 1 >= directions or not telling:
-                live = live[reached[:, live].min(axis=0) < EXPECTED]
+                going &= reached[:, live].min(axis=0) < EXPECTED
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     return np.concatenate(numbers), np.concatenate(found)
