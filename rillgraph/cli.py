@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 
@@ -22,9 +23,10 @@ def parser() -> argparse.ArgumentParser:
     prepare.add_argument("--seed", type=int, default=pipeline.Config.seed)
     infer = steps.add_parser("infer", help="rank the clauses for every question")
     infer.add_argument("folder")
-    infer.add_argument("--methods", nargs="+", default=["bm25"], choices=sorted(pipeline.METHODS))
+    infer.add_argument("--methods", nargs="+", choices=sorted(pipeline.METHODS))
     infer.add_argument("--graph", help="table of extractions; made by rules without it")
-    infer.add_argument("--top-k", type=int, default=pipeline.Config.top_k)
+    infer.add_argument("--top-k", type=int)
+    infer.add_argument("--config", help="JSON or YAML file of settings")
     evaluate = steps.add_parser("evaluate", help="measure rankings and answers")
     evaluate.add_argument("folder")
     for step in (prepare, infer):
@@ -46,9 +48,10 @@ def run(spark: SparkSession, arguments: list[str]) -> None:
         if args.limit is not None:
             queries = queries.orderBy("qid").limit(args.limit)
         extracted = spark.read.parquet(args.graph) if args.graph else None
-        config = pipeline.Config(top_k=args.top_k, methods=tuple(args.methods))
+        config = pipeline.load_config(args.config) if args.config else pipeline.Config(methods=("bm25",))
+        config = replace(config, methods=tuple(args.methods or config.methods), top_k=args.top_k or config.top_k)
         readers.write_rows(pipeline.infer(corpus, queries, extracted, None, config), f"{args.folder}/predictions")
-        settings = {"step": "infer", "methods": ",".join(args.methods), "top_k": str(args.top_k), "graph": args.graph or "rules", "limit": str(args.limit)}
+        settings = {"step": "infer", "methods": ",".join(config.methods), "top_k": str(config.top_k), "preset": config.preset, "graph": args.graph or "rules", "limit": str(args.limit), "code": readers.code_version()}
         readers.write_report(spark.createDataFrame([settings]), f"{args.folder}/run")
     else:
         report = pipeline.evaluate(spark.read.parquet(f"{args.folder}/predictions"), pipeline.Config(group_by=("group",)))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,36 @@ class Config:
     least: float = -1.0
 
 
+def configured(settings: dict) -> Config:
+    """A configuration from nested settings, with the defaults of :class:`Config` for what they leave out."""
+    retrieval, evaluation, sampling = (settings.get(k) or {} for k in ("retrieval", "evaluation", "sample"))
+    found = {
+        "top_k": retrieval.get("top_k"),
+        "methods": retrieval.get("methods") and tuple(retrieval["methods"]),
+        "preset": retrieval.get("preset"),
+        "least": retrieval.get("least"),
+        "ks": evaluation.get("k") and tuple(evaluation["k"]),
+        "group_by": evaluation.get("group_by") and tuple(evaluation["group_by"]),
+        "sample_size": sampling.get("size"),
+        "seed": sampling.get("seed"),
+    }
+    config = Config(**{k: v for k, v in found.items() if v is not None})
+    # measures at k need as many results
+    return replace(config, top_k=max(config.top_k, *config.ks))
+
+
+def load_config(path: str) -> Config:
+    """:func:`configured` from a JSON file, or a YAML file where its parser is installed."""
+    with open(path, encoding="utf-8") as lines:
+        if path.endswith(".json"):
+            return configured(json.load(lines) or {})
+        try:
+            import yaml
+        except ImportError as e:
+            raise ImportError(f"{path}: reading YAML needs PyYAML; give the settings as JSON") from e
+        return configured(yaml.safe_load(lines) or {})
+
+
 def questions(raw: DataFrame) -> DataFrame:
     """One row per qid with a question; repeated deliveries are dropped, group names lower-cased."""
     kept = raw.where(F.length("question") > 0).groupBy("qid").agg(F.max(F.struct("question", "answer", "gold", "hop_group")).alias("q"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -169,6 +172,15 @@ def fingerprint(df: DataFrame, order: str, text: str) -> DataFrame:
     return found.select(F.col("h").alias("version"))
 
 
+def code_version(folder: str | None = None) -> str:
+    """A SHA-1 over the source files of a folder and their names, by default of this package."""
+    root = Path(folder) if folder else Path(__file__).parents[1]
+    digest = hashlib.sha1()
+    for path in sorted(root.rglob("*.py")):
+        digest.update(f"{path.relative_to(root).as_posix()}:{hashlib.sha1(path.read_bytes()).hexdigest()}\n".encode())
+    return digest.hexdigest()
+
+
 def resolve_gold(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """(qid, gold): gold texts as the smallest id of an equal text, in order, once each; unknown ones are dropped."""
     ids = corpus.select(normalize_space("text").alias("key"), "doc_id").where("key <> ''").groupBy("key").agg(F.min("doc_id").alias("doc_id"))

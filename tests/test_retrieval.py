@@ -267,3 +267,25 @@ def test_prompts_with_and_without_evidence(spark):
     got = [r[0] for r in df.select(evidence.prompt_for(F.col("q"), F.col("hits"))).collect()]
     assert CLAUSE in got[0] and got[1] == got[2] and "证据" not in got[1]
     assert df.select(evidence.prompt_for(F.col("q"), F.col("hits"), False)).first()[0] == got[1]
+
+
+def test_vectors_are_kept(spark, tmp_path):
+    class Counting(models.HashEncoder):
+        def encode_batch(self, texts):
+            (tmp_path / "asked").open("a").write("".join(f"{t}\n" for t in texts))
+            return super().encode_batch(texts)
+
+    df = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "t string")
+    for more in ([], ["c"]):
+        rows = df.union(spark.createDataFrame([(m,) for m in more], "t string"))
+        assert {r.text for r in models.encoded_by(rows, "t", str(tmp_path / "vectors"), Counting).collect()} == {"a", "b", *more}
+    assert sorted((tmp_path / "asked").read_text().split()) == ["a", "b", "c"]
+
+
+def test_settings(tmp_path):
+    (tmp_path / "s.json").write_text('{"retrieval": {"top_k": 5, "methods": ["dense"]}, "evaluation": {"k": [5, 10]}, "sample": {"size": 3}}')
+    config = pipeline.load_config(str(tmp_path / "s.json"))
+    assert (config.top_k, config.methods, config.ks, config.sample_size, config.seed) == (10, ("dense",), (5, 10), 3, pipeline.Config.seed)
+    pytest.importorskip("yaml")
+    (tmp_path / "s.yaml").write_text("retrieval: {preset: frozen}\nevaluation:\n")
+    assert pipeline.load_config(str(tmp_path / "s.yaml")).preset == "frozen"

@@ -124,6 +124,14 @@ def test_scratch_folder(spark, tmp_path):
     assert scratch.clean(spark) > 0 and not scratch.exists(spark, held) and scratch.clean(spark) == 0
 
 
+def test_code_version(tmp_path):
+    (tmp_path / "a.py").write_text("x = 1")
+    before = readers.code_version(str(tmp_path))
+    assert len(before) == len(readers.code_version()) == 40 and before == readers.code_version(str(tmp_path))
+    (tmp_path / "a.py").rename(tmp_path / "b.py")
+    assert readers.code_version(str(tmp_path)) != before
+
+
 def test_command_line(spark, tmp_path):
     (tmp_path / "c").write_text("".join(json.dumps({"text": t}) + "\n" for t in ("Concrete is cured for days.", "Rebar follows drawings.")))
     (tmp_path / "q").write_text('{"qid": "a", "question": "concrete days", "gold": [0], "group": "g"}\n{"qid": "b", "question": "rebar", "gold": [1]}\n')
