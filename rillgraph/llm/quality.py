@@ -221,13 +221,15 @@ class Lines:
     def longest_part(self, name: str) -> np.ndarray:
         """The longest part of each line between characters of a class."""
         cuts = np.flatnonzero(self.has(name))
-        inside = (cuts >= self.start[np.searchsorted(self.end, cuts, "right").clip(max=len(self.end) - 1)]) & (np.searchsorted(self.end, cuts, "right") < len(self.end)) if len(self.end) else np.zeros(len(cuts), bool)
-        edges = np.concatenate([self.start - 1, self.end, cuts[inside]])
-        owner = np.concatenate([np.arange(len(self.start)), np.arange(len(self.end)), np.searchsorted(self.end, cuts[inside], "right")])
+        owner = np.searchsorted(self.end, cuts, "right")  # the first line that ends after it
+        cuts, owner = cuts[owner < len(self.end)], owner[owner < len(self.end)]
+        cuts, owner = cuts[cuts >= self.start[owner]], owner[cuts >= self.start[owner]]
+        lines = np.arange(len(self.start))
+        edges, owner = np.concatenate([self.start - 1, cuts, self.end]), np.concatenate([lines, owner, lines])
         order = np.lexsort((edges, owner))
-        gap = np.diff(edges[order]) - 1
-        gap[owner[order][1:] != owner[order][:-1]] = 0
-        return np.maximum.reduceat(np.r_[gap, 0], np.searchsorted(owner[order], np.arange(len(self.start)))) if len(self.start) else np.empty(0, np.int64)
+        parts = np.diff(edges[order]) - 1
+        parts[np.diff(owner[order]) > 0] = 0  # from the end of a line to the next one's start
+        return np.maximum.reduceat(np.r_[parts, 0], np.searchsorted(owner[order], lines))
 
     def token_chars(self) -> np.ndarray:
         """Characters of each line in runs of at least 50 that look like a code."""
