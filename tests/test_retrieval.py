@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,6 +20,21 @@ def test_bm25_ranks_the_matching_text_and_keeps_all(spark):
     assert ranked["none"] == [3, 2, 1, 0]
 
 
+def test_bm25_leaves_out_pairs_that_cannot_be_best(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "POSTINGS_A_BLOCK", 100)
+    monkeypatch.setattr(bm25, "QUERIES_A_BLOCK", 7)
+    rng = random.Random(5)
+    said = lambda most: " ".join(f"w{min(int(rng.expovariate(0.2)), 29)}" for _ in range(rng.randint(0, most)))
+    corpus = spark.createDataFrame([(i, said(12)) for i in range(300)] + [(300 + i, "w1 w2") for i in range(40)] + [(400, None)], "doc_id bigint, text string")
+    queries = spark.createDataFrame([(f"q{i}", said(6)) for i in range(20)] + [("same", "w1 w2 w1"), ("none", "absent"), ("null", None)], "qid string, question string")
+    every = bm25.scores(corpus, queries)
+    want = bm25.ranking.top(bm25.ranking.with_unmatched(every, queries, corpus, 4), 4)
+    rows = lambda df: sorted((r.qid, r["rank"], r.doc_id, round(r.score, 8)) for r in df.collect())
+    assert rows(bm25.rank(corpus, queries, 4)) == rows(want)
+    assert bm25.best(corpus, queries, 4).count() < every.count() / 3
+    assert bm25.rank(corpus.limit(0), queries, 4).count() == 0 and bm25.rank(corpus, queries.limit(0), 4).count() == 0
+
+
 def test_bm25_formula(spark):
     corpus = spark.createDataFrame([(0, "aa bb"), (1, "aa"), (2, "cc")], "doc_id bigint, text string")
     queries = spark.createDataFrame([("q", "bb bb")], "qid string, question string")
