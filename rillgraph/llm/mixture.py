@@ -12,8 +12,8 @@ Rates are rounded to whole copies by a hash of the document, with one threshold
 source chosen from a histogram so that rounding doesn't move the totals.
 
 The total is the largest for which every target can be met within ``max_repeat``.
-The classifier (softmax regression on the hashed first characters of lines) is fitted
-on about ``SAMPLE`` labelled rows, those with the smallest hashes of their id; everything
+The classifier (softmax regression on the hashed first characters of lines and the
+hashed neighbouring characters of the whole text) is fitted on about ``SAMPLE`` labelled rows, those with the smallest hashes of their id; everything
 else covers all documents.  Null and empty texts have no tokens and aren't used;
 sources without a target aren't used either.
 """
@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from rillgraph.sources.scratch import written
 
 SAMPLE, FEATURES = 4000, 1024
+#: Length of the part of a feature vector that has the whole text; the part that has the beginnings of lines has length 1.
+WHOLE = 0.5
 STEPS, CLOSE, BINS = 60, 1e-5, 4096
 _LINE_START = re.compile(r"(?:^|[\n\r])\s*(.{1,4})")
 _DIGITS = re.compile(r"\d+")
@@ -51,15 +53,25 @@ def encoding(path: str):  # noqa: ANN201
     return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _unit(counts: np.ndarray) -> np.ndarray:
+    """Damped counts, each row a unit vector."""
+    out = np.log1p(counts)
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
 def features(texts: list[str]) -> np.ndarray:
-    """The hashed first two, three and four characters of the lines of each text, numbers made alike, as unit vectors."""
-    out = np.zeros((len(texts), FEATURES), np.float32)
+    """The hashed first two, three and four characters of the lines of each text, and its hashed pairs of neighbouring characters, numbers made alike."""
+    starts, pairs = np.zeros((2, len(texts), FEATURES), np.float32)
     for i, text in enumerate(texts):
-        for start in _LINE_START.findall(_DIGITS.sub("0", text).lower()):
+        text = _DIGITS.sub("0", text).lower()
+        for start in _LINE_START.findall(text):
             for k in range(2, len(start) + 1):
-                out[i, zlib.crc32(start[:k].encode("utf-8", "surrogatepass")) % FEATURES] += 1
-    out = np.log1p(out)
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+                starts[i, zlib.crc32(start[:k].encode("utf-8", "surrogatepass")) % FEATURES] += 1
+        signs = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        mixed = signs[:-1] * np.uint64(0x9E3779B97F4A7C15) + signs[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)
+        pairs[i] = np.bincount((mixed % np.uint64(FEATURES)).astype(np.int64), minlength=FEATURES)
+    return np.hstack([_unit(starts), WHOLE * _unit(pairs)])
 
 
 def fit(x: np.ndarray, y: np.ndarray, classes: int, rounds: int = 100, rate: float = 20.0, ridge: float = 1e-5) -> np.ndarray:

@@ -434,6 +434,12 @@ def test_classifier_on_held_out_rows(spark):
     assert all(abs(p[:, k].sum() - sum(r.source == s for r in held)) < 0.05 * len(held) for k, s in enumerate(sources))
 
 
+def test_features_have_the_whole_text():
+    a, b = "The site engineer keeps a diary of pours. " * 5 + "Rain at noon.", "The site engineer keeps a diary of pours. " * 5 + "Q: who signs?"
+    x = mixture.features([a, b, a, "", "x"])
+    assert (x[0] == x[2]).all() and not np.allclose(x[0], x[1]) and not x[3].any()
+
+
 def test_mixture_edges(spark):
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], "source string, target_share double, max_repeat int")
     docs = spark.createDataFrame([(i, "words here", "ab"[i % 2]) for i in range(20)] + [(90, None, "a"), (91, "", "b"), (92, "x", "c"), (None, "x", "a")], "doc_id bigint, text string, source string")
