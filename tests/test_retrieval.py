@@ -88,6 +88,15 @@ def test_expansion_and_exact_scores(spark):
     assert order == {"q": [2, 1], "none": [0, 1]}  # without terms in the order of ids
 
 
+def test_expansion_stays_in_arrays(spark):
+    docs = spark.createDataFrame([(0, [0, 1], None), (1, [1, 2], None), (2, [], None)], "doc_id bigint, entities array<bigint>, relations array<struct<src:bigint,dst:bigint>>")
+    words = spark.createDataFrame([(0, "a", 1, 0.9), (1, "b", 2, 0.8), (2, "c", 1, 0.7)], "entity bigint, name string, df bigint, idf double")
+    reach = graph.expansion(docs, words, graph.edges(docs))
+    assert {(r.doc_id, r.entity, r.hop, round(r.weight, 3)) for r in reach.collect()} == {(0, 0, 0, 0.9), (0, 1, 0, 0.8), (0, 2, 1, 0.49), (1, 1, 0, 0.8), (1, 2, 0, 0.7), (1, 0, 1, 0.63)}
+    assert "Join" not in reach._jdf.queryExecution().simpleString()
+    assert {r.entity for r in joins.only(reach, spark.createDataFrame([(2,), (2,)], "entity bigint"), "entity").collect()} == {2}
+
+
 def plain_expansion(entities, idf, links, gamma, cap):
     """Breadth first, one document at a time."""
     out = {}
