@@ -124,6 +124,27 @@ def test_expansion_stays_in_arrays(spark):
     assert {r.entity for r in joins.only(reach, spark.createDataFrame([(2,), (2,)], "entity bigint"), "entity").collect()} == {2}
 
 
+def test_expansion_shuffles_only_what_lists_that_are_sent_leave_open(spark, monkeypatch):
+    # every document has the entity 3, whose two neighbours bound what others can add: only 0 of entity 2 is below
+    docs = spark.createDataFrame([(i, [2, 3] if i % 2 else [3], None) for i in range(40)], "doc_id bigint, entities array<bigint>, relations array<struct<src:bigint,dst:bigint>>")
+    words = spark.createDataFrame([(0, "a", 1, 1.0), (1, "b", 1, 1.0), (2, "c", 20, 0.9), (3, "d", 40, 0.8)], "entity bigint, name string, df bigint, idf double")
+    links = spark.createDataFrame([(3, 0), (3, 1), (3, 2), (2, 0), (2, 0)], "u bigint, v bigint")
+    assert {r.u: r.vs for r in graph.neighbours(links, 2, "bigint").collect()} == {3: [0, 1], 2: [0]}
+    monkeypatch.setattr(graph, "PAIRS_HELD", 1)
+    assert {r.u: r.vs for r in graph.neighbours(links, 2, "int").collect()} == {3: [0, 1], 2: [0]}
+    kept = {}
+    monkeypatch.setattr(graph, "written", lambda df, name: kept.setdefault(name, []).append(scratch.written(df, name)) or kept[name][-1])
+    reach = graph.expansion(docs, words, links, cap=2)
+    assert {(r.doc_id, r.entity, r.hop) for r in reach.collect()} == {(i, e, h) for i in range(40) for e, h in ([(2, 0), (3, 0)] if i % 2 else [(3, 0), (0, 1)])}
+    assert [df.count() for df in kept["one-hop"]] == [40, 0]  # no document is gone through in two hops
+    assert kept["one-hop"][0].agg(F.max(F.size("one"))).first()[0] <= 1
+    rows = reach.groupBy("doc_id", "hop").agg(F.count("*"), F.round(F.sum("weight"), 6))
+    sums = graph.expansion(docs, words, links, cap=2, summed=True).select("doc_id", "hop", "entities", F.round("weight", 6))
+    assert sorted(map(tuple, sums.collect())) == sorted(map(tuple, rows.collect()))
+    monkeypatch.setattr(graph, "LISTS_SENT", 0)
+    assert sorted(map(tuple, graph.expansion(docs, words, links, cap=2).collect())) == sorted(map(tuple, reach.collect()))
+
+
 def plain_expansion(entities, idf, links, gamma, cap):
     """Breadth first, one document at a time."""
     out = {}
