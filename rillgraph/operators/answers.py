@@ -22,7 +22,7 @@ def retried(rows: DataFrame, prompt: str, factory: Callable[[], models.LanguageM
     pending, out = rows, None
     for n in range(1, attempts + 1):
         asked = models.replies(pending.select(*names), prompt, factory, system=system, attempts=1)
-        found = F.when(F.col("reply").isNull(), "no reply").otherwise(verdict(X.clean_reply("reply")))
+        found = F.when(F.col("reply").isNull(), "no reply").otherwise(X.let(X.clean_reply("reply"), verdict))
         checked = asked.select(*names, X.clean_reply("reply").alias("reply"), found.alias("verdict"), F.lit(n).alias("attempts"), "error")
         checked = written(checked, "replies")
         done = checked.where("verdict = 'ok'") if n < attempts else checked
@@ -43,7 +43,9 @@ def answers(rows: DataFrame, factory: Callable[[], models.LanguageModel], system
     texts = F.transform(F.coalesce("hits", F.expr("array()")), lambda h: h["text"])
     asked = rows.select("qid", F.coalesce("question", F.lit("")).alias("question"), texts.alias("texts"), evidence.prompt_for(F.coalesce("question", F.lit("")), F.col("hits")).alias("prompt"))
     found = retried(asked, "prompt", factory, lambda reply: evidence.validity(reply, F.col("texts")), system, attempts)
-    found = found.withColumn("mended", evidence.repaired(F.coalesce("reply", F.lit("")), F.col("question"), F.col("texts"))).withColumn("bare", evidence.repaired(F.lit(""), F.col("question"), F.col("texts")))
+    # only what isn't valid as it is needs mending
+    mend = lambda answer: F.when(F.col("verdict") != "ok", evidence.repaired(answer, F.col("question"), F.col("texts")))
+    found = found.withColumn("mended", mend(F.coalesce("reply", F.lit("")))).withColumn("bare", mend(F.lit("")))
     valid = lambda c: evidence.validity(F.col(c), F.col("texts")) == "ok"
     origin = F.when(F.col("verdict") == "ok", "reply").when(F.col("reply").isNotNull() & (F.col("reply") != "") & valid("mended"), "repaired").when(valid("bare"), "evidence")
     prediction = F.when(origin == "reply", F.col("reply")).when(origin == "repaired", F.col("mended")).when(origin == "evidence", F.col("bare"))

@@ -160,3 +160,13 @@ def test_long_questions_are_gone_through_once_for_a_quote(spark):
     quote, mended = df.select(evidence.best_quote(F.col("q"), F.col("t")), evidence.repaired(F.lit(""), F.col("q"), F.col("t"))).first()
     assert time.time() - began < 60
     assert quote == "高强螺栓储存温度不应少于五度。" and quote in mended
+
+
+def test_clause_groups_of_many_hits_are_worked_out_once_a_hit(spark):
+    hits = [(i + 1, i, "S", None, f"{i // 2}.1", "短", None) for i in range(400)] + [(401, 400, "S", None, "900", "短", None)]
+    df = spark.createDataFrame([("q", hits)], f"q string, hits {evidence.EVIDENCE}")
+    began = time.time()
+    prompt = df.select(evidence.answer_prompt(F.col("q"), F.col("hits"))).first()[0]
+    assert time.time() - began < 60
+    marks = prompt[prompt.index("同组条文：") :].split("\n")[0]
+    assert marks.endswith("[400]") and marks.count("[") == 400
