@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -291,6 +292,60 @@ def test_semantic_method(spark):
         assert ranked["q"][0] == 0 and sorted(ranked["q"]) == [0, 1, 2] and ranked["none"] == [0, 1, 2]
 
 
+@pytest.mark.parametrize("paper", [True, False])
+def test_alignment_keeps_the_best_over_blocks(paper):
+    rng = np.random.default_rng(3)
+    terms, links, whole = rng.integers(0, 3, (40, 9)) * (rng.random((40, 9)) < 0.4), rng.integers(0, 2, (40, 5)), rng.uniform(1, 4, 40)
+    terms[:, 0] = 1
+    has, holds = rng.integers(0, 4, (300, 9)) / 4 * (rng.random((300, 9)) < 0.3), rng.integers(0, 3, (300, 5)) / 2
+    cost = rng.integers(0, 20, 300) * 0.03
+
+    def rows(m):
+        at, number = np.nonzero(m)
+        return at, number, m[at, number].astype(float)
+
+    found = semantic.Aligned(rows(terms), rows(links), whole, 4, paper)
+    for a in range(0, 300, 70):
+        block = slice(a, min(a + 70, 300))
+        found.add(np.arange(300)[block], cost[block], *((np.bincount(x[0], minlength=len(cost[block])), *x[1:]) for x in (rows(has[block]), rows(holds[block]))))
+    covered, related = terms @ has.T, links @ holds.T
+    score = (np.maximum(covered - cost, 0) + related if paper else np.maximum(covered + related - cost, 0)) / whole[:, None]
+    score = np.where(covered > 0, score, -1)
+    want = {q: {int(d): score[q, d] for d in np.lexsort((np.arange(300), np.round(score[q], 9)))[-4:]} for q in range(40)}
+    got = {}
+    for q, d, x in zip(*found.rows()):
+        got.setdefault(int(q), {})[int(d)] = x
+    assert got.keys() == want.keys() and all(got[q] == pytest.approx(want[q]) for q in want)
+
+
+def test_semantic_ranking_sends_on_only_the_best(spark, monkeypatch):
+    class Letters:
+        """Names are as similar as their letters are."""
+
+        def encode_batch(self, texts):
+            m = np.array([[t.count(c) for c in "abcd"] for t in texts], float).reshape(len(texts), 4)
+            return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-8)
+
+    rng = random.Random(5)
+    names = ["".join(rng.choice("abcd") for _ in range(3)) for _ in range(25)]
+    listed = lambda: [(rng.choice(names), rng.choice(names)) for _ in range(rng.randint(0, 4))]
+    rows = [(i, rng.sample(names, rng.randint(0, 6)), rng.choice([None, listed()])) for i in range(60)]
+    docs, words = graph.indexed(spark.createDataFrame(rows, NAMED))
+    queries = spark.createDataFrame([(f"q{i}", f"question {i % 9}") for i in range(20)], "qid string, question string")
+    cache = spark.createDataFrame([(f"question {i}", [rng.choice([*names, "zzz"]) for _ in range(3)], listed()) for i in range(8)], "question string, entities array<string>, relations array<struct<src:string,dst:string>>")
+    reach = graph.expansion(docs, words, graph.pairs(docs), cap=8, listed=True)
+    monkeypatch.setattr(semantic, "MARKS_A_BLOCK", 40)
+    sizes, inner = [], semantic.best
+    monkeypatch.setattr(semantic, "best", lambda *a: (sizes.append((f := inner(*a)) and f.count()), f)[1])
+    for given, paper in ((cache, True), (cache, False), (None, True)):
+        rank = lambda: sorted((r.qid, r.rank, r.doc_id, round(r.score, 7)) for r in semantic.rank(docs, words, reach, queries, given, Letters, 3, 2, paper=paper, least=0.6).collect())  # noqa: B023, E731
+        few = rank()
+        with monkeypatch.context() as m:
+            m.setattr(semantic, "SENT", -1)  # all pairs, by joins
+            assert rank() == few
+    assert sizes[1::2] == [None] * 3 and 0 < max(sizes[::2]) <= 20 * 3
+
+
 def test_spread_joins_lose_and_repeat_nothing(spark):
     many = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 99), (3, 100)], "k int, i int").withColumn("rows", F.when(F.col("k") == 1, 120_000).otherwise(1))
     few = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string").withColumn("rows", F.when(F.col("k") == 1, 120_000).otherwise(1))

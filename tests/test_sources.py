@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,6 +125,19 @@ def test_scratch_folder(spark, tmp_path):
     assert scratch.clean(spark) > 0 and not scratch.exists(spark, held) and scratch.clean(spark) == 0
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    blocks = lambda: {b.name() for b in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks())}
+    kept = spark.range(1000).groupBy((F.col("id") % 10).alias("g")).count()
+    before = {b for b in blocks() if b.startswith("shuffle")}
+    df = scratch.written(kept, "counts")
+    for _ in range(50):
+        left = {b for b in blocks() if b.startswith("shuffle")} - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and df.count() == kept.count() == 10 and spark.conf.get(scratch.CLEANUP, "false") == "false"
+
+
 def test_code_version(tmp_path):
     (tmp_path / "a.py").write_text("x = 1")
     before = readers.code_version(str(tmp_path))
