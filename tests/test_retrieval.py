@@ -333,7 +333,9 @@ def test_semantic_ranking_sends_on_only_the_best(spark, monkeypatch):
     docs, words = graph.indexed(spark.createDataFrame(rows, NAMED))
     queries = spark.createDataFrame([(f"q{i}", f"question {i % 9}") for i in range(20)], "qid string, question string")
     cache = spark.createDataFrame([(f"question {i}", [rng.choice([*names, "zzz"]) for _ in range(3)], listed()) for i in range(8)], "question string, entities array<string>, relations array<struct<src:string,dst:string>>")
-    reach = graph.expansion(docs, words, graph.pairs(docs), cap=8, listed=True)
+    reach = graph.expansion(docs, words, None, cap=8, listed=True)
+    told = graph.expansion(docs, words, graph.pairs(docs), cap=8)
+    assert sorted(map(tuple, reach.select("doc_id", F.explode("x").alias("x")).select("doc_id", "x.*").collect())) == sorted(map(tuple, told.collect()))
     monkeypatch.setattr(semantic, "MARKS_A_BLOCK", 40)
     sizes, inner = [], semantic.best
     monkeypatch.setattr(semantic, "best", lambda *a: (sizes.append((f := inner(*a)) and f.count()), f)[1])
