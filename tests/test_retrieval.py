@@ -419,3 +419,47 @@ def test_settings(tmp_path):
     pytest.importorskip("yaml")
     (tmp_path / "s.yaml").write_text("retrieval: {preset: frozen}\nevaluation:\n")
     assert pipeline.load_config(str(tmp_path / "s.yaml")).preset == "frozen"
+
+
+def test_exact_ranking_sends_on_only_the_best(spark, monkeypatch):
+    rng = random.Random(7)
+    names = [f"n{i}" for i in range(25)]
+    listed = lambda: [(rng.choice(names), rng.choice(names)) for _ in range(rng.randint(0, 4))]
+    rows = [(i, rng.sample(names, rng.randint(0, 6)), rng.choice([None, listed()])) for i in range(80)]
+    docs, words = graph.indexed(spark.createDataFrame(rows, NAMED))
+    queries = spark.createDataFrame([(f"q{i}", f"question {i % 9}" if i else "") for i in range(20)], "qid string, question string")
+    cache = spark.createDataFrame([(f"question {i}", [rng.choice([*names, "zzz"]) for _ in range(3)] + ["n1", "n1"]) for i in range(8)], "question string, entities array<string>")
+    lists, long = graph.expansion(docs, words, None, cap=8, listed=True), graph.expansion(docs, words, None, cap=8)
+    found = lambda reach: sorted((r.qid, r["rank"], r.doc_id, round(r.score, 7)) for r in subgraph.rank(docs, words, reach, queries, cache, 3, 2).collect())
+    want = found(long)
+    monkeypatch.setattr(semantic, "MARKS_A_BLOCK", 40)
+    with monkeypatch.context() as m:
+        m.setattr(subgraph, "scores", None)  # no rows of all pairs
+        assert found(lists) == want and any(x[3] > 0 for x in want)
+    monkeypatch.setattr(semantic, "SENT", -1)  # more than can be sent
+    assert found(lists) == want
+
+
+def test_names_are_numbered_in_the_tasks(spark, monkeypatch):
+    rows = [(0, ["a", "b"], [("A", "B"), ("B", "none"), (None, "a")]), (1, ["b", "c", "d"], None), (2, [], []), (3, None, None), (None, ["a"], [("A", "B")])]
+    docs = spark.createDataFrame(rows, NAMED)
+
+    def found():
+        held, words = graph.indexed(docs)
+        names = {r.entity: r.name for r in words.collect()}
+        return sorted((str(r.doc_id), [names[e] for e in r.entities], r.relations and [(names[x.src], names[x.dst]) for x in r.relations]) for r in held.collect())
+
+    with monkeypatch.context() as m:
+        m.setattr(graph, "NAMES_SENT", -1)
+        want = found()
+    monkeypatch.setattr(graph.F, "posexplode", None)  # no row for each name
+    assert found() == want and ("0", ["a", "b"], [("a", "b")]) in want
+
+
+def test_names_of_documents_are_deleted_once_numbered(spark, monkeypatch):
+    corpus = spark.createDataFrame(DOCS, "doc_id bigint, text string")
+    kept, inner = [], graph.document_graph
+    monkeypatch.setattr(graph, "document_graph", lambda *a: kept.append(inner(*a)) or kept[-1])
+    docs, words = pipeline.indexed(corpus, None)
+    path = kept[0].inputFiles()[0].rpartition("/")[0]
+    assert not scratch.exists(spark, path) and docs.count() == 4 and words.count() > 0
