@@ -463,3 +463,12 @@ def test_names_of_documents_are_deleted_once_numbered(spark, monkeypatch):
     docs, words = pipeline.indexed(corpus, None)
     path = kept[0].inputFiles()[0].rpartition("/")[0]
     assert not scratch.exists(spark, path) and docs.count() == 4 and words.count() > 0
+
+
+def test_methods_by_subgraphs_make_no_row_of_each_pair(spark, tables, monkeypatch):
+    read = lambda n: spark.read.parquet(f"{tables}/{n}.parquet")
+    corpus, queries = pipeline.prepare(read("review_example"), read("benchmark_query"), pipeline.Config(sample_size=9))
+    config = pipeline.Config(methods=("subgraph",), top_k=3)
+    monkeypatch.setattr(subgraph, "scores", None)
+    found = pipeline.infer(corpus, queries, read("corpus_graph"), read("query_cache"), config).select("qid", "topk").collect()
+    assert len(found) == 9 and all(len(set(r.topk)) == 3 for r in found)
