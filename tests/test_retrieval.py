@@ -472,3 +472,16 @@ def test_methods_by_subgraphs_make_no_row_of_each_pair(spark, tables, monkeypatc
     monkeypatch.setattr(subgraph, "scores", None)
     found = pipeline.infer(corpus, queries, read("corpus_graph"), read("query_cache"), config).select("qid", "topk").collect()
     assert len(found) == 9 and all(len(set(r.topk)) == 3 for r in found)
+
+
+def test_expansion_shuffles_no_list_that_is_sent(spark, monkeypatch):
+    rows = [(i, ["hub", f"a{i % 7}", f"b{i}"], None) for i in range(40)]
+    docs, words = graph.indexed(spark.createDataFrame(rows, NAMED))
+    kept = {}
+    monkeypatch.setattr(graph, "written", lambda df, name: kept.setdefault(name, scratch.written(df, name)))
+    found = lambda: sorted(map(tuple, graph.expansion(docs, words, None, cap=2).collect()))
+    want = found()
+    assert kept["lists-sent"].columns == ["u"] and kept["lists-sent"].count() > 0  # of these lists only the names are shuffled
+    kept.clear()
+    monkeypatch.setattr(joins, "ROWS_A_SALT", 3)  # entities of many rows are split
+    assert found() == want
